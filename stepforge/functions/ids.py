@@ -40,9 +40,9 @@ def repo_key(c: Column | str) -> Column:
 
 
 def instance_key(c: Column | str) -> Column:
-    """``owner__name-<number>`` of an instance however its parts are joined."""
+    """``owner__name-<number>`` of an instance however its parts are joined and its number padded."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(_edges(c), r"^([^/]+?)(?:__|/)(.+)[-_#](\d+)$", "$1__$2-$3")
+    s = F.regexp_replace(_edges(c), r"^([^/]+?)(?:__|/)(.+)[-_#]0*(\d+)$", "$1__$2-$3")
     return F.when(s != "", s)
 
 
