@@ -1,5 +1,264 @@
-"""Named queries of the core operators."""
+"""Named queries of the core operators over the tables of a data folder.
 
+Each entry runs over its whole tables.  A limit is kept only where it is the
+feature: top-k reports, named subsets and evaluation sets of a given size.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stepforge.operators import chat, profile, scores, statistics, subsets, testsets, textmetrics
+from stepforge.operators import steps as st
+from stepforge.sources import readers, sinks, table
+from stepforge.streaming.scoring import activity
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: The catalogue's sizes are scaled so that the largest subset is a part of the smallest tables.
+SUBSET_SCALE = 0.1
+TEST_SET_SIZE = 20
+FLAGSHIP_SIZE = 100
+SUB_SCORES = ["b1_redundant_commands", "b2_error_retry", "b3_step_count_ratio", "c1_observation_cleanliness", "c2_action_diversity", "c3_observation_utilization"]
+DIMENSIONS = ["composite_score", "efficiency_score", "style_score", "b2_error_retry", "b3_step_count_ratio", "c2_action_diversity", "c3_observation_utilization"]
+
+
+def _t(*names: str) -> Callable[[Callable[..., DataFrame]], Query]:
+    return lambda f: lambda spark, d: f(*(table(spark, d, n) for n in names))
+
+
+def _r(df: DataFrame, *exact: str) -> DataFrame:
+    """Doubles rounded to six places, so that the order of summation doesn't show; ``exact`` columns come first."""
+    cols = [*exact, *(c for c in df.columns if c not in exact)]
+    kinds = dict(df.dtypes)
+    return df.select(*(F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in cols))
+
+
+# --- stored raw metrics: one row a trajectory -------------------------------
+
+
+def pool(stats: DataFrame) -> DataFrame:
+    """Distinct ids with v1 score and status, for evaluation sets."""
+    by = F.struct("ingested_at", "composite_q")
+    return stats.groupBy("trajectory_id").agg(F.max_by("composite_q", by).alias("score"), F.max_by(F.coalesce("exit_status", F.lit("")), by).alias("exit_status"))
+
+
+def gate_pool(scored: DataFrame) -> DataFrame:
+    """Per trajectory the columns that subsets are ranked by: the greatest values of its last scoring."""
+    cols = ["composite_score", "efficiency_score", "style_score", *SUB_SCORES]
+    last = scored.groupBy("trajectory_id").agg(F.max("scored_at").alias("scored_at"))
+    return scored.join(last, ["trajectory_id", "scored_at"]).groupBy("trajectory_id").agg(*(F.max(c).alias(c) for c in cols))
+
+
+def all_pool(stats: DataFrame) -> DataFrame:
+    """Per trajectory the columns that subset statistics need, of its last delivery."""
+    last = stats.groupBy("trajectory_id").agg(F.max("ingested_at").alias("ingested_at"))
+    return (
+        stats.join(last, ["trajectory_id", "ingested_at"])
+        .groupBy("trajectory_id")
+        .agg(*(F.max(c).alias(c) for c in ("composite_q", "total_tokens", "assistant_turns", "ends_with_submit", "resolved", "repo")))
+    )
+
+
+def members(stats: DataFrame, scored: DataFrame) -> DataFrame:
+    """All 16 subsets with the statistics columns joined to them."""
+    everything = all_pool(stats)
+    gated = gate_pool(scored)
+    built = subsets.build_all(everything.select("trajectory_id"), gated, scale=SUBSET_SCALE)
+    return built.join(everything, "trajectory_id", "left")
+
+
+def train_ids(split_rows: DataFrame) -> DataFrame:
+    return testsets.training_ids(split_rows)
+
+
+def test_sets(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
+    return testsets.build(pool(stats), train_ids(split_rows), n=TEST_SET_SIZE)
+
+
+# --- nested trajectories ----------------------------------------------------
+
+
+def raw(trajectories: DataFrame) -> DataFrame:
+    return st.trajectory_stats(trajectories)
+
+
+def v1(trajectories: DataFrame) -> DataFrame:
+    return scores.add_v1(raw(trajectories))
+
+
+def v3(trajectories: DataFrame) -> DataFrame:
+    return scores.add_v3(v1(trajectories))
+
+
+def flagship(trajectories: DataFrame) -> DataFrame:
+    """Nested messages to metrics, gate, medians, scores and the best rows."""
+    top = v3(trajectories).filter("passes_gate").withColumn("composite_score", F.round("composite_score", 6))
+    cols = ["trajectory_id", "instance_id", *SUB_SCORES, "efficiency_score", "style_score", "composite_score"]
+    return _r(top.select(*cols).orderBy(F.desc("composite_score"), "trajectory_id").limit(FLAGSHIP_SIZE), "trajectory_id")
+
+
+def per_observation(trajectories: DataFrame) -> DataFrame:
+    """Keywords of each observation, one row each."""
+    return st.steps(trajectories).select("trajectory_id", "step_idx", F.explode(F.expr(st.keywords("obs_text"))).alias("keyword"))
+
+
+def messages_of(trajectories: DataFrame) -> DataFrame:
+    return chat.with_chat(trajectories).select("trajectory_id", "chat").distinct()
+
+
+def action_pairs(trajectories: DataFrame) -> DataFrame:
+    """Generated against true actions: the reply after three turns stands in for a prediction of the first one."""
+    m = messages_of(trajectories).select("trajectory_id", chat.first_action("chat").alias("f"), chat.prefix("chat", 3).alias("p"))
+    return m.filter("f IS NOT NULL AND p IS NOT NULL").select("trajectory_id", F.col("p.target").alias("generated"), F.col("f.target").alias("truth"))
+
+
+def action_rows(trajectories: DataFrame) -> DataFrame:
+    p = action_pairs(trajectories)
+    g, t = F.col("generated"), F.col("truth")
+    return p.select(
+        "trajectory_id",
+        (textmetrics.action_type(g) == textmetrics.action_type(t)).alias("action_type_match"),
+        textmetrics.action_type(g).alias("pred_action_type"),
+        textmetrics.action_type(t).alias("gt_action_type"),
+        textmetrics.jaccard(textmetrics.file_paths(g), textmetrics.file_paths(t)).alias("file_match_score"),
+        textmetrics.exact_match(g, t).alias("exact_match"),
+        textmetrics.format_score(g).alias("format_score"),
+        F.substring(g, 1, 500).alias("generated"),
+    )
+
+
+# --- result tables ----------------------------------------------------------
+
+
+def loss_rows(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
+    """Loss rows (model, split, trajectory_id, loss, n_tokens) in place of a model's: status as model, 1 - score as loss."""
+    p = pool(stats).select("trajectory_id", F.when(F.trim("exit_status") != "", F.lower(F.trim("exit_status"))).otherwise("none").alias("model"), (1 - F.col("score")).alias("loss"))
+    tokens = stats.groupBy("trajectory_id").agg(F.max("total_tokens").alias("n_tokens"))
+    splits = split_rows.filter(F.col("split").isin("gold", "random", "low_q")).select("split", "trajectory_id").distinct()
+    return splits.join(p, "trajectory_id").join(tokens, "trajectory_id").select("model", "split", "trajectory_id", "loss", "n_tokens")
+
+
+def losses(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
+    return statistics.loss_summary(loss_rows(stats, split_rows))
+
+
+def repo_points(stats: DataFrame) -> DataFrame:
+    """Mean score, turns and tokens a repository, for correlation and regression."""
+    return stats.filter("repo IS NOT NULL").groupBy("repo").agg(F.round(F.avg("composite_q"), 6).alias("q"), F.round(F.avg("assistant_turns"), 6).alias("turns"), F.round(F.avg("total_tokens"), 6).alias("tokens"))
+
+
+def _spearman(stats: DataFrame) -> DataFrame:
+    s = statistics.spearman(repo_points(stats), "turns", "q")
+    return s.withColumn("interpretation", statistics.interpretation(F.col("rho")))
+
+
+def _merge(scored: DataFrame) -> DataFrame:
+    old, new = (scored.filter(f"passes_gate AND {c}") for c in ("resolved = 1 AND assistant_turns < 20", "assistant_turns >= 15"))
+    cut = lambda d, tag: d.select("trajectory_id").distinct().withColumn("origin", F.lit(tag))
+    return sinks.merge_results(cut(old, "existing"), cut(new, "new"), ["trajectory_id"])
+
+
+def _catalogue_query(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        spec = next(s for s in subsets.catalogue(SUBSET_SCALE) if s.name == name)
+        rows = all_pool(table(spark, d, "stats")).select("trajectory_id") if spec.pool == "all" else gate_pool(table(spark, d, "scored"))
+        return subsets.build(rows, spec).select("subset_name", "trajectory_id")
+
+    return run
+
+
+def subset_query_name(name: str) -> str:
+    return "subset_" + name.lower().replace("-", "_")
+
+
+def queries() -> dict[str, Query]:
+    t, s, c, p, e = _t("trajectories"), _t("stats"), _t("scored"), _t("steps"), _t("experiments")
+    q: dict[str, Query] = {
+        "flagship": t(flagship),
+        "action_obs_pairing": t(st.steps),
+        "raw_metrics": t(lambda x: _r(raw(x).drop("tool_call_counts"), "trajectory_id")),
+        "redundant_cmds": t(lambda x: _r(raw(x).select("trajectory_id", "redundant_cmds_ratio"))),
+        "error_retry": t(lambda x: raw(x).select("trajectory_id", "error_retry_count", "total_action_pairs")),
+        "obs_noise": t(lambda x: _r(raw(x).select("trajectory_id", "obs_noise_char_ratio"))),
+        "obs_keywords": t(per_observation),
+        "obs_utilization": t(lambda x: _r(raw(x).select("trajectory_id", "obs_utilization_ratio"))),
+        "unique_action_ratio": t(lambda x: _r(raw(x).select("trajectory_id", "unique_action_ratio", "test_alignment_score"))),
+        "tool_counts": t(lambda x: raw(x).select("trajectory_id", F.explode("tool_call_counts").alias("tool", "n"))),
+        "token_totals": t(lambda x: raw(x).select("trajectory_id", "total_tokens")),
+        "action_entropy": t(lambda x: _r(v1(x).select("trajectory_id", "action_diversity"))),
+        "score_v1": t(lambda x: _r(v1(x).select("trajectory_id", "truncation_ratio", "outcome_success", "step_efficiency", "observation_noise", "action_diversity", "composite_q"))),
+        "score_v2": t(lambda x: _r(scores.add_v2(v1(x)).select("trajectory_id", "step_count_ratio", "v2_correctness", "v2_efficiency", "v2_style", "v2_completeness", "composite_v2"))),
+        "score_v3": t(lambda x: _r(v3(x).select("trajectory_id", "passes_gate", *SUB_SCORES, "efficiency_score", "style_score", "composite_score"))),
+        "task_median": t(lambda x: scores.task_medians(raw(x))),
+        "gate_filter": s(lambda x: _r(x.filter(scores.passes_gate()).select("trajectory_id", "total_tokens", scores.truncation_ratio().alias("truncation_ratio")).distinct())),
+        "outcome_flags": s(lambda x: x.select("trajectory_id", (F.lower(F.trim(F.coalesce("exit_status", F.lit("")))) == "submit").alias("submitted"), scores.outcome_success().alias("outcome")).distinct()),
+        "tool_histogram": s(profile.tool_histogram),
+        "outcome_composition": s(lambda x: profile.outcomes(stats_flat(x), ["repo"])),
+        "global_summary": s(profile.global_summary),
+        "gate_summary": s(profile.gate_summary),
+        "top_repos": s(lambda x: profile.top_values(x, F.col("repo"))),
+        "describe_scored": c(lambda x: profile.describe(x, DIMENSIONS)),
+        "dim_variance": c(lambda x: profile.low_variance(x, SUB_SCORES)),
+        "histogram_tokens": s(lambda x: profile.histogram(x, "total_tokens", 80, positive=True)),
+        "histogram_turns": s(lambda x: profile.histogram(x, "assistant_turns", 50)),
+        "histogram_composite": c(lambda x: profile.histogram(x, "composite_score", 40)),
+        "boxplot_composite": c(lambda x: profile.boxplot(x, "repo", "composite_score")),
+        "schema_normalise": c(lambda x: _r(sinks.publishable(x).distinct(), "trajectory_id")),
+        "subset_stats": _t("stats", "scored")(lambda a, b: subsets.subset_stats(members(a, b))),
+        "subset_overlap": _t("stats", "scored")(lambda a, b: subsets.overlap(members(a, b))),
+        "subset_outcomes": _t("stats", "scored")(lambda a, b: profile.outcomes(members(a, b), ["subset_name"])),
+        "training_ids": _t("split_rows")(train_ids),
+        "quantile_filter": s(lambda x: testsets.quality_pool(pool(x), 0.9, True, ("submit", "success", "resolved"), 1).select("trajectory_id")),
+        "relaxed_pool": s(lambda x: testsets.quality_pool(pool(x), 0.1, False, ("failed",), 10_000).select("trajectory_id")),
+        "exclude_chain": _t("stats", "split_rows")(lambda a, b: pool(a).join(train_ids(b), "trajectory_id", "left_anti").select("trajectory_id")),
+        "testsets": _t("stats", "split_rows")(test_sets),
+        "testset_audit": _t("stats", "split_rows")(lambda a, b: testsets.audit(test_sets(a, b), train_ids(b))),
+        "leakage_audit": _t("split_rows")(lambda x: testsets.audit(x.filter(F.col("split") != "train").select("split", "trajectory_id").distinct(), train_ids(x))),
+        "fetch_rows": _t("trajectories", "split_rows")(lambda a, b: a.join(b.filter(F.col("split") == "gold").select("trajectory_id").distinct(), "trajectory_id", "left_semi").select("trajectory_id", "exit_status", "resolved").distinct()),
+        "experiment_subsets": _t("experiments", "split_rows")(lambda a, b: a.select("name", "subset").distinct().join(b.select(F.col("subset_name").alias("subset"), "trajectory_id").distinct(), "subset").groupBy("name", "subset").agg(F.count("*").alias("n"))),
+        "resume_unseen": _t("trajectories", "stats")(lambda a, b: readers.unseen(a, b.filter("resolved = 1")).select("trajectory_id").distinct()),
+        "chat_render": t(lambda x: messages_of(x).select("trajectory_id", chat.render().alias("text"))),
+        "assistant_spans": t(lambda x: chat.examples(x).select("trajectory_id", F.posexplode("spans").alias("k", "s")).select("trajectory_id", "k", F.col("s.begin").alias("span_begin"), F.col("s.end").alias("span_end"))),
+        "seq_lengths": t(lambda x: chat.examples(x).select("trajectory_id", F.length("text").alias("n_chars"), chat.span_chars().alias("n_label_chars"))),
+        "label_tokens": t(lambda x: chat.label_mask(chat.examples(x)).select("trajectory_id", F.size("input_ids").alias("n_tokens"), F.expr("size(filter(labels, v -> v != -100))").alias("n_labels"))),
+        "prefix_truncation": t(lambda x: messages_of(x).select("trajectory_id", chat.prefix("chat", 3).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
+        "prefix_truncation_5": t(lambda x: messages_of(x).select("trajectory_id", chat.prefix("chat", 5).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
+        "prefix_truncation_7": t(lambda x: messages_of(x).select("trajectory_id", chat.prefix("chat", 7).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
+        "first_action": t(lambda x: messages_of(x).select("trajectory_id", chat.first_action("chat").alias("f")).filter("f IS NOT NULL").select("trajectory_id", F.size("f.prompt").alias("n_prompt"), "f.target")),
+        "action_type": t(lambda x: action_rows(x).select("trajectory_id", "pred_action_type", "gt_action_type", "action_type_match")),
+        "format_score": t(lambda x: action_rows(x).select("trajectory_id", "format_score")),
+        "path_extract": t(lambda x: action_pairs(x).select("trajectory_id", F.explode(textmetrics.file_paths(F.col("truth"))).alias("path"))),
+        "path_jaccard": t(lambda x: _r(action_rows(x).select("trajectory_id", "file_match_score"))),
+        "exact_match": t(lambda x: action_rows(x).select("trajectory_id", "exact_match")),
+        "rouge_l": t(lambda x: _r(action_pairs(x).select("trajectory_id", textmetrics.rouge_l("generated", "truth").alias("rouge_l")))),
+        "bleu4": t(lambda x: _r(action_pairs(x).select("trajectory_id", textmetrics.bleu4("generated", "truth").alias("bleu4")))),
+        "action_summary": t(lambda x: action_rows(x).agg(F.count("*").alias("n_evaluated"), F.round(F.avg(F.col("action_type_match").cast("int")), 6).alias("action_type_acc"), F.round(F.avg("file_match_score"), 6).alias("file_match"), F.round(F.avg("format_score"), 6).alias("format_score"), F.round(F.avg(F.col("exact_match").cast("int")), 6).alias("exact_match"))),
+        "category_dist": t(lambda x: profile.category_shares(action_rows(x).withColumn("grp", F.lit("all")), "grp", F.col("gt_action_type"))),
+        "loss_summary": _t("stats", "split_rows")(losses),
+        "loss_pivot": _t("stats", "split_rows")(lambda a, b: statistics.loss_pivot(losses(a, b))),
+        "ablation_delta": _t("stats", "split_rows")(lambda a, b: statistics.relative_delta(losses(a, b), "submit")),
+        "impact_rank": _t("stats", "split_rows")(lambda a, b: statistics.impact_rank(statistics.relative_delta(losses(a, b), "submit"), "submit").select("model", "split", "impact")),
+        "quality_gradient": _t("stats", "split_rows")(lambda a, b: statistics.quality_gradient(losses(a, b))),
+        "scaling_delta": _t("stats", "split_rows")(lambda a, b: statistics.scaling(losses(a, b), a.sparkSession.createDataFrame([("cost", "exit_cost", "submit"), ("time", "timeout", "submit")], "strategy string, small string, large string"))),
+        "mann_whitney": s(lambda x: _r(statistics.mann_whitney(x, "composite_q", F.col("has_patch")))),
+        "spearman": s(_spearman),
+        "linear_fit": s(lambda x: statistics.linear_fit(repo_points(x), "turns", "tokens")),
+        "bootstrap_mean": s(lambda x: statistics.bootstrap_mean(repo_points(x), "q", ["q", "repo"], rounds=200)),
+        "bootstrap_band": s(lambda x: statistics.bootstrap_band(repo_points(x), "turns", "q", [10.0, 20.0, 40.0], ["repo"], rounds=200)),
+        "incremental_merge": c(_merge),
+        "seq_stats_steps": p(lambda x: x.select("trajectory_id", "step_idx", "n_tokens").distinct().agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"), F.round(F.avg("n_tokens"), 6).alias("mean"), F.median("n_tokens").alias("median"))),
+        "experiment_matrix": e(lambda x: x.distinct().groupBy("hypothesis").agg(F.count("*").alias("n"), F.round(F.sum("est_gpu_hours"), 6).alias("gpu_hours"))),
+        "activity_windows": _t("events")(activity),
+    }
+    for spec in subsets.catalogue():
+        q[subset_query_name(spec.name)] = _catalogue_query(spec.name)
+    return q
+
+
+def stats_flat(stats: DataFrame) -> DataFrame:
+    """Distinct rows without the map, since rows are delivered twice."""
+    return stats.drop("tool_call_counts").distinct()
