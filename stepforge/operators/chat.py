@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.config import LIMITS
+from stepforge.sources.tables import spread
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 START, END = "<|im_start|>", "<|im_end|>"
@@ -38,7 +39,7 @@ def chat_messages(messages: str = "trajectory") -> Column:
 
 def with_chat(trajectories: DataFrame, least: int = 2) -> DataFrame:
     """adds ``chat``; conversations of fewer than ``least`` messages are rejected."""
-    return trajectories.withColumn("chat", chat_messages()).filter(F.size("chat") >= least)
+    return spread(trajectories).withColumn("chat", chat_messages()).filter(F.size("chat") >= least)
 
 
 def render(chat: str = "chat") -> Column:
@@ -102,32 +103,36 @@ def word_tokens(text: str) -> list[tuple[int, int, int]]:
     return [(zlib.crc32(m[0].encode("utf-8", "replace")) & 0x7FFFFFFF, m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
-def prefix(chat: str, steps: int) -> Column:
-    """``struct<prompt, target>`` after ``steps`` (user, assistant) turns, NULL if the conversation is shorter.
+def with_turns(df: DataFrame, chat: str = "chat") -> DataFrame:
+    """Adds ``system`` and ``others`` (messages) and ``turns``: adjacent user-assistant pairs of the others."""
+    return (
+        df.withColumn("system", F.expr(f"filter({chat}, m -> m.role = 'system')"))
+        .withColumn("others", F.expr(f"filter({chat}, m -> m.role <> 'system')"))
+        .withColumn("turns", F.expr("filter(transform(others, (m, i) -> named_struct('u', m, 'a', get(others, i + 1))), t -> t.u.role = 'user' AND t.a.role = 'assistant')"))
+    )
+
 
-    Turns are adjacent user-assistant pairs of the non-system messages. The
-    prompt is system messages, the first turns and the next user message; the
-    target is the reply to it.
+def prefix(steps: int) -> Column:
+    """W5, over ``with_turns``: ``struct<prompt, target>`` after ``steps`` turns, NULL if the conversation is shorter.
+
+    The prompt is the system messages, the first turns and the next user
+    message; the target is the reply to it.
     """
-    others = f"filter({chat}, m -> m.role <> 'system')"
-    turns = f"filter(transform({others}, (m, i) -> named_struct('u', m, 'a', get({others}, i + 1))), t -> t.u.role = 'user' AND t.a.role = 'assistant')"
     return F.expr(f"""
-        CASE WHEN size({turns}) > {steps} THEN named_struct(
-          'prompt', concat(filter({chat}, m -> m.role = 'system'), flatten(transform(slice({turns}, 1, {steps}), t -> array(t.u, t.a))), array(get({turns}, {steps}).u)),
-          'target', get({turns}, {steps}).a.content) END
+        CASE WHEN size(turns) > {steps} THEN named_struct(
+          'prompt', concat(system, flatten(transform(slice(turns, 1, {steps}), t -> array(t.u, t.a))), array(get(turns, {steps}).u)),
+          'target', get(turns, {steps}).a.content) END
     """)
 
 
-def first_action(chat: str) -> Column:
-    """``struct<prompt, target>``: systems and the first user message, and the first assistant reply.
+def first_action() -> Column:
+    """W6, over ``with_turns``: ``struct<prompt, target>``: systems and the first user message, and the first reply.
 
     NULL if the first other message isn't the user's or nobody replies.
     """
-    others = f"filter({chat}, m -> m.role <> 'system')"
-    replies = f"filter({chat}, m -> m.role = 'assistant')"
-    return F.expr(f"""
-        CASE WHEN get({others}, 0).role = 'user' AND size({replies}) > 0 THEN named_struct(
-          'prompt', concat(filter({chat}, m -> m.role = 'system'), array(get({others}, 0))), 'target', get({replies}, 0).content) END
+    return F.expr("""
+        CASE WHEN get(others, 0).role = 'user' AND exists(others, m -> m.role = 'assistant') THEN named_struct(
+          'prompt', concat(system, array(get(others, 0))), 'target', get(filter(others, m -> m.role = 'assistant'), 0).content) END
     """)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.config import ERROR_KEYWORDS, FILE_EXTENSIONS, LIMITS, NOISE_PATTERNS, TEST_KEYWORDS, Limits
+from stepforge.sources.tables import spread
 
 #: Line ends as text processing knows them.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
@@ -99,11 +100,14 @@ def keywords(text: str) -> str:
         transform(regexp_extract_all({text}, r'(?U)\\b\\w+(?:Error|Exception|Warning)\\b', 0), e -> lower(e))))"""
 
 
-def utilization(acts: str = "actions") -> Column:
-    """C3 (W4): share of an observation's keywords that a later action takes up; 1 if there are none."""
+def utilization(acts: str = "actions", texts: str = "action_texts") -> Column:
+    """C3 (W4): share of an observation's keywords that a later action takes up; 1 if there are none.
+
+    ``texts`` holds the actions' texts in lower case, made once per row.
+    """
     return F.expr(f"""
         aggregate(
-          transform({acts}, (a, k) -> transform({keywords("a.obs")}, w -> exists(slice({acts}, k + 2, size({acts})), p -> contains(lower(p.action_text), w)))),
+          transform({acts}, (a, k) -> transform({keywords("a.obs")}, w -> exists(slice({texts}, k + 2, size({texts})), p -> contains(p, w)))),
           named_struct('n', 0L, 'u', 0L),
           (s, f) -> named_struct('n', s.n + size(f), 'u', s.u + size(filter(f, x -> x))),
           s -> CASE WHEN s.n = 0 THEN 1.0D ELSE s.u / s.n END)
@@ -141,7 +145,8 @@ def trajectory_stats(trajectories: DataFrame, limits: Limits = LIMITS) -> DataFr
     names = F.expr("array_distinct(transform(calls, c -> c.name))")
     tests = any_of(TEST_KEYWORDS)
     per_row = (
-        with_actions(trajectories)
+        with_actions(spread(trajectories))
+        .withColumn("action_texts", F.expr("transform(actions, a -> lower(a.action_text))"))
         .withColumn("n_actions", F.size("actions").cast("long"))
         .withColumn("tools", names)
         .withColumn("tool_call_counts", F.expr("map_from_entries(transform(tools, t -> struct(t, CAST(size(filter(calls, c -> c.name = t)) AS BIGINT))))"))

@@ -110,9 +110,13 @@ def messages_of(trajectories: DataFrame) -> DataFrame:
     return chat.with_chat(trajectories).select("trajectory_id", "chat").distinct()
 
 
+def turns_of(trajectories: DataFrame) -> DataFrame:
+    return chat.with_turns(messages_of(trajectories))
+
+
 def action_pairs(trajectories: DataFrame) -> DataFrame:
     """Generated against true actions: the reply after three turns stands in for a prediction of the first one."""
-    m = messages_of(trajectories).select("trajectory_id", chat.first_action("chat").alias("f"), chat.prefix("chat", 3).alias("p"))
+    m = turns_of(trajectories).select("trajectory_id", chat.first_action().alias("f"), chat.prefix(3).alias("p"))
     return m.filter("f IS NOT NULL AND p IS NOT NULL").select("trajectory_id", F.col("p.target").alias("generated"), F.col("f.target").alias("truth"))
 
 
@@ -225,10 +229,10 @@ def queries() -> dict[str, Query]:
         "assistant_spans": t(lambda x: chat.examples(x).select("trajectory_id", F.posexplode("spans").alias("k", "s")).select("trajectory_id", "k", F.col("s.begin").alias("span_begin"), F.col("s.end").alias("span_end"))),
         "seq_lengths": t(lambda x: chat.examples(x).select("trajectory_id", F.length("text").alias("n_chars"), chat.span_chars().alias("n_label_chars"))),
         "label_tokens": t(lambda x: chat.label_mask(chat.examples(x)).select("trajectory_id", F.size("input_ids").alias("n_tokens"), F.expr("size(filter(labels, v -> v != -100))").alias("n_labels"))),
-        "prefix_truncation": t(lambda x: messages_of(x).select("trajectory_id", chat.prefix("chat", 3).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
-        "prefix_truncation_5": t(lambda x: messages_of(x).select("trajectory_id", chat.prefix("chat", 5).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
-        "prefix_truncation_7": t(lambda x: messages_of(x).select("trajectory_id", chat.prefix("chat", 7).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
-        "first_action": t(lambda x: messages_of(x).select("trajectory_id", chat.first_action("chat").alias("f")).filter("f IS NOT NULL").select("trajectory_id", F.size("f.prompt").alias("n_prompt"), "f.target")),
+        "prefix_truncation": t(lambda x: turns_of(x).select("trajectory_id", chat.prefix(3).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
+        "prefix_truncation_5": t(lambda x: turns_of(x).select("trajectory_id", chat.prefix(5).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
+        "prefix_truncation_7": t(lambda x: turns_of(x).select("trajectory_id", chat.prefix(7).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
+        "first_action": t(lambda x: turns_of(x).select("trajectory_id", chat.first_action().alias("f")).filter("f IS NOT NULL").select("trajectory_id", F.size("f.prompt").alias("n_prompt"), "f.target")),
         "action_type": t(lambda x: action_rows(x).select("trajectory_id", "pred_action_type", "gt_action_type", "action_type_match")),
         "format_score": t(lambda x: action_rows(x).select("trajectory_id", "format_score")),
         "path_extract": t(lambda x: action_pairs(x).select("trajectory_id", F.explode(textmetrics.file_paths(F.col("truth"))).alias("path"))),

@@ -1,5 +1,5 @@
 """Readers, validators and sinks."""
 
-from stepforge.sources.tables import table
+from stepforge.sources.tables import spread, table
 
-__all__ = ["table"]
+__all__ = ["spread", "table"]
