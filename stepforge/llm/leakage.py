@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.functions.fold import plain, words
+from stepforge.sources import spread
 
 #: Characters of evaluation text per broadcast block.
 BLOCK_CHARS = 8_000_000
@@ -288,7 +289,7 @@ def leaks(documents: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
     and code are not an item's own text.  Empty inputs give no rows.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    docs = spread(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     out = None
     for block in _blocks(items):
         own = _own_sentences(block, rules)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions.ids import source_key
 from stepforge.session import cut
+from stepforge.sources import spread
 
 #: The public tokenizer whose tokens are counted; TOKENIZER in the environment or the argument replaces it.
 TOKENIZER = os.environ.get("STEPFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -50,7 +51,7 @@ def _encoding(path: str) -> object:
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source (key), text_hash, n_tokens`` of the documents with text and source."""
-    rows = documents.select("doc_id", source_key("source").alias("key"), "text").filter("doc_id IS NOT NULL AND key IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    rows = spread(documents).select("doc_id", source_key("source").alias("key"), "text").filter("doc_id IS NOT NULL AND key IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoding(tokenizer).encode_ordinary
