@@ -66,8 +66,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         before = F.sum("t").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
         ranks = counts.select(c, (F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2).alias(f"r{c}"))
         ranked = ranked.join(ranks, c)
-    flat = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
-    return ranked.agg(F.count("*").alias("n"), F.round(F.when((F.count("*") >= 3) & flat, F.corr("rx", "ry")), 6).alias("rho"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return ranked.agg(F.count("*").alias("n"), F.round(F.when(F.count("*") >= 3, rho), 6).alias("rho"))
 
 
 def spearman_p(ranks_x: list[float], ranks_y: list[float]) -> float:
