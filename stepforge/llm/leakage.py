@@ -48,7 +48,7 @@ class LeakRules:
     sentences     least number of repeated sentences
     min_words     least number of words in them
     stock_items   a sentence of more than this share of the items (and of more than two) is a stock phrase
-    stock_docs    so is one that this share of all documents repeats word by word
+    stock_docs    so is one that this share of all documents (and more than five) repeats word by word
     """
 
     information: float = 7.0
@@ -294,11 +294,11 @@ def leaks(documents: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
     for block in _blocks(items):
         own = _own_sentences(block, rules)
         n, pair_df, whole_df = _count(docs, own)
-        kept = [(i, s) for i, s in own if whole_df[s] <= max(2, rules.stock_docs * n)]
+        kept = [(i, s) for i, s in own if whole_df[s] <= max(5, rules.stock_docs * n)]
         weight = {p: max(0.0, min(rules.weight_cap, math.log((n + 1) / (c + 1)))) for p, c in pair_df.items()}
-        # With few documents hardly any pair looks common, so weights are blended with counts in the block itself.
+        # With few documents hardly any pair looks common, so pairs that recur in the block itself weigh no more than there.
         in_block = Counter(p for _, s in own for p in set(zip(s, s[1:], strict=False)))
-        weight = {p: min(x, max(0.0, math.log((len(own) + 1) / in_block[p]))) for p, x in weight.items()}
+        weight = {p: min(x, max(0.0, math.log((len(own) + 1) / in_block[p]))) if in_block[p] > 2 else x for p, x in weight.items()}
         index = Index([i for i, _ in kept], [s for _, s in kept], pair_weight=weight)
         for w in sorted({w for _, s in kept for w in s}):
             index.vocabulary[w] = len(index.vocabulary) + 1
