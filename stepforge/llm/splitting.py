@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +94,35 @@ def merge(sizes: list[int], strengths: list[int], most: int) -> list[tuple[int,
     return [(i, last[i]) for i in range(n) if alive[i]]
 
 
-_PIECES = "trajectory_id string, chunk long, at int, start_token long, end_token long, first_step int, last_step int, cut string"
+_PIECES = "trajectory_id string, chunk long, start_token long, end_token long, first_step int, last_step int, cut string"
+_NAMES = [f.split()[0] for f in _PIECES.split(", ")]
+_ARROW = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in _PIECES.split(", ")])
+
+
+def _pieces_of(parts: list[dict], base: int, most: int) -> list[tuple[int, int, int | None, int | None, str]]:
+    """Pieces (start, end, first step, last step, kind of cut) of one chunk's segments, in order of their steps."""
+    sizes: list[int] = []
+    strengths: list[int] = []
+    owner: list[int] = []
+    tool = None
+    for part in parts:
+        step, n = part["step_idx"], part["n"]
+        kind = STRENGTH["step" if part["tool"] == tool and step >= 0 else "tool"]
+        tool = part["tool"]
+        if n > 0:
+            for size, strength in atoms(n, [t for t in part["texts"] or [] if t], most, kind):
+                sizes.append(size)
+                strengths.append(strength)
+                owner.append(step)  # the prompt, -1, comes first
+    ends, total = [], base
+    for size in sizes:
+        total += size
+        ends.append(total)
+    out = []
+    for a, b in merge(sizes, strengths, most):
+        steps = [s for s in (owner[a], owner[min(a + 1, b)], owner[b]) if s >= 0]
+        out.append((ends[a] - sizes[a], ends[b], min(steps, default=None), max(steps, default=None), _KIND[strengths[a]]))
+    return out
 
 
 def _latest(c: str, by: str = "ingested_at") -> Column:
@@ -167,38 +196,16 @@ def split(stats: DataFrame, steps: DataFrame, trajectories: DataFrame, limit: in
     bases = home(before).groupBy("trajectory_id", "chunk").agg(F.min("base").alias("base"))
     segments = home(rows.unionByName(prompts)).join(bases, ["trajectory_id", "chunk"])
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step_idx")
-        sizes: list[int] = []
-        strengths: list[int] = []
-        owner: list[int] = []
-        tool = None
-        for step, n, name, texts in zip(pdf["step_idx"], pdf["n"], pdf["tool"], pdf["texts"], strict=True):
-            kind = STRENGTH["step" if name == tool and step >= 0 else "tool"]
-            tool = name
-            if n <= 0:
-                continue
-            for size, strength in atoms(int(n), [t for t in (texts if texts is not None else []) if t], most, kind):
-                sizes.append(size)
-                strengths.append(strength)
-                owner.append(int(step))  # the prompt, -1, comes first
-        edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]) + int(pdf["base"].iloc[0])
-        found = merge(sizes, strengths, most)
-        steps_of = lambda a, b: [s for s in (owner[a], owner[min(a + 1, b)], owner[b]) if s >= 0]
-        return pd.DataFrame(
-            {
-                "trajectory_id": pdf["trajectory_id"].iloc[0],
-                "chunk": int(pdf["chunk"].iloc[0]),
-                "at": np.arange(len(found), dtype=np.int32),
-                "start_token": [int(edges[a]) for a, _ in found],
-                "end_token": [int(edges[b + 1]) for _, b in found],
-                "first_step": pd.array([min(steps_of(a, b), default=None) for a, b in found], dtype="Int32"),
-                "last_step": pd.array([max(steps_of(a, b), default=None) for a, b in found], dtype="Int32"),
-                "cut": [_KIND[strengths[a]] for a, _ in found],
-            }
-        )
+    gathered = segments.groupBy("trajectory_id", "chunk").agg(F.first("base").alias("base"), F.sort_array(F.collect_list(F.struct("step_idx", "n", "tool", "texts"))).alias("segments"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, chunk, base, parts in zip(*(batch.column(c).to_pylist() for c in ("trajectory_id", "chunk", "base", "segments")), strict=True):
+                out += [(key, chunk, *piece) for piece in _pieces_of(parts, base, most)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, row, strict=True)) for row in out], schema=_ARROW)
 
-    pieces = segments.groupBy("trajectory_id", "chunk").applyInPandas(lambda pdf: cut(pdf), _PIECES)
+    pieces = gathered.mapInArrow(cut, _PIECES)
     order = Window.partitionBy("trajectory_id").orderBy("start_token")
     size = F.col("end_token") - F.col("start_token")
     return (
