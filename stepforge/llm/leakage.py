@@ -216,7 +216,8 @@ class Searcher:
                         break
         self.sentence, self.offset = np.array(sentence, np.int64), np.array(offset, np.int64)
         self.query, self.length, self.before = np.array(query, np.int32).reshape(-1, DEPTH), np.array(length, np.int64), np.array(before, np.int64)
-        self.sums = [sum(index.pair_weight[p] for p in zip(s, s[1:], strict=False)) for s in index.words]
+        self.pairs = [[(p, index.pair_weight[p]) for p in zip(s, s[1:], strict=False)] for s in index.words]
+        self.sums = [sum(x for _, x in pairs) for pairs in self.pairs]
 
     def matches(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, sentence, place of the sentence's start, and words of every left-maximal match."""
@@ -266,6 +267,10 @@ class Searcher:
         n, weight, best = len(sent), self.index.pair_weight, None
         for a in {max(0, x) // 4 for x in starts}:
             window = doc[max(0, a * 4 - 4) : a * 4 + n + 8]
+            # What the window's word pairs could keep at most, in any order; below the rule no alignment is needed.
+            there = set(zip(window, window[1:], strict=False))
+            if sum(x for p, x in self.pairs[s] if p in there) < self.rules.wording * self.sums[s]:
+                continue
             bag = Counter(window)
             common = sum(min(c, bag[w]) for w, c in Counter(sent).items())
             if common < self.rules.sentence * n:
