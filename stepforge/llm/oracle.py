@@ -1,5 +1,11 @@
 """SQL twins of the training-data queries that SQL can express."""
 
+from __future__ import annotations
+
+from stepforge.llm.sampling import SALT
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Ids in ``stats`` are canonical already, so the SQL need not respell them."""
+    u = f"(('0x' || substr(md5('{SALT}:' || trajectory_id), 1, 13))::UBIGINT / 4503599627370496.0)"
+    return {"p4_sample": f"SELECT trajectory_id, count(*) AS n_rows, round({u}, 9) AS u FROM stats WHERE {u} < 0.1 GROUP BY trajectory_id"}
