@@ -59,6 +59,7 @@ MOST_A_WORD = 4.0
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_](?:[ .\-_*+|/]|\. )){3,}[^\W_](?![^\W_])")
 _CLASS_NAME = re.compile(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b")
+_CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Words, mentions and marks; a full stop, colon or bracket that ends something, and a line break, end the passage.
 _TOKEN = re.compile(r"@\w[\w\-]*|[^\W_][\w'*$@!#]*[\w*$]|[\w*$]+|[?!]+|\n|[.;](?=[\s\"')]|$)|\(['\"]|['\"]\)|[|>](?=\s)")
 _ENDS = frozenset("\n.;|>") | {"('", '("', "')", '")'}
@@ -72,11 +73,20 @@ def squeeze(word: str) -> str:
     return _RUN.sub(r"\1", word)
 
 
+def _tokens(text: str) -> list[str]:
+    """Tokens of a text in lower case; words joined by capitals become joined by underscores."""
+    text = _CLASS_NAME.sub(lambda m: _CAPITAL.sub("_", m[0]), plain(text)).lower()
+    if _SPACED.search(text):
+        text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*+|/]", "", m[0]), text)
+    return _TOKEN.findall(text)
+
+
 class Reader:
     """Turns a text into passages of canonical words, with the help of a vocabulary."""
 
-    def __init__(self, vocabulary: Iterable[str] = ()) -> None:
+    def __init__(self, vocabulary: Iterable[str] = (), names: Iterable[str] = ()) -> None:
         self.known = frozenset(vocabulary)
+        self.plain = (self.known - frozenset(names)) | {"a", "i"}  # words that speak for a sentence where words are joined
         self.by_length: dict[int, list[str]] = defaultdict(list)
         for w in sorted(self.known):
             self.by_length[len(w)].append(w)
@@ -90,8 +100,8 @@ class Reader:
         token = token.strip("'")
         if token.isdigit():
             return ("<n>",)
-        if "_" in token.strip("_") or token == "classname_":
-            return ("<id>",)
+        if "_" in token.strip("_"):
+            return self._joined(token.split("_")) or ("<id>",)
         if not token.isalpha():
             if "*" in token or "#" in token:
                 return (self._masked(token),)
@@ -129,14 +139,16 @@ class Reader:
                         best[end] = (*best[start], word[start:end])
         return best[-1] or ()
 
+    def _joined(self, parts: list[str]) -> tuple[str, ...]:
+        """Words joined by underscores or capitals, if most are words of running text; none of an identifier."""
+        found = tuple(w for p in parts if p for w in self._read(p))
+        return found if 2 * sum(w in self.plain for w in found) > len(found) else ()
+
     def passages(self, text: str) -> list[list[str]]:
         """The sentences of a text as canonical words."""
-        text = _CLASS_NAME.sub("classname_", plain(text)).lower()
-        if _SPACED.search(text):
-            text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*+|/]", "", m[0]), text)
         out: list[list[str]] = [[]]
         read = self.read
-        for token in _TOKEN.findall(text):
+        for token in _tokens(text):
             if token in _ENDS:
                 if out[-1]:
                     out.append([])
@@ -272,9 +284,10 @@ class Detector:
     abusive: Counts
     ordinary: Counts
     threshold: float
+    names: list[str] = field(default_factory=list)  # words of the vocabulary that are commoner in identifiers
 
     def scorer(self) -> tuple[Reader, Scorer]:
-        return Reader(self.vocabulary), Scorer(self.abusive, self.ordinary)
+        return Reader(self.vocabulary, self.names), Scorer(self.abusive, self.ordinary)
 
 
 def _odd_spans(docs: list[tuple[list[list[str]], int, int]]) -> list[list[list[str]]]:
@@ -311,12 +324,15 @@ def train(reviewed: list[tuple[str, int]], background: Iterable[str] = ()) -> De
     texts = [(t, label, True) for t, label in reviewed] + [(t, 0, False) for t in background]
     reader = Reader()
     df: Counter = Counter()
+    joined: Counter = Counter()
     for text, _, _ in texts:
         df.update({w for p in reader.passages(text) for w in p})
+        joined.update({squeeze(w) for t in _tokens(text) if "_" in t.strip("_") for w in t.split("_") if w})
     known = sorted(w for w, n in df.items() if n >= 2 and len(w) > 1 and w[0] != "<")
+    names = [w for w in known if joined[w] > df[w]]
     if not any(labels) or all(labels):
         return Detector(known, Counts(), Counts(), math.inf)
-    reader = Reader(known)
+    reader = Reader(known, names)
     docs = [(reader.passages(text), label, k % FOLDS) for k, (text, label, _) in enumerate(texts)]
     often = Counter(p for passages, _, _ in docs[len(labels) :] for p in set(map(tuple, passages)))
     rude = Counter(p for passages, label, _ in docs[: len(labels)] if label for p in set(map(tuple, passages)))
@@ -350,7 +366,7 @@ def train(reviewed: list[tuple[str, int]], background: Iterable[str] = ()) -> De
                     spans[k] = [p[s[1] : s[2]] for s, p in found if s[0] > EXAMPLE]
                 else:
                     doubted[k] = {i for i, (s, p) in enumerate(found) if s[0] > DOUBT and scorer.seen_often(p[s[1] : s[2]])}
-    return Detector(known, *everything, _threshold(scores[: len(labels)], labels))
+    return Detector(known, *everything, _threshold(scores[: len(labels)], labels), names)
 
 
 def _threshold(scores: list[float], labels: list[int]) -> float:
