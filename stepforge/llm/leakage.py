@@ -8,9 +8,11 @@ sentence against the document around them, so that altered copies count and
 sentences that merely share a mould do not.
 
 The evaluation set is small and sent to all tasks in blocks whose size is
-checked (``BLOCK_CHARS``); the documents are never shuffled.  Word-pair
+checked (``BLOCK_CHARS``); the search never shuffles the documents.  Word-pair
 frequencies, which tell a mould from what fills it, are counted over all
-documents in a first pass and only for pairs that occur in the evaluation set.
+distinct texts in a first pass and only for pairs that occur in the evaluation
+set.  That an item is repeated often never makes its sentences stock phrases:
+only texts that repeat nothing else of the item count for that.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ class LeakRules:
     sentences     least number of repeated sentences
     min_words     least number of words in them
     stock_items   a sentence of more than this share of the items (and of more than two) is a stock phrase
-    stock_docs    so is one that this share of all documents (and more than five) repeats word by word
+    stock_docs    so is one that this share of all distinct texts (and more than five) repeats word by word
+                  without another sentence of the item
     """
 
     information: float = 7.0
@@ -109,33 +112,45 @@ def _own_sentences(block: list[tuple[int, str]], rules: LeakRules) -> list[tuple
     return [(i, s) for i, ss in by_item.items() for s in ss if in_items[s] <= most]
 
 
-def _count(documents: DataFrame, own: list[tuple[int, tuple[str, ...]]]) -> tuple[int, dict, dict]:
-    """Documents in all, and how many hold each word pair and each whole sentence of the block."""
+def _distinct(docs: DataFrame) -> DataFrame:
+    """One document of those whose texts agree in letters and digits; only keys are gathered, texts are spread by id."""
+    keyed = docs.withColumn("key", F.md5(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return docs.repartition(docs.rdd.getNumPartitions(), "doc_id").join(first, "doc_id", "left_semi")
+
+
+def _count(texts: DataFrame, own: list[tuple[int, tuple[str, ...]]], rules: LeakRules) -> tuple[int, dict, dict]:
+    """Texts in all, how many hold each word pair of the block, and how many each whole sentence but nothing else of its items."""
     pairs = sorted({p for _, s in own for p in zip(s, s[1:], strict=False)})
     whole = sorted({s for _, s in own})
-    sent = documents.sparkSession.sparkContext.broadcast((pairs, whole))
+    sent = texts.sparkSession.sparkContext.broadcast((pairs, whole, own))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, whole = sent.value
+        pairs, whole, own = sent.value
         pair_id = {p: k for k, p in enumerate(pairs)}
         starts = defaultdict(list)
         for k, s in enumerate(whole):
-            starts[s[:3]].append((s, len(pairs) + k))
+            starts[s[:3]].append((s, k))
+        of_item, items_of = defaultdict(list), defaultdict(list)
+        for i, s in own:
+            of_item[i].append((s, {pair_id[p] for p in zip(s, s[1:], strict=False)}))
+            items_of[s].append(i)
         counts: Counter = Counter()
         for frame in frames:
             for text in frame["text"]:
                 counts[-1] += 1
                 w = words(text)
                 found = {pair_id.get(p) for p in set(zip(w, w[1:], strict=False))}
-                for k in range(len(w) - 2):
-                    for s, n in starts.get((w[k], w[k + 1], w[k + 2]), ()):
-                        if n not in found and tuple(w[k : k + len(s)]) == s:
-                            found.add(n)
                 found.discard(None)
                 counts.update(found)
+                hits = {n: s for k in range(len(w) - 2) for s, n in starts.get((w[k], w[k + 1], w[k + 2]), ()) if tuple(w[k : k + len(s)]) == s}
+                for n, s in hits.items():
+                    others = (ids for i in items_of[s] for t, ids in of_item[i] if t != s)
+                    if not any(len(ids & found) >= rules.sentence * len(ids) for ids in others):
+                        counts[len(pairs) + n] += 1
         yield pd.DataFrame({"k": list(counts.keys()), "n": list(counts.values())}, dtype="int64")
 
-    rows = documents.filter("text IS NOT NULL AND text <> ''").select("text").mapInPandas(count, "k long, n long")
+    rows = texts.select("text").mapInPandas(count, "k long, n long")
     total = {r.k: r.n for r in rows.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # at most the block's pairs
     n = total.pop(-1, 0)
     sent.unpersist()
@@ -295,11 +310,12 @@ def leaks(documents: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
     """
     spark = documents.sparkSession
     docs = spread(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    texts = _distinct(docs)
     out = None
     for block in _blocks(items):
         own = _own_sentences(block, rules)
-        n, pair_df, whole_df = _count(docs, own)
-        kept = [(i, s) for i, s in own if whole_df[s] <= max(5, rules.stock_docs * n)]
+        n, pair_df, alone = _count(texts, own, rules)
+        kept = [(i, s) for i, s in own if alone[s] <= max(5, rules.stock_docs * n)]
         weight = {p: max(0.0, min(rules.weight_cap, math.log((n + 1) / (c + 1)))) for p, c in pair_df.items()}
         # With few documents hardly any pair looks common, so pairs that recur in the block itself weigh no more than there.
         in_block = Counter(p for _, s in own for p in set(zip(s, s[1:], strict=False)))

@@ -1,6 +1,6 @@
 """Cases of the review: the operators do the whole job."""
 
-from stepforge.llm import toxicity
+from stepforge.llm import leakage, toxicity
 
 
 def test_joined_words_are_read():
@@ -12,3 +12,15 @@ def test_joined_words_are_read():
     assert flat("shut_up_y0u_1d10t")[-2:] == ["you", "idiot"]
     assert flat("the test_cache_limit and CacheLimit") == ["the", "<id>", "and", "<id>"]
     assert toxicity.Reader().passages("the shut_up_you") == [["the", "<id>"]]
+
+
+def test_copies_of_a_leak_are_no_stock_phrase(spark):
+    first = "the scheduler keeps seven stale tokens beside every frozen ledger"
+    second = "nobody noticed that the purple adapter rewrites each receipt twice"
+    stock = "please attach the complete output before you open this ticket"
+    items = spark.createDataFrame([(1, f"{first}. {second}. {stock}.")], "item_id long, text string")
+    docs = [(i, f"case {'x' * (i % 3)} says {first}. {second}." + " !" * i) for i in range(40)]
+    docs += [(100 + i, f"word{i} other{i * 7} reads file{i}. {stock}. thing{i} stays{i}.") for i in range(80)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.n_sentences for r in leakage.leaks(docs, items).collect()}
+    assert found == dict.fromkeys(range(40), 2)
