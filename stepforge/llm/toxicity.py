@@ -321,6 +321,7 @@ def train(reviewed: list[tuple[str, int]], background: Iterable[str] = ()) -> De
     Without a document of either class nothing is abusive: the threshold is infinite.
     """
     labels = [label for _, label in reviewed]
+    background = list(dict.fromkeys(background))  # copies of a text make nothing a stock phrase
     texts = [(t, label, True) for t, label in reviewed] + [(t, 0, False) for t in background]
     reader = Reader()
     df: Counter = Counter()
@@ -398,7 +399,9 @@ def fit(documents: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE_DOCUME
     texts = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
     labelled = texts.join(reviews(doc_labels), "doc_id")
     kinds = [labelled.filter("label = 1"), labelled.filter("label = 0"), texts.join(doc_labels.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))]
-    rows = [d.select(key.alias("k"), "text", "label").orderBy("k", "text").limit(sample).collect() for d in kinds]
+    kinds = [d.select(key.alias("k"), "text", "label") for d in kinds]
+    kinds[2] = kinds[2].groupBy("text").agg(F.min("k").alias("k"), F.lit(None).cast("int").alias("label"))  # copies take one place
+    rows = [d.select("k", "text", "label").orderBy("k", "text").limit(sample).collect() for d in kinds]
     reviewed = sorted((r for kind in rows[:2] for r in kind), key=lambda r: (r.k, r.text))
     return train([(r.text, r.label) for r in reviewed], [r.text for r in rows[2]])
 

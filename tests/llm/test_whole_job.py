@@ -24,3 +24,14 @@ def test_copies_of_a_leak_are_no_stock_phrase(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     found = {r.doc_id: r.n_sentences for r in leakage.leaks(docs, items).collect()}
     assert found == dict.fromkeys(range(40), 2)
+
+
+def test_copies_of_abuse_are_no_background():
+    calm = [f"The parser reads part {i} of the cache before the writer starts. The queue drops nothing here." for i in range(60)]
+    rude = [f"The parser reads part {i} of the cache. You are a {w} clown and nobody wants you here." for i in range(8) for w in ("worthless", "stupid", "pathetic")]
+    abuse = "You are a worthless toad and nobody wants you here."
+    copies = [f"The writer sorts the part before the cache loads. {abuse}"] * 40
+    d = toxicity.train([(t, 0) for t in calm] + [(t, 1) for t in rude], copies)
+    reader, scorer = d.scorer()
+    assert scorer.score(reader.passages(abuse)) > d.threshold
+    assert not any(t[2] == "toad" for t in d.ordinary.tri)
