@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from stepforge.sources import table
 CAP_COUNT = 40
 CAP_SHARE = 0.01
 SAMPLE_RATE = 0.1
-PIECE_LIMIT = 32_768
 PIECE_OVERLAP = 512
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,18 @@ def _capped_report(stats: DataFrame, scored: DataFrame) -> DataFrame:
     return capping.report(rows, capping.cap_share(rows, CAP_SHARE))
 
 
+def _split(experiments: DataFrame, stats: DataFrame, steps: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """Pieces for every context_length of the experiments; the overlap is at most half of it."""
+    lengths = sorted(r[0] for r in experiments.filter("context_length > 0").select("context_length").distinct().collect())
+    cut = lambda n: splitting.split(stats, steps, trajectories, n, min(PIECE_OVERLAP, n // 2)).select(F.lit(n).alias("context_length"), "*")
+    return reduce(DataFrame.unionByName, map(cut, lengths)) if lengths else cut(1).limit(0)
+
+
+def _split_report(*tables: DataFrame) -> DataFrame:
+    pieces = _split(*tables)
+    return pieces.groupBy("context_length", "cut").agg(F.count("*").alias("n_pieces"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"), F.max("n_tokens").alias("most_tokens"))
+
+
 def _toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return toxicity.scores(documents, toxicity.fit(documents, labels))
 
@@ -52,8 +64,8 @@ def queries() -> dict[str, Query]:
         "p3_report": _t("stats", "scored")(_capped_report),
         "p4_sample": _t("stats")(lambda s: sampling.sampled_ids(s, SAMPLE_RATE).select("trajectory_id", "n_rows", F.round("u", 9).alias("u"))),
         "p4_stability": _t("stats")(lambda s: sampling.stability(s, SAMPLE_RATE)),
-        "p5_split": _t("stats", "steps", "trajectories")(lambda s, st, t: splitting.split(s, st, t, PIECE_LIMIT, PIECE_OVERLAP)),
-        "p5_report": _t("stats", "steps", "trajectories")(lambda s, st, t: splitting.report(splitting.split(s, st, t, PIECE_LIMIT, PIECE_OVERLAP))),
+        "p5_split": _t("experiments", "stats", "steps", "trajectories")(_split),
+        "p5_report": _t("experiments", "stats", "steps", "trajectories")(_split_report),
         "p6_by_repo": _t("stats")(lambda s: grouped_split.assign(s, "repo")),
         "p6_by_instance": _t("stats")(lambda s: grouped_split.assign(s, "instance")),
         "p6_report": _t("stats")(lambda s: grouped_split.report(grouped_split.assign(s, "repo"))),

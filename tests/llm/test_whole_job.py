@@ -1,6 +1,10 @@
 """Cases of the review: the operators do the whole job."""
 
-from stepforge.llm import leakage, toxicity
+from pyspark.sql import functions as F
+
+from stepforge.llm import leakage, splitting, toxicity
+from stepforge.llm.queries import queries
+from stepforge.sources import table
 
 
 def test_joined_words_are_read():
@@ -35,3 +39,12 @@ def test_copies_of_abuse_are_no_background():
     reader, scorer = d.scorer()
     assert scorer.score(reader.passages(abuse)) > d.threshold
     assert not any(t[2] == "toad" for t in d.ordinary.tri)
+
+
+def test_every_context_length_is_split(spark, data):
+    lengths = {r[0] for r in table(spark, data, "experiments").filter("context_length > 0").select("context_length").distinct().collect()}
+    stats = table(spark, data, "stats")
+    want = {n: k for n in lengths if (k := splitting.oversized(stats, n).count())}
+    rows = queries()["p5_split"](spark, data).groupBy("context_length").agg(F.count_distinct("trajectory_id").alias("k"), F.max("n_tokens").alias("most")).collect()
+    assert len(want) > 1 and {r.context_length: r.k for r in rows} == want
+    assert all(r.most <= r.context_length for r in rows)
