@@ -251,8 +251,8 @@ def queries() -> dict[str, Query]:
         "mann_whitney": s(lambda x: _r(statistics.mann_whitney(x, "composite_q", F.col("has_patch")))),
         "spearman": s(_spearman),
         "linear_fit": s(lambda x: statistics.linear_fit(repo_points(x), "turns", "tokens")),
-        "bootstrap_mean": s(lambda x: statistics.bootstrap_mean(repo_points(x), "q", ["q", "repo"], rounds=200)),
-        "bootstrap_band": s(lambda x: statistics.bootstrap_band(repo_points(x), "turns", "q", [10.0, 20.0, 40.0], ["repo"], rounds=200)),
+        "bootstrap_mean": s(lambda x: statistics.bootstrap_mean(repo_points(x), "q", ["q", "repo"])),
+        "bootstrap_band": s(lambda x: statistics.bootstrap_band(repo_points(x), "turns", "q", [10.0, 20.0, 40.0], ["repo"])),
         "incremental_merge": c(_merge),
         "seq_stats_steps": p(lambda x: x.select("trajectory_id", "step_idx", "n_tokens").distinct().agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"), F.round(F.avg("n_tokens"), 6).alias("mean"), F.median("n_tokens").alias("median"))),
         "experiment_matrix": e(lambda x: x.distinct().groupBy("hypothesis").agg(F.count("*").alias("n"), F.round(F.sum("est_gpu_hours"), 6).alias("gpu_hours"))),

@@ -48,3 +48,14 @@ def test_every_context_length_is_split(spark, data):
     rows = queries()["p5_split"](spark, data).groupBy("context_length").agg(F.count_distinct("trajectory_id").alias("k"), F.max("n_tokens").alias("most")).collect()
     assert len(want) > 1 and {r.context_length: r.k for r in rows} == want
     assert all(r.most <= r.context_length for r in rows)
+
+
+def test_bootstrap_queries_resample_in_full(spark, data, monkeypatch):
+    from stepforge.operators import statistics
+    from stepforge.plans import core
+
+    seen = []
+    for name in ("bootstrap_mean", "bootstrap_band"):
+        monkeypatch.setattr(statistics, name, lambda *a, **k: seen.append(k.get("rounds", statistics.LIMITS.bootstrap_rounds)))
+        core.queries()[name](spark, data)
+    assert seen == [2000, 2000]
