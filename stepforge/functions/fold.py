@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterable
 
 # Letters of other alphabets that look like Latin ones.
 LOOKALIKES = {
@@ -15,7 +16,7 @@ LOOKALIKES = {
     "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ı": "i", "ſ": "s", "ɑ": "a", "ɡ": "g",
 }
-_LOOK = str.maketrans(LOOKALIKES)
+_LOOK = re.compile(f"[{''.join(LOOKALIKES)}]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s[^<>]{0,200})?/?>")
 _BREAK = re.compile(r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
@@ -23,11 +24,24 @@ _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u18
 _SPACE = re.compile(r"[^\S\n]+")
 
 
-def plain(text: str, keep_accents: bool = False) -> str:
-    """The text without entities, tags, escapes, invisible characters and look-alike letters.
 
-    Line breaks become ``\\n``, other white space one blank; case is kept.
-    """
+
+def _ranges(codes: Iterable[int]) -> str:
+    """The inside of a character class for ascending code points."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+_MARKS = re.compile(f"[{_ranges(c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c)))}]+")
+
+
+def _folded(text: str, keep_accents: bool) -> str:
+    """``plain`` with line breaks and blanks as they are."""
     if "\\n" in text or "\\u" in text or '\\"' in text:  # a text inside a JSON string
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
         text = text.replace("\\n", "\n").replace("\\t", " ").replace("\\r", "\n").replace('\\"', '"')
@@ -37,10 +51,18 @@ def plain(text: str, keep_accents: bool = False) -> str:
         text = _TAG.sub(" ", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-        text = text.translate(_LOOK)
+        text = _LOOK.sub(lambda m: LOOKALIKES[m[0]], text)
         if not keep_accents:
-            text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return _SPACE.sub(" ", _BREAK.sub("\n", text))
+            text = _MARKS.sub("", unicodedata.normalize("NFD", text))
+    return text
+
+
+def plain(text: str, keep_accents: bool = False) -> str:
+    """The text without entities, tags, escapes, invisible characters and look-alike letters.
+
+    Line breaks become ``\\n``, other white space one blank; case is kept.
+    """
+    return _SPACE.sub(" ", _BREAK.sub("\n", _folded(text, keep_accents)))
 
 
 _WORD = re.compile(r"\w+(?:\.\w+)*")
@@ -48,4 +70,5 @@ _WORD = re.compile(r"\w+(?:\.\w+)*")
 
 def words(text: str) -> list[str]:
     """Lower-case words of the plain text; dots inside a word go, so names and numbers stay one word."""
-    return [w.replace(".", "") if "." in w else w for w in _WORD.findall(plain(text).lower())]
+    found = _WORD.findall(_folded(text, False).lower())
+    return [w.replace(".", "") if "." in w else w for w in found] if "." in text else found
