@@ -74,6 +74,7 @@ def queries() -> dict[str, Query]:
         "p7_collapsed": _t("steps")(runs.collapsed),
         "p8_found": _t("documents", "eval_items")(lambda d, e: leakage.leaks(d, e).select("doc_id", "item_id")),
         "p8_items": _t("documents", "eval_items")(lambda d, e: leakage.item_report(e, leakage.leaks(d, e))),
+        "p8_stock": _t("documents", "eval_items")(leakage.stock_sentences),
         "p8_clean": _t("documents", "eval_items")(lambda d, e: leakage.without_leaks(d.select("doc_id", "source", "n_chars"), leakage.leaks(d, e))),
         "p9_mix": _t("documents", "mix_targets")(mixing.mix),
         "p9_shares": _t("documents", "mix_targets")(lambda d, m: mixing.shares(mixing.mix(d, m), m)),

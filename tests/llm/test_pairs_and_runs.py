@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stepforge.functions.fold import words
 from stepforge.llm import leakage, overlap, runs
 
 STEPS = "trajectory_id string, step_idx int, action_text string, started_at timestamp, ended_at timestamp, ingested_at timestamp"
@@ -135,11 +136,28 @@ def test_runs_edges(spark):
 
 def test_suffix_order():
     rng = random.Random(5)
-    tokens = np.array([rng.randrange(4) for _ in range(300)] + [0] * leakage.DEPTH, np.int32)
-    order = leakage.suffix_order(tokens)
-    keys = [tuple(tokens[i : i + leakage.DEPTH].tolist()) for i in order]
+    depth = 7
+    tokens = np.array([rng.randrange(4) for _ in range(300)] + [0] * depth, np.int32)
+    order = leakage.suffix_order(tokens, depth)
+    keys = [tuple(tokens[i : i + depth].tolist()) for i in order]
     keys = [k[: k.index(0)] if 0 in k else k for k in keys]  # texts end at a 0
     assert keys == sorted(keys) and set(order) == set(np.flatnonzero(tokens))
+    query = np.array([[1, 2, 3], [2, 2, 0], [3, 0, 0]], np.int32)
+    length = np.array([3, 2, 1])
+    lo, hi = (leakage._bound(tokens, order, query, length, upper) for upper in (False, True))
+    for q, n, a, b in zip(query.tolist(), length.tolist(), lo.tolist(), hi.tolist()):
+        assert set(order[a:b].tolist()) == {i for i in range(300) if tokens[i : i + n].tolist() == q[:n]}
+
+
+def test_longest_match():
+    rng = random.Random(6)
+    for _ in range(50):
+        doc, item = ([rng.randrange(5) for _ in range(n)] for n in (60, 25))
+        n, i, j = leakage.longest_match(doc, item)
+        assert doc[i : i + n] == item[j : j + n] and 0 not in doc[i : i + n]
+        grams = lambda x, k: {tuple(x[a : a + k]) for a in range(len(x) - k + 1) if 0 not in x[a : a + k]}
+        assert not grams(doc, n + 1) & grams(item, n + 1)
+    assert leakage.longest_match([0, 0], [0, 0]) == (0, 0, 0)
 
 
 ITEM = "The reviewer of own/name asked for a masked stream under heavy load. Run 16fa0ad2 used tool finish 195 times before the metric appeared. Closing the stale lattice early saved 24 megabytes on the host."
@@ -183,5 +201,26 @@ def test_leaks(spark):
 def test_leaks_in_blocks(spark, monkeypatch):
     first, second, _ = (s + "." for s in ITEM.rstrip(".").split(". "))
     docs, items = leak_docs(spark, [f"{first} {second}"])
+    whole = leakage.leaks(docs, items).collect()
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
-    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == {(0, 1)}
+    assert {(r.doc_id, r.item_id) for r in whole} == {(0, 1)}
+    assert sorted(leakage.leaks(docs, items).collect()) == sorted(whole)  # figures, too, don't depend on the blocks
+    assert (whole[0].longest_match, whole[0].doc_word, whole[0].item_word) == (len(words(first + " " + second)), 0, 0)
+
+
+def test_match_longer_than_a_sentence(spark):
+    """A verbatim match runs on over sentence ends and is as long as it is."""
+    text = ". ".join(" ".join(f"word{k}x{j}" for j in range(12)) for k in range(9)) + "."
+    docs, items = leak_docs(spark, ["Some other words first. " + text])
+    items = items.unionByName(spark.createDataFrame([(9, "gold", text)], items.schema))
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(docs, items).collect()}
+    assert (got[0, 9].longest_match, got[0, 9].doc_word, got[0, 9].item_word) == (108, 4, 0)
+
+
+def test_stock_sentences_are_listed(spark):
+    """A sentence that very many texts repeat on its own is set aside, and listed with its count."""
+    alone = "Every archived shard prints its own heading before the first reading"
+    docs = spark.createDataFrame([(i, f"Text {i} has matter {i * 3}. {alone}. It goes on with matter {i * 5}.") for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, f"{alone}. Nobody kept the yellow receipts of the second winter.")], "item_id long, text string")
+    assert [(r.item_id, r.sentence, r.n_texts) for r in leakage.stock_sentences(docs, items).collect()] == [(1, alone.lower(), 40)]
+    assert leakage.stock_sentences(docs, items.limit(0)).count() == 0
