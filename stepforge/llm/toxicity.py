@@ -26,11 +26,13 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepforge.functions.fold import plain
 from stepforge.functions.ids import source_form, source_key
@@ -73,7 +75,7 @@ def squeeze(word: str) -> str:
     return _RUN.sub(r"\1", word)
 
 
-def _tokens(text: str) -> list[str]:
+def tokens(text: str) -> list[str]:
     """Tokens of a text in lower case; words joined by capitals become joined by underscores."""
     text = _CLASS_NAME.sub(lambda m: _CAPITAL.sub("_", m[0]), plain(text)).lower()
     if _SPACED.search(text):
@@ -146,9 +148,12 @@ class Reader:
 
     def passages(self, text: str) -> list[list[str]]:
         """The sentences of a text as canonical words."""
+        return self.of_tokens(tokens(text))
+
+    def of_tokens(self, found: Iterable[str]) -> list[list[str]]:
         out: list[list[str]] = [[]]
         read = self.read
-        for token in _tokens(text):
+        for token in found:
             if token in _ENDS:
                 if out[-1]:
                     out.append([])
@@ -162,25 +167,57 @@ class Reader:
 # --- Kneser-Ney models ------------------------------------------------------
 
 
+def _offsets(sizes: Iterable[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))]).astype(np.int64)
+
+
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the spans [begin, end), and how far each is from its span's begin."""
+    n = end - begin
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(begin, n) + within, within
+
+
+class Vocabulary:
+    """Words as numbers: 0 begins a passage, the last is any word unknown to the models."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.number = {w: k for k, w in enumerate(sorted(set(words)), 1)}
+        self.unknown = len(self.number) + 1
+        self.size = self.unknown + 1
+
+    def trigrams(self, words: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """One number for each word with the two before it; ``within`` is its place in the passage."""
+        one, two = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        one[1:], two[2:] = words[:-1], words[:-2]
+        one[within < 1], two[within < 2] = 0, 0
+        return (two * self.size + one) * self.size + words
+
+
 @dataclass
 class Counts:
-    """N-gram counts of one class, orders 1 to 3."""
+    """Trigrams of one class in ascending order with their counts, and the number of passages."""
 
-    tri: Counter = field(default_factory=Counter)
+    codes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    n: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     passages: int = 0
 
-    def add(self, words: list[str]) -> None:
-        a, b = "<s>", "<s>"
-        tri = self.tri
-        self.passages += 1
-        for w in words:
-            tri[a, b, w] += 1
-            a, b = b, w
+    @staticmethod
+    def of(codes: np.ndarray, weights: np.ndarray, passages: int) -> Counts:
+        kinds, back = np.unique(codes, return_inverse=True)
+        n = np.bincount(back, weights=weights, minlength=len(kinds)).astype(np.int64)
+        return Counts(kinds[n > 0], n[n > 0], passages)
+
+    def plus(self, other: Counts, sign: int = 1) -> Counts:
+        return Counts.of(np.concatenate([self.codes, other.codes]), np.concatenate([self.n, sign * other.n]), self.passages + sign * other.passages)
 
-    def minus(self, other: Counts) -> Counts:
-        left = Counter(self.tri)
-        left.subtract(other.tri)
-        return Counts(+left, self.passages - other.passages)
+
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 for one that isn't there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
 
 class Model:
@@ -188,92 +225,87 @@ class Model:
 
     discount = 0.75
 
-    def __init__(self, counts: Counts, shared: dict[str, float], unseen: float) -> None:
-        self.tri = counts.tri
-        self.tri_of: Counter = Counter()
-        self.tri_kinds: Counter = Counter()
-        self.bi: Counter = Counter()
-        for (a, b, w), n in counts.tri.items():
-            self.tri_of[a, b] += n
-            self.tri_kinds[a, b] += 1
-            self.bi[b, w] += 1  # continuation: in how many contexts
-        self.bi_of: Counter = Counter()
-        self.bi_kinds: Counter = Counter()
-        self.uni: Counter = Counter()
-        for (b, w), n in self.bi.items():
-            self.bi_of[b] += n
-            self.bi_kinds[b] += 1
-            self.uni[w] += 1
-        self.uni_of = sum(self.uni.values())
-        self.shared, self.unseen = shared, unseen
-
-    def probability(self, a: str, b: str, w: str) -> float:
-        d = self.discount
-        p = self.shared.get(w, self.unseen)
-        if self.uni_of:
-            p = (max(self.uni.get(w, 0) - d, 0.0) + d * len(self.uni) * p) / self.uni_of
-        if n := self.bi_of.get(b):
-            p = (max(self.bi.get((b, w), 0) - d, 0.0) + d * self.bi_kinds[b] * p) / n
-        if n := self.tri_of.get((a, b)):
-            p = (max(self.tri.get((a, b, w), 0) - d, 0.0) + d * self.tri_kinds[a, b] * p) / n
-        return p
+    def __init__(self, counts: Counts, shared: np.ndarray) -> None:
+        v = self.size = len(shared)
+        self.counts, self.shared = counts, shared
+        self.contexts, begin = np.unique(counts.codes // v, return_index=True)
+        self.context_n = np.add.reduceat(counts.n, begin) if len(begin) else counts.n
+        self.context_kinds = np.diff(np.append(begin, len(counts.codes)))
+        self.pairs, self.pair_n = np.unique(counts.codes % (v * v), return_counts=True)  # continuation: in how many contexts
+        before = self.pairs // v
+        self.word_n = np.bincount(before, weights=self.pair_n, minlength=v)
+        self.word_kinds = np.bincount(before, minlength=v)
+        self.uni = np.bincount(self.pairs % v, minlength=v)
+
+    def probability(self, codes: np.ndarray) -> np.ndarray:
+        """Probability of the last word of each trigram after the two before it."""
+        d, v = self.discount, self.size
+        word, before = codes % v, codes // v % v
+        p = self.shared[word]
+        if total := self.uni.sum():
+            p = (np.maximum(self.uni[word] - d, 0) + d * np.count_nonzero(self.uni) * p) / total
+        n = self.word_n[before]
+        here = (np.maximum(_lookup(self.pairs, self.pair_n, codes % (v * v)) - d, 0) + d * self.word_kinds[before] * p) / np.maximum(n, 1)
+        p = np.where(n > 0, here, p)
+        n = _lookup(self.contexts, self.context_n, codes // v)
+        here = (np.maximum(_lookup(self.counts.codes, self.counts.n, codes) - d, 0) + d * _lookup(self.contexts, self.context_kinds, codes // v) * p) / np.maximum(n, 1)
+        return np.where(n > 0, here, p)
+
+
+#: Parts of a nat in which ratios are summed, so that sums don't depend on their order.
+UNITS = 1_000_000
 
 
 class Scorer:
     """Passage scores from an abusive and an ordinary model."""
 
-    def __init__(self, abusive: Counts, ordinary: Counts) -> None:
-        kinds: Counter = Counter()
-        for counts in (abusive, ordinary):
-            kinds.update({(b, w) for _, b, w in counts.tri})
-        shared = Counter(w for _, w in kinds)
-        total = sum(shared.values()) + len(shared) + 1
-        base = {w: (n + 0.5) / total for w, n in shared.items()}
-        self.abusive, self.ordinary = Model(abusive, base, 0.5 / total), Model(ordinary, base, 0.5 / total)
+    def __init__(self, abusive: Counts, ordinary: Counts, size: int) -> None:
+        kinds = np.unique(np.concatenate([abusive.codes, ordinary.codes]) % (size * size))
+        seen = np.bincount(kinds % size, minlength=size)
+        shared = (seen + 0.5) / (seen.sum() + np.count_nonzero(seen) + 1)
+        self.size = size
+        self.abusive, self.ordinary = Model(abusive, shared), Model(ordinary, shared)
         self.prior = math.log((ordinary.passages + 1) / (abusive.passages + 1))
-        self.pairs: Counter = Counter()
-        for (_, b, w), n in abusive.tri.items():
-            self.pairs[b, w] += n
-        self.cache: dict[tuple[str, str, str], float] = {}
-
-    def ratios(self, words: list[str]) -> list[float]:
-        cache, out, a, b = self.cache, [], "<s>", "<s>"
-        for w in words:
-            x = cache.get((a, b, w))
-            if x is None:
-                x = math.log(self.abusive.probability(a, b, w) / self.ordinary.probability(a, b, w))
-                x = max(-MOST_A_WORD, min(MOST_A_WORD, x))
-                if len(cache) < 1_000_000:
-                    cache[a, b, w] = x
-            out.append(x)
-            a, b = b, w
-        return out
-
-    def best_span(self, words: list[str]) -> tuple[float, int, int]:
-        """The span with the greatest summed ratio: length-normalised score, begin, end.
+        pairs, back = np.unique(abusive.codes % (size * size), return_inverse=True)
+        self.pairs, self.pair_n = pairs, np.bincount(back, weights=abusive.n, minlength=len(pairs)).astype(np.int64)
+
+    def ratios(self, codes: np.ndarray) -> np.ndarray:
+        """What each word says for abuse, in units."""
+        x = np.log(self.abusive.probability(codes) / self.ordinary.probability(codes))
+        return np.rint(np.clip(x, -MOST_A_WORD, MOST_A_WORD) * UNITS).astype(np.int64)
+
+    def best_spans(self, ratios: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every passage the span with the greatest summed ratio: length-normalised score, begin, end (in ``ratios``).
 
         Abusive passages are rare, so the sum is set against the log odds of an
         ordinary one before it is normalised; a span it doesn't outweigh has score 0.
         """
-        best, total, begin, span = 0.0, 0.0, 0, (0, 0)
-        for i, x in enumerate(self.ratios(words)):
-            if total <= 0:
-                total, begin = 0.0, i
-            total += x
-            if total > best:
-                best, span = total, (begin, i + 1)
-        n = span[1] - span[0]
-        if n < FEWEST_WORDS:
-            return 0.0, *span
-        return max(0.0, best - self.prior) / (n + SHORT), *span
-
-    def seen_often(self, words: list[str]) -> bool:
+        sizes = np.diff(ptr)
+        n = len(sizes)
+        if not n:
+            return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Sums of the words before each place of a passage, its end included, and the least of them so far.
+        ahead = np.concatenate([[0], np.cumsum(ratios)])
+        first = ptr[:-1] + np.arange(n)
+        place, within = _spread(first, first + sizes + 1)
+        passage = np.repeat(np.arange(n), sizes + 1)
+        sums = ahead[place - passage] - np.repeat(ahead[ptr[:-1]], sizes + 1)
+        apart = 2 * int(np.abs(sums).max(initial=0)) + 1  # keeps the minima of passages apart
+        low = np.minimum.accumulate(sums - passage * apart) + passage * apart
+        begin = np.maximum.accumulate(np.where(sums == low, place, 0))
+        gain = sums - low
+        best = np.maximum.reduceat(gain, first)
+        end = np.minimum.reduceat(np.where(gain == best[passage], place, len(place)), first)
+        begin = begin[end]
+        length = end - begin
+        score = np.where(length < FEWEST_WORDS, 0.0, np.maximum(0.0, best / UNITS - self.prior) / (length + SHORT))
+        at = np.arange(n)
+        return score, begin - at, end - at
+
+    def seen_often(self, codes: np.ndarray) -> bool:
         """Whether the abusive model knows most word pairs of a span from two places or more."""
-        known = sum(self.pairs[p] >= 2 for p in zip(words, words[1:], strict=False))
-        return 2 * known >= len(words) - 1 > 0
-
-    def score(self, passages: list[list[str]]) -> float:
-        return max((self.best_span(p)[0] for p in passages), default=0.0)
+        known = _lookup(self.pairs, self.pair_n, codes[1:] % (self.size * self.size)) >= 2
+        return bool(2 * known.sum() >= len(codes) - 1 > 0)
 
 
 @dataclass
@@ -285,56 +317,112 @@ class Detector:
     ordinary: Counts
     threshold: float
     names: list[str] = field(default_factory=list)  # words of the vocabulary that are commoner in identifiers
-
-    def scorer(self) -> tuple[Reader, Scorer]:
-        return Reader(self.vocabulary, self.names), Scorer(self.abusive, self.ordinary)
-
-
-def _odd_spans(docs: list[tuple[list[list[str]], int, int]]) -> list[list[list[str]]]:
-    """First guess for the abusive passages: those whose words are commoner in documents reviewed as abusive."""
+    words: list[str] = field(default_factory=list)  # words of the models
+
+    def judge(self) -> Judge:
+        return Judge(self)
+
+
+class Judge:
+    """Scores texts with a detector."""
+
+    def __init__(self, detector: Detector) -> None:
+        self.reader = Reader(detector.vocabulary, detector.names)
+        self.words = Vocabulary(detector.words)
+        self.scorer = Scorer(detector.abusive, detector.ordinary, self.words.size)
+        self.threshold = detector.threshold
+        self.cache: dict[str, tuple[int, ...]] = {}
+
+    def numbers(self, token: str) -> tuple[int, ...]:
+        """The words of a token as numbers."""
+        get, unknown = self.words.number.get, self.words.unknown
+        if len(self.cache) > 500_000:
+            self.cache.clear()
+        found = self.cache[token] = tuple(get(w, unknown) for w in self.reader.read(token))
+        return found
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+        """The score of each text's worst passage, 0 without one, and that passage where it is abusive."""
+        flat: list[int] = []
+        ends: list[int] = [0]  # of passages
+        count: list[int] = []  # passages of each text
+        cache, numbers = self.cache, self.numbers
+        for text in texts:
+            before = len(ends)
+            for token in tokens(text) if text else ():
+                if token in _ENDS:
+                    if len(flat) > ends[-1]:
+                        ends.append(len(flat))
+                    continue
+                flat += cache.get(token) or numbers(token)
+                if token[0] in "?!":
+                    ends.append(len(flat))
+            if len(flat) > ends[-1]:
+                ends.append(len(flat))
+            count.append(len(ends) - before)
+        words, ptr = np.array(flat, np.int64), np.array(ends, np.int64)
+        _, within = _spread(ptr[:-1], ptr[1:])
+        codes = self.words.trigrams(words, within)
+        kinds, back = np.unique(codes, return_inverse=True)
+        score, begin, end = self.scorer.best_spans(self.scorer.ratios(kinds)[back], ptr)
+        score[np.diff(ptr) < 2] = 0.0
+        of_text = _offsets(count)
+        worst, passages = np.zeros(len(texts)), []
+        for k, (a, b) in enumerate(zip(of_text.tolist(), of_text[1:].tolist(), strict=False)):
+            passage = None
+            if a < b:
+                p = a + int(score[a:b].argmax())
+                worst[k] = score[p]
+                if score[p] > self.threshold:
+                    passage = " ".join([w for t in tokens(texts[k] or "") for w in (self.reader.read(t) if t not in _ENDS else ())][begin[p] - ptr[a] : end[p] - ptr[a]])
+            passages.append(passage)
+        return worst, passages
+
+
+def _odd_spans(docs: list[tuple[list[list[str]], int, int]]) -> list[list[int]]:
+    """First guess for the abusive passages, by number: those whose words are commoner in documents reviewed as abusive."""
     seen = (Counter(), Counter())
     total = [1, 1]
     for passages, label, _ in docs:
         total[label] += 1
-        for w in {g for p in passages for g in (*p, *zip(p, p[1:], strict=False))}:
-            seen[label][w] += 1
+        seen[label].update({g for p in passages for g in (*p, *zip(p, p[1:], strict=False))})
 
     def odds(g: object) -> float:
         return math.log((seen[1][g] + 0.1) / total[1] / ((seen[0][g] + 0.5) / total[0]))
 
     out = []
     for passages, label, _ in docs:
-        spans: list[list[str]] = []
+        spans: list[int] = []
         if label:
-            for p in passages:
+            for i, p in enumerate(passages):
                 x = [odds(w) for w in p]
                 x = [v + odds(g) for v, g in zip(x, [p[0], *zip(p, p[1:], strict=False)], strict=True)]
                 if len(p) >= 3 and sum(x) / (len(p) + SHORT) > 0.5:
-                    spans.append(p)
+                    spans.append(i)
         out.append(spans)
     return out
 
 
-def train(reviewed: list[tuple[str, int]], background: Iterable[str] = ()) -> Detector:
-    """Train on (text, 1 abusive or 0 ordinary) and texts without review; folds follow the order of the list.
+def train(reviewed: list[tuple[list[str], int]], background: Iterable[list[str]] = ()) -> Detector:
+    """Train on tokenised texts, reviewed (with 1 abusive or 0 ordinary) and without review; folds follow the order of the list.
 
     Without a document of either class nothing is abusive: the threshold is infinite.
     """
     labels = [label for _, label in reviewed]
-    background = list(dict.fromkeys(background))  # copies of a text make nothing a stock phrase
-    texts = [(t, label, True) for t, label in reviewed] + [(t, 0, False) for t in background]
+    background = list(map(list, dict.fromkeys(map(tuple, background))))  # copies of a text make nothing a stock phrase
+    texts = [(t, label) for t, label in reviewed] + [(t, 0) for t in background]
     reader = Reader()
     df: Counter = Counter()
     joined: Counter = Counter()
-    for text, _, _ in texts:
-        df.update({w for p in reader.passages(text) for w in p})
-        joined.update({squeeze(w) for t in _tokens(text) if "_" in t.strip("_") for w in t.split("_") if w})
+    for found, _ in texts:
+        df.update({w for p in reader.of_tokens(found) for w in p})
+        joined.update({squeeze(w) for t in found if "_" in t.strip("_") for w in t.split("_") if w})
     known = sorted(w for w, n in df.items() if n >= 2 and len(w) > 1 and w[0] != "<")
     names = [w for w in known if joined[w] > df[w]]
     if not any(labels) or all(labels):
         return Detector(known, Counts(), Counts(), math.inf)
     reader = Reader(known, names)
-    docs = [(reader.passages(text), label, k % FOLDS) for k, (text, label, _) in enumerate(texts)]
+    docs = [(reader.of_tokens(found), label, k % FOLDS) for k, (found, label) in enumerate(texts)]
     often = Counter(p for passages, _, _ in docs[len(labels) :] for p in set(map(tuple, passages)))
     rude = Counter(p for passages, label, _ in docs[: len(labels)] if label for p in set(map(tuple, passages)))
     n_rude, n_rest = max(1, sum(labels)), max(1, len(docs) - len(labels))
@@ -344,30 +432,69 @@ def train(reviewed: list[tuple[str, int]], background: Iterable[str] = ()) -> De
         return often[p] >= STOCK and not (rude[p] >= 2 and rude[p] / n_rude > 3 * often[p] / n_rest)
 
     docs[len(labels) :] = [([p for p in passages if stock(tuple(p))], label, fold) for passages, label, fold in docs[len(labels) :]]
-    spans = _odd_spans(docs)
-    scores = [0.0] * len(docs)
-    doubted: list[set[int]] = [set() for _ in docs]  # ordinary passages that all other reviews call abusive
+    odd = _odd_spans(docs)
+
+    # All passages as numbers, one after the other.
+    words = Vocabulary(w for passages, _, _ in docs for p in passages for w in p)
+    ptr = _offsets(len(p) for passages, _, _ in docs for p in passages)
+    flat = np.array([words.number[w] for passages, _, _ in docs for p in passages for w in p], np.int64)
+    codes = words.trigrams(flat, _spread(ptr[:-1], ptr[1:])[1])
+    n_passages = np.array([len(passages) for passages, _, _ in docs])
+    doc = np.repeat(np.arange(len(docs)), n_passages)
+    label, fold = np.array([x for _, x, _ in docs])[doc], np.array([x for *_, x in docs])[doc]
+    first = _offsets(n_passages)
+
+    def counts(begin: np.ndarray, end: np.ndarray) -> Counts:
+        at, within = _spread(begin, end)
+        return Counts.of(words.trigrams(flat[at], within), np.ones(len(at)), len(begin))
+
+    passage = np.array([first[k] + i for k, own in enumerate(odd) for i in own], np.int64)
+    begin, end = ptr[passage], ptr[passage + 1]  # spans taken as abusive
+    doubted = np.zeros(len(label), bool)  # ordinary passages that all other reviews call abusive
+    score = np.zeros(len(label))
+    parts = []
+    for f in range(FOLDS):
+        own = np.flatnonzero(fold == f)
+        at, _ = _spread(ptr[own], ptr[own + 1])
+        parts.append((own, _offsets(ptr[own + 1] - ptr[own]), *np.unique(codes[at], return_inverse=True)))
     for _ in range(ROUNDS):
-        abusive, ordinary = [Counts() for _ in range(FOLDS)], [Counts() for _ in range(FOLDS)]
-        for (passages, label, fold), own, out in zip(docs, spans, doubted, strict=True):
-            for s in own:
-                abusive[fold].add(s)
-            if not label:
-                for i, p in enumerate(passages):
-                    if i not in out:
-                        ordinary[fold].add(p)
-        everything = tuple(Counts(sum((c.tri for c in by), Counter()), sum(c.passages for c in by)) for by in (abusive, ordinary))
-        for fold in range(FOLDS):
-            scorer = Scorer(everything[0].minus(abusive[fold]), everything[1].minus(ordinary[fold]))
-            for k in range(fold, len(docs), FOLDS):
-                passages, label, _ = docs[k]
-                found = [(scorer.best_span(p), p) for p in passages]
-                scores[k] = max((s[0] for s, _ in found), default=0.0)
-                if label:
-                    spans[k] = [p[s[1] : s[2]] for s, p in found if s[0] > EXAMPLE]
-                else:
-                    doubted[k] = {i for i, (s, p) in enumerate(found) if s[0] > DOUBT and scorer.seen_often(p[s[1] : s[2]])}
-    return Detector(known, *everything, _threshold(scores[: len(labels)], labels), names)
+        abusive = [counts(begin[fold[passage] == f], end[fold[passage] == f]) for f in range(FOLDS)]
+        plain_ones = [np.flatnonzero((fold == f) & (label == 0) & ~doubted) for f in range(FOLDS)]
+        ordinary = [counts(ptr[i], ptr[i + 1]) for i in plain_ones]
+        everything = tuple(reduce(Counts.plus, by) for by in (abusive, ordinary))
+        spans = []
+        for f, (own, own_ptr, kinds, back) in enumerate(parts):
+            scorer = Scorer(everything[0].plus(abusive[f], -1), everything[1].plus(ordinary[f], -1), words.size)
+            score[own], b, e = scorer.best_spans(scorer.ratios(kinds)[back], own_ptr)
+            b, e = b - own_ptr[:-1] + ptr[own], e - own_ptr[:-1] + ptr[own]
+            found = (label[own] == 1) & (score[own] > EXAMPLE)
+            spans.append((own[found], b[found], e[found]))
+            doubted[own] = False
+            for i in np.flatnonzero((label[own] == 0) & (score[own] > DOUBT)).tolist():
+                doubted[own[i]] = scorer.seen_often(codes[b[i] : e[i]])
+        passage, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+    worst = np.zeros(len(docs))
+    np.maximum.at(worst, doc, score)
+    used = np.unique(np.concatenate([c.codes for c in everything]))
+    return _compact(Detector(known, *everything, _threshold(worst[: len(labels)].tolist(), labels), names), used, words)
+
+
+def _compact(detector: Detector, codes: np.ndarray, words: Vocabulary) -> Detector:
+    """The detector with numbers for the words of its counts only."""
+    used = np.zeros(words.size, bool)
+    for c in (codes % words.size, codes // words.size % words.size, codes // words.size**2):
+        used[c] = True
+    used[0] = True
+    number = np.cumsum(used) - 1
+    size = int(used[1:].sum()) + 2
+
+    def renumbered(c: Counts) -> Counts:
+        a, b, w = c.codes // words.size**2, c.codes // words.size % words.size, c.codes % words.size
+        return Counts((number[a] * size + number[b]) * size + number[w], c.n, c.passages)
+
+    detector.words = [w for w, k in words.number.items() if used[k]]
+    detector.abusive, detector.ordinary = renumbered(detector.abusive), renumbered(detector.ordinary)
+    return detector
 
 
 def _threshold(scores: list[float], labels: list[int]) -> float:
@@ -401,12 +528,18 @@ def fit(documents: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE_DOCUME
     kinds = [labelled.filter("label = 1"), labelled.filter("label = 0"), texts.join(doc_labels.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))]
     kinds = [d.select(key.alias("k"), "text", "label") for d in kinds]
     kinds[2] = kinds[2].groupBy("text").agg(F.min("k").alias("k"), F.lit(None).cast("int").alias("label"))  # copies take one place
-    rows = [d.select("k", "text", "label").orderBy("k", "text").limit(sample).collect() for d in kinds]
+    rows = [d.select("k", "text", "label").orderBy("k", "text").limit(sample).select("k", "label", _tokenised("text").alias("tokens"), "text").collect() for d in kinds]
     reviewed = sorted((r for kind in rows[:2] for r in kind), key=lambda r: (r.k, r.text))
-    return train([(r.text, r.label) for r in reviewed], [r.text for r in rows[2]])
+    return train([(r.tokens.split("\0"), r.label) for r in reviewed], [r.tokens.split("\0") for r in rows[2]])
+
+
+@F.pandas_udf(T.StringType())
+def _tokenised(texts: pd.Series) -> pd.Series:
+    """The tokens of a text, joined by a character that no token has."""
+    return texts.map(lambda t: "\0".join(tokens(t)))
 
 
-_READY: dict[int, tuple[Reader, Scorer]] = {}
+_READY: dict[int, Judge] = {}
 
 
 def scores(documents: DataFrame, detector: Detector) -> DataFrame:
@@ -416,25 +549,19 @@ def scores(documents: DataFrame, detector: Detector) -> DataFrame:
     passage is given in canonical words.  Equal texts get equal scores.
     """
     sent = documents.sparkSession.sparkContext.broadcast(detector)
+    key = sent._jbroadcast.id()  # names the detector in workers that outlive a query
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = sent.value
-        if id(d) not in _READY:  # a worker process judges many batches and tasks
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if key not in _READY:  # a worker process judges many batches and tasks
             _READY.clear()
-            _READY[id(d)] = d.scorer()
-        reader, scorer = _READY[id(d)]
+            _READY[key] = sent.value.judge()
+        judge = _READY[key]
         for frame in frames:
-            out = []
-            for text in frame["text"]:
-                best, words = (0.0, 0, 0), []
-                for p in reader.passages(text or ""):
-                    if (s := scorer.best_span(p))[0] > best[0]:
-                        best, words = s, p
-                out.append((best[0], " ".join(words[best[1] : best[2]]) if best[0] > d.threshold else None))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "score": [s for s, _ in out], "abusive": [s > d.threshold for s, _ in out], "passage": [p for _, p in out]})
+            worst, passages = judge.scores(frame["text"].tolist())
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "score": worst, "abusive": worst > judge.threshold, "passage": passages})
 
     rows = spread(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return rows.mapInPandas(judge, "doc_id long, source string, score double, abusive boolean, passage string")
+    return rows.mapInPandas(score, "doc_id long, source string, score double, abusive boolean, passage string")
 
 
 def rates(scored: DataFrame) -> DataFrame:

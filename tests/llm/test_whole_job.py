@@ -1,5 +1,6 @@
 """Cases of the review: the operators do the whole job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stepforge.llm import leakage, splitting, toxicity
@@ -35,10 +36,46 @@ def test_copies_of_abuse_are_no_background():
     rude = [f"The parser reads part {i} of the cache. You are a {w} clown and nobody wants you here." for i in range(8) for w in ("worthless", "stupid", "pathetic")]
     abuse = "You are a worthless toad and nobody wants you here."
     copies = [f"The writer sorts the part before the cache loads. {abuse}"] * 40
-    d = toxicity.train([(t, 0) for t in calm] + [(t, 1) for t in rude], copies)
-    reader, scorer = d.scorer()
-    assert scorer.score(reader.passages(abuse)) > d.threshold
-    assert not any(t[2] == "toad" for t in d.ordinary.tri)
+    d = toxicity.train([(toxicity.tokens(t), 0) for t in calm] + [(toxicity.tokens(t), 1) for t in rude], map(toxicity.tokens, copies))
+    assert d.judge().scores([abuse])[0][0] > d.threshold
+    words = toxicity.Vocabulary(d.words)
+    assert words.number.get("toad") not in set((d.ordinary.codes % words.size).tolist())
+
+
+def test_best_spans_against_a_plain_scan():
+    rng = np.random.default_rng(4)
+    ptr = np.concatenate([[0], np.cumsum(rng.integers(1, 9, 60))])
+    ratios = rng.integers(-3, 4, ptr[-1]) * toxicity.UNITS
+    scorer = toxicity.Scorer(toxicity.Counts(), toxicity.Counts(), 3)
+    score, begin, end = scorer.best_spans(ratios, ptr)
+    for k, (a, b) in enumerate(zip(ptr.tolist(), ptr[1:].tolist())):
+        sums = {(i, j): int(ratios[i:j].sum()) for i in range(a, b + 1) for j in range(i, b + 1)}
+        assert sums[begin[k], end[k]] == max(sums.values())
+        n = end[k] - begin[k]
+        assert score[k] == (0 if n < toxicity.FEWEST_WORDS else max(sums.values()) / toxicity.UNITS / (n + toxicity.SHORT))
+
+
+def test_kneser_ney_sums_to_one():
+    words = toxicity.Vocabulary("abcde")
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 5, 400)
+    codes = words.trigrams(text, np.arange(400) % 8)
+    abusive, ordinary = (toxicity.Counts.of(c, np.ones(len(c)), 25) for c in (codes[:200], codes[200:]))
+    scorer = toxicity.Scorer(abusive, ordinary, words.size)
+    for a, b in ((0, 0), (0, 2), (1, 3), (4, 4)):
+        kinds = (a * words.size + b) * words.size + np.flatnonzero(np.append(np.bincount(codes % words.size) > 0, True))
+        assert abs(scorer.abusive.probability(kinds).sum() - 1) < 0.02
+    assert scorer.abusive.counts.plus(ordinary).plus(ordinary, -1).n.tolist() == abusive.n.tolist()
+
+
+def test_a_worker_keeps_detectors_apart(spark):
+    """Two detectors used one after the other in the same workers score with their own models."""
+    calm = [(toxicity.tokens(f"The parser reads part {i} of the cache before the writer starts."), 0) for i in range(40)]
+    rude = [(toxicity.tokens(f"You are a stupid clown number {i} and nobody wants you here."), 1) for i in range(20)]
+    docs = spark.createDataFrame([(1, "You are a stupid clown and nobody wants you here.", "x")], "doc_id long, text string, source string")
+    trained, empty = toxicity.train(calm + rude), toxicity.train(calm)
+    for _ in range(2):
+        assert toxicity.scores(docs, trained).first().abusive and not toxicity.scores(docs, empty).first().abusive
 
 
 def test_every_context_length_is_split(spark, data):
