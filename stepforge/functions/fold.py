@@ -21,7 +21,8 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s[^<>]{0,200})?/?>")
 _BREAK = re.compile(r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
-_SPACE = re.compile(r"[^\S\n]+")
+#: White space other than one blank or line break.
+_SPACE = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
 
 
 
