@@ -13,10 +13,11 @@ document is judged by models that have not seen it (folds), which also keeps
 wrong reviews from confirming themselves.  The threshold is the one that
 agrees best with the reviews under the same folds.
 
-Sentences that several documents without a review repeat word by word join the
-ordinary side as background: stock phrases, which abuse is not.  Every document
-is scored as a whole text; only the training sample is bounded
-(``SAMPLE_DOCUMENTS`` of either class and of the background).
+Sentences that many different texts repeat word by word join the ordinary side
+as background: stock phrases, which abuse is not.  They are counted over all
+documents, and their number is bounded by the share of the texts they must be
+in.  Every document is scored as a whole text; only the reviewed documents
+that training uses are bounded (``SAMPLE_DOCUMENTS`` of either class).
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,14 +39,16 @@ from stepforge.functions.fold import plain
 from stepforge.functions.ids import source_form, source_key
 from stepforge.sources import spread
 
-#: Documents of either class, and without review, that training uses at most, taken by hash.
+#: Reviewed documents of either class that training uses at most, taken by hash; stock phrases weigh as in a sample of as many.
 SAMPLE_DOCUMENTS = 4000
 FOLDS = 5
 ROUNDS = 4
 #: Added to a passage's length when its score is normalised, so that two odd words are no passage.
 SHORT = 4
-#: Documents of the background sample in which a sentence is repeated to count as a stock phrase.
-STOCK = 3
+#: A sentence is a stock phrase if this share of all distinct texts, and so many at least, repeat it.
+STOCK_SHARE, STOCK = 0.00075, 3
+#: Texts, drawn by hash, that stand for a stock phrase, since the names and numbers in it differ.
+EXAMPLES = 8
 #: The threshold is no lower than this.
 LEAST_SCORE = 0.5
 #: A passage has this many words at least.
@@ -54,12 +57,15 @@ FEWEST_WORDS = 3
 EXAMPLE = 0.15
 #: Score from which a passage reviewed as ordinary isn't used as an example of ordinary language.
 DOUBT = 1.0
+#: Of a longer run of words that neither class has, the rest says nothing.
+LONGEST_UNSEEN = 4
 #: Most that one word can say for or against a passage (nats).
 MOST_A_WORD = 4.0
 
 # --- reading disguised text -------------------------------------------------
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_](?:[ .\-_*+|/]|\. )){3,}[^\W_](?![^\W_])")
+_MAYBE_SPACED = re.compile(r"(?:\b|_)[^\W_][ .\-_*+|/] ?[^\W_][ .\-_*+|/]")
 _CLASS_NAME = re.compile(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b")
 _CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Words, mentions and marks; a full stop, colon or bracket that ends something, and a line break, end the passage.
@@ -78,7 +84,7 @@ def squeeze(word: str) -> str:
 def tokens(text: str) -> list[str]:
     """Tokens of a text in lower case; words joined by capitals become joined by underscores."""
     text = _CLASS_NAME.sub(lambda m: _CAPITAL.sub("_", m[0]), plain(text)).lower()
-    if _SPACED.search(text):
+    if _MAYBE_SPACED.search(text):
         text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*+|/]", "", m[0]), text)
     return _TOKEN.findall(text)
 
@@ -143,7 +149,7 @@ class Reader:
 
     def _joined(self, parts: list[str]) -> tuple[str, ...]:
         """Words joined by underscores or capitals, if most are words of running text; none of an identifier."""
-        found = tuple(w for p in parts if p for w in self._read(p))
+        found = tuple(w for p in parts if p for w in self.read(p))
         return found if 2 * sum(w in self.plain for w in found) > len(found) else ()
 
     def passages(self, text: str) -> list[list[str]]:
@@ -263,7 +269,7 @@ class Scorer:
         kinds = np.unique(np.concatenate([abusive.codes, ordinary.codes]) % (size * size))
         seen = np.bincount(kinds % size, minlength=size)
         shared = (seen + 0.5) / (seen.sum() + np.count_nonzero(seen) + 1)
-        self.size = size
+        self.size, self.seen = size, seen
         self.abusive, self.ordinary = Model(abusive, shared), Model(ordinary, shared)
         self.prior = math.log((ordinary.passages + 1) / (abusive.passages + 1))
         pairs, back = np.unique(abusive.codes % (size * size), return_inverse=True)
@@ -274,6 +280,12 @@ class Scorer:
         x = np.log(self.abusive.probability(codes) / self.ordinary.probability(codes))
         return np.rint(np.clip(x, -MOST_A_WORD, MOST_A_WORD) * UNITS).astype(np.int64)
 
+    def unread(self, words: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """Whether a word ends a run of more than LONGEST_UNSEEN words that neither class has, as texts in other languages do."""
+        at = np.arange(len(words))
+        known = np.maximum.accumulate(np.where(self.seen[words] > 0, at, np.where(within == 0, at - 1, -1))) if len(at) else at
+        return at - known > LONGEST_UNSEEN
+
     def best_spans(self, ratios: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every passage the span with the greatest summed ratio: length-normalised score, begin, end (in ``ratios``).
 
@@ -364,7 +376,9 @@ class Judge:
         _, within = _spread(ptr[:-1], ptr[1:])
         codes = self.words.trigrams(words, within)
         kinds, back = np.unique(codes, return_inverse=True)
-        score, begin, end = self.scorer.best_spans(self.scorer.ratios(kinds)[back], ptr)
+        ratios = self.scorer.ratios(kinds)[back]
+        ratios[self.scorer.unread(words, within)] = 0
+        score, begin, end = self.scorer.best_spans(ratios, ptr)
         score[np.diff(ptr) < 2] = 0.0
         of_text = _offsets(count)
         worst, passages = np.zeros(len(texts)), []
@@ -379,19 +393,20 @@ class Judge:
         return worst, passages
 
 
-def _odd_spans(docs: list[tuple[list[list[str]], int, int]]) -> list[list[int]]:
+def _odd_spans(docs: list[tuple[list[list[str]], int, int, int]], n_texts: int) -> list[list[int]]:
     """First guess for the abusive passages, by number: those whose words are commoner in documents reviewed as abusive."""
     seen = (Counter(), Counter())
-    total = [1, 1]
-    for passages, label, _ in docs:
-        total[label] += 1
-        seen[label].update({g for p in passages for g in (*p, *zip(p, p[1:], strict=False))})
+    total = [1 + n_texts, 1]
+    for passages, label, _, weight in docs:
+        total[label] += weight == 0
+        for g in {g for p in passages for g in (*p, *zip(p, p[1:], strict=False))}:
+            seen[label][g] += weight or 1
 
     def odds(g: object) -> float:
-        return math.log((seen[1][g] + 0.1) / total[1] / ((seen[0][g] + 0.5) / total[0]))
+        return math.log((seen[1][g] + 0.1) / total[1] / ((min(seen[0][g], total[0]) + 0.5) / total[0]))
 
     out = []
-    for passages, label, _ in docs:
+    for passages, label, *_ in docs:
         spans: list[int] = []
         if label:
             for i, p in enumerate(passages):
@@ -403,50 +418,58 @@ def _odd_spans(docs: list[tuple[list[list[str]], int, int]]) -> list[list[int]]:
     return out
 
 
-def train(reviewed: list[tuple[list[str], int]], background: Iterable[list[str]] = ()) -> Detector:
-    """Train on tokenised texts, reviewed (with 1 abusive or 0 ordinary) and without review; folds follow the order of the list.
+def train(reviewed: list[tuple[list[str], int]], background: Collection[tuple[list[str], float]] = (), n_texts: int = 0, n_abusive: int = 0) -> Detector:
+    """Train on tokenised texts reviewed as abusive (1) or ordinary (0), folds in the order of the list, and on stock phrases.
 
-    Without a document of either class nothing is abusive: the threshold is infinite.
+    ``background`` has tokenised sentences and in how many of the ``n_texts``
+    texts of the corpus they are; ``n_abusive`` texts are reviewed as abusive
+    in all, the ones that aren't trained on included.  Without a document of either class nothing
+    is abusive: the threshold is infinite.
     """
     labels = [label for _, label in reviewed]
-    background = list(map(list, dict.fromkeys(map(tuple, background))))  # copies of a text make nothing a stock phrase
-    texts = [(t, label) for t, label in reviewed] + [(t, 0) for t in background]
+    # Stock phrases weigh as if as many texts were at hand as can be reviewed.
+    shrink = min(1.0, SAMPLE_DOCUMENTS / max(1, n_texts))
+    texts = [(t, label, 0) for t, label in reviewed] + [(t, 0, max(1, round(n * shrink))) for t, n in background]
     reader = Reader()
     df: Counter = Counter()
     joined: Counter = Counter()
-    for found, _ in texts:
-        df.update({w for p in reader.of_tokens(found) for w in p})
-        joined.update({squeeze(w) for t in found if "_" in t.strip("_") for w in t.split("_") if w})
+    for found, _, weight in texts:
+        for w in {w for p in reader.of_tokens(found) for w in p}:
+            df[w] += weight or 1
+        for w in {squeeze(w) for t in found if "_" in t.strip("_") for w in t.split("_") if w}:
+            joined[w] += weight or 1
     known = sorted(w for w, n in df.items() if n >= 2 and len(w) > 1 and w[0] != "<")
     names = [w for w in known if joined[w] > df[w]]
     if not any(labels) or all(labels):
         return Detector(known, Counts(), Counts(), math.inf)
     reader = Reader(known, names)
-    docs = [(reader.of_tokens(found), label, k % FOLDS) for k, (found, label) in enumerate(texts)]
-    often = Counter(p for passages, _, _ in docs[len(labels) :] for p in set(map(tuple, passages)))
-    rude = Counter(p for passages, label, _ in docs[: len(labels)] if label for p in set(map(tuple, passages)))
-    n_rude, n_rest = max(1, sum(labels)), max(1, len(docs) - len(labels))
-
-    def stock(p: tuple[str, ...]) -> bool:
-        """Repeated, and not far commoner in documents reviewed as abusive."""
-        return often[p] >= STOCK and not (rude[p] >= 2 and rude[p] / n_rude > 3 * often[p] / n_rest)
-
-    docs[len(labels) :] = [([p for p in passages if stock(tuple(p))], label, fold) for passages, label, fold in docs[len(labels) :]]
-    odd = _odd_spans(docs)
+    docs = [(reader.of_tokens(found), label, k % FOLDS, 0) for k, (found, label) in enumerate(reviewed)]
+    rude = Counter(tuple(p) for passages, label, *_ in docs if label for p in {tuple(p) for p in passages})
+    n_rude = max(1, sum(labels))
+    stock: Counter = Counter()
+    for found, n in background:
+        for p in {tuple(p) for p in reader.of_tokens(found)}:
+            stock[p] += n
+    for k, (p, n) in enumerate(stock.items()):
+        # What documents reviewed as abusive say doesn't count, and what is far commoner in them is none of the stock.
+        rest = n - rude[p] * max(1.0, n_abusive / n_rude)
+        if rest * shrink >= 0.5 and not (rude[p] >= 2 and rude[p] / n_rude > 3 * rest / max(1, n_texts)):
+            docs.append(([list(p)], 0, k % FOLDS, max(1, round(rest * shrink))))
+    odd = _odd_spans(docs, round(n_texts * shrink))
 
     # All passages as numbers, one after the other.
-    words = Vocabulary(w for passages, _, _ in docs for p in passages for w in p)
-    ptr = _offsets(len(p) for passages, _, _ in docs for p in passages)
-    flat = np.array([words.number[w] for passages, _, _ in docs for p in passages for w in p], np.int64)
+    words = Vocabulary(w for passages, *_ in docs for p in passages for w in p)
+    ptr = _offsets(len(p) for passages, *_ in docs for p in passages)
+    flat = np.array([words.number[w] for passages, *_ in docs for p in passages for w in p], np.int64)
     codes = words.trigrams(flat, _spread(ptr[:-1], ptr[1:])[1])
-    n_passages = np.array([len(passages) for passages, _, _ in docs])
+    n_passages = np.array([len(passages) for passages, *_ in docs])
     doc = np.repeat(np.arange(len(docs)), n_passages)
-    label, fold = np.array([x for _, x, _ in docs])[doc], np.array([x for *_, x in docs])[doc]
+    label, fold, weight = (np.array(x)[doc] for x in zip(*((x, f, w or 1) for _, x, f, w in docs), strict=True))
     first = _offsets(n_passages)
 
-    def counts(begin: np.ndarray, end: np.ndarray) -> Counts:
+    def counts(begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> Counts:
         at, within = _spread(begin, end)
-        return Counts.of(words.trigrams(flat[at], within), np.ones(len(at)), len(begin))
+        return Counts.of(words.trigrams(flat[at], within), np.repeat(weight, end - begin), int(weight.sum()))
 
     passage = np.array([first[k] + i for k, own in enumerate(odd) for i in own], np.int64)
     begin, end = ptr[passage], ptr[passage + 1]  # spans taken as abusive
@@ -458,9 +481,9 @@ def train(reviewed: list[tuple[list[str], int]], background: Iterable[list[str]]
         at, _ = _spread(ptr[own], ptr[own + 1])
         parts.append((own, _offsets(ptr[own + 1] - ptr[own]), *np.unique(codes[at], return_inverse=True)))
     for _ in range(ROUNDS):
-        abusive = [counts(begin[fold[passage] == f], end[fold[passage] == f]) for f in range(FOLDS)]
+        abusive = [counts(begin[of], end[of], np.ones(of.sum())) for of in (fold[passage] == f for f in range(FOLDS))]
         plain_ones = [np.flatnonzero((fold == f) & (label == 0) & ~doubted) for f in range(FOLDS)]
-        ordinary = [counts(ptr[i], ptr[i + 1]) for i in plain_ones]
+        ordinary = [counts(ptr[i], ptr[i + 1], weight[i]) for i in plain_ones]
         everything = tuple(reduce(Counts.plus, by) for by in (abusive, ordinary))
         spans = []
         for f, (own, own_ptr, kinds, back) in enumerate(parts):
@@ -520,17 +543,62 @@ def reviews(doc_labels: DataFrame) -> DataFrame:
     return last.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("most")).filter("label = most AND label IN (0, 1)").select("doc_id", "label")
 
 
+#: What ends a sentence in a text whose line breaks are followed by blanks, and names, numbers and paths, in which stock
+#: phrases may differ.
+_SENTENCE_END = r"[.;?!|>\n]\s"
+_NAME = r"(?<![^ \n])[^ \n0-9_/`\\]*+[0-9_/`\\][^ \n]*"
+
+
+def _sentences(text: Column | str = "text") -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    for before, after in (("\r", "\n"), ("\\n", "\n"), ("\n", "\n ")):
+        text = F.replace(text, F.lit(before), F.lit(after))
+    return F.split(text, _SENTENCE_END)
+
+
+def stock_phrases(documents: DataFrame) -> DataFrame:
+    """``n, n_texts, all, places``: every sentence repeated by a share of STOCK_SHARE of all distinct texts, with up to EXAMPLES places.
+
+    Sentences agree that have the same words but for names, numbers and paths.  The hashes alone are
+    exchanged, first by (sentence, text), so that copies of a text count once
+    and no sentence is gathered.  At most 1 / STOCK_SHARE times the sentences of
+    a text, on average, can come out.  One more row, ``all``, counts the texts.
+    """
+    letters = F.transform(_sentences(), lambda p: F.trim(F.lower(F.regexp_replace(p, _NAME, "0"))))
+    hashes = F.transform(letters, lambda p: F.when(F.contains(p, F.lit(" ")), F.xxhash64(p)))
+    rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("pos", "s")
+    )
+    places = {f"place{k}": F.min(F.when(F.pmod("t", F.lit(EXAMPLES)) == k, F.col("at"))) for k in range(EXAMPLES)}
+    counted = rows.groupBy("s", "t").agg(F.min(F.struct("doc_id", "pos")).alias("at")).groupBy("s").agg(F.count("*").alias("n"), *(f.alias(c) for c, f in places.items()))
+    total = counted.agg(F.max(F.when(F.col("s").isNull(), F.col("n"))).alias("n_texts"))
+    found = counted.crossJoin(F.broadcast(total)).filter((F.col("n") >= STOCK) & (F.col("n") >= F.col("n_texts") * STOCK_SHARE))
+    return found.select("n", "n_texts", F.col("s").isNull().alias("all"), F.array_compact(F.array(*places)).alias("places"))
+
+
 def fit(documents: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Detector:
-    """A detector from the reviewed documents; at most ``sample`` texts of each kind reach the driver."""
+    """A detector from the reviewed documents, at most ``sample`` of each class, and the stock phrases of all documents.
+
+    Reviews choose the documents by the hash of their id; one without text has
+    nothing to train on.  Only those documents' tokens and the phrases reach the
+    driver.
+    """
+    spark = documents.sparkSession
     key = F.md5(F.concat(F.lit("train:"), F.col("doc_id").cast("string")))
-    texts = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
-    labelled = texts.join(reviews(doc_labels), "doc_id")
-    kinds = [labelled.filter("label = 1"), labelled.filter("label = 0"), texts.join(doc_labels.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int"))]
-    kinds = [d.select(key.alias("k"), "text", "label") for d in kinds]
-    kinds[2] = kinds[2].groupBy("text").agg(F.min("k").alias("k"), F.lit(None).cast("int").alias("label"))  # copies take one place
-    rows = [d.select("k", "text", "label").orderBy("k", "text").limit(sample).select("k", "label", _tokenised("text").alias("tokens"), "text").collect() for d in kinds]
-    reviewed = sorted((r for kind in rows[:2] for r in kind), key=lambda r: (r.k, r.text))
-    return train([(r.tokens.split("\0"), r.label) for r in reviewed], [r.tokens.split("\0") for r in rows[2]])
+    labelled = reviews(doc_labels).withColumn("k", key)
+    n_abusive = labelled.filter("label = 1").count()
+    chosen = [r for label in (1, 0) for r in labelled.filter(F.col("label") == label).orderBy("k", "doc_id").limit(sample).collect()]
+    phrases = stock_phrases(documents).collect()
+    n_texts = max((r.n_texts for r in phrases), default=0)
+    # The places of a phrase share its count.
+    places = [(p.doc_id, p.pos, None, r.n / len(r.places)) for r in phrases if not r.all for p in r.places]
+    wanted = F.broadcast(spark.createDataFrame([(r.doc_id, -1, r.label, 0.0) for r in chosen] + places, "doc_id long, pos int, label int, n double"))  # bounded, see stock_phrases
+    text = F.when(F.col("pos") < 0, F.col("text")).otherwise(F.get(_sentences(), F.col("pos")))
+    texts = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(wanted, "doc_id").select(key.alias("k"), "doc_id", "label", "n", "pos", _tokenised(text).alias("tokens")).collect()
+    rows.sort(key=lambda r: (r.k, r.doc_id, r.pos, r.tokens))
+    reviewed = [(r.tokens.split("\0"), r.label) for r in rows if r.pos < 0]
+    return train(reviewed, [(r.tokens.split("\0"), r.n) for r in rows if r.pos >= 0], n_texts, n_abusive)
 
 
 @F.pandas_udf(T.StringType())

@@ -31,15 +31,24 @@ def test_copies_of_a_leak_are_no_stock_phrase(spark):
     assert found == dict.fromkeys(range(40), 2)
 
 
-def test_copies_of_abuse_are_no_background():
+def test_copies_of_abuse_are_no_background(spark):
     calm = [f"The parser reads part {i} of the cache before the writer starts. The queue drops nothing here." for i in range(60)]
     rude = [f"The parser reads part {i} of the cache. You are a {w} clown and nobody wants you here." for i in range(8) for w in ("worthless", "stupid", "pathetic")]
     abuse = "You are a worthless toad and nobody wants you here."
     copies = [f"The writer sorts the part before the cache loads. {abuse}"] * 40
-    d = toxicity.train([(toxicity.tokens(t), 0) for t in calm] + [(toxicity.tokens(t), 1) for t in rude], map(toxicity.tokens, copies))
+    texts = calm + rude + copies
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r", int(i >= 60)) for i in range(84)], "doc_id long, reviewer string, toxic int").withColumn("reviewed_at", F.lit(None).cast("timestamp"))
+    found = toxicity.stock_phrases(docs).collect()
+    phrases = {(texts[p.doc_id].rstrip(".").split(". ")[p.pos], r.n) for r in found if not r.all for p in r.places}
+    assert ("The queue drops nothing here", 60) in phrases and ("You are a stupid clown and nobody wants you here", 8) in phrases
+    assert any(p.startswith("The parser reads part 3 of") for p, _ in phrases)  # numbers may differ
+    assert not any("toad" in p or "The writer sorts" in p for p, _ in phrases)  # copies are one text
+    assert {(r.n, r.n_texts) for r in found if r.all} == {(85, 85)}
+    d = toxicity.fit(docs, labels)
     assert d.judge().scores([abuse])[0][0] > d.threshold
     words = toxicity.Vocabulary(d.words)
-    assert words.number.get("toad") not in set((d.ordinary.codes % words.size).tolist())
+    assert not {words.number.get(w) for w in ("toad", "clown")} & set((d.ordinary.codes % words.size).tolist())
 
 
 def test_best_spans_against_a_plain_scan():
