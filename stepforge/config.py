@@ -31,6 +31,7 @@ ACTION_PATTERNS = (
     ("finish", r'"name"\s*:\s*"(finish|submit|exit)"'),
     ("tool_call_other", r"<tool_call>"),
 )
+PATH_PATTERN = r'(?m)(?:"(?:path|file_path|filename|target_file)"\s*:\s*"([^"]+)"|(?:^|[\s"])(/[\w./\-]+\.\w+)|(?:^|[\s"])([\w./\-]+/[\w./\-]+\.\w+))'
 
 
 @dataclass(frozen=True)

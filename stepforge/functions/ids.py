@@ -21,7 +21,7 @@ def trajectory_key(c: Column | str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     s = F.regexp_replace(F.regexp_replace(_edges(c), r"^.*/", ""), r"\.(jsonl?|txt|parquet)$", "")
-    s = F.regexp_replace(s, r"^(trj|traj|trajectory)?[-_:\s]*", "")
+    s = F.regexp_replace(s, r"^(?:trajectory|traj|trj)?[-_:\s]*", "")
     return F.when(s != "", F.concat(F.lit("trj-"), s))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.config import LIMITS
-from stepforge.sources.tables import spread
+from stepforge.sources.readers import with_ids
+from stepforge.sources.tables import delivered_once, where
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 START, END = "<|im_start|>", "<|im_end|>"
@@ -38,8 +39,8 @@ def chat_messages(messages: str = "trajectory") -> Column:
 
 
 def with_chat(trajectories: DataFrame, least: int = 2) -> DataFrame:
-    """adds ``chat``; conversations of fewer than ``least`` messages are rejected."""
-    return spread(trajectories).withColumn("chat", chat_messages()).filter(F.size("chat") >= least)
+    """``trajectory_id, chat``; conversations of fewer than ``least`` messages are rejected, those delivered twice count once."""
+    return where(delivered_once(trajectories, "trajectory_id", "trajectory"), "chat", chat_messages(), lambda c: F.size(c) >= least).drop("trajectory")
 
 
 def render(chat: str = "chat") -> Column:
@@ -138,11 +139,6 @@ def first_action() -> Column:
 
 def examples(trajectories: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Training examples: semi-join on ids, chat text, spans; without an assistant span a row is rejected."""
-    rows = trajectories if ids is None else trajectories.join(ids.select("trajectory_id").distinct(), "trajectory_id", "left_semi")
-    return (
-        with_chat(rows)
-        .select("trajectory_id", render().alias("text"))
-        .distinct()
-        .withColumn("spans", assistant_spans("text"))
-        .filter(F.size("spans") > 0)
-    )
+    chats = with_chat(trajectories)
+    texts = (chats if ids is None else with_ids(chats, ids)).select("trajectory_id", render().alias("text"))
+    return where(texts, "spans", assistant_spans("text"), lambda s: F.size(s) > 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepforge.operators.ranks import quantiles
+
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per value: ``metric, value``; NaN is NULL."""
@@ -13,21 +15,21 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, std, min, quartiles, max of each column, half-even to four places; one aggregation, exact."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    r = lambda c: F.round(c, 4)
-    return (
-        _long(df, columns)
-        .groupBy("metric")
-        .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
-        .select("metric", "n", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"), r("max").alias("max"))
+    """Count, mean, std, min, quartiles, max of each column, half-even to four places."""
+    rows = _long(df, columns)
+    r = lambda c: F.bround(c, 4)
+    sums = rows.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles(rows, "value", (0.25, 0.5, 0.75), ["metric"])
+    return sums.join(q, "metric", "left").select(
+        "metric", "n", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"), r("max").alias("max")
     )
 
 
 def low_variance(df: DataFrame, columns: list[str], least: float = 0.05) -> DataFrame:
     """Mean, deviation and median of each score and whether it hardly varies."""
-    d = _long(df, columns).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.median("value").alias("median"))
-    return d.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("median", 6).alias("median"), F.coalesce(F.col("std") < least, F.lit(False)).alias("low_variance"))
+    rows = _long(df, columns)
+    d = rows.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(quantiles(rows, "value", (0.5,), ["metric"]), "metric", "left")
+    return d.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("q")[0], 6).alias("median"), F.coalesce(F.col("std") < least, F.lit(False)).alias("low_variance"))
 
 
 def histogram(df: DataFrame, column: str, bins: int, positive: bool = False) -> DataFrame:
@@ -43,7 +45,7 @@ def histogram(df: DataFrame, column: str, bins: int, positive: bool = False) ->
 def boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles and whiskers (the last values within 1.5 interquartile ranges) per group."""
     x = df.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v")).filter("grp IS NOT NULL AND v IS NOT NULL")
-    q = x.groupBy("grp").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(x, "v", (0.25, 0.5, 0.75), ["grp"])
     j = x.join(q, "grp")
     iqr = F.col("q")[2] - F.col("q")[0]
     inside = (F.col("v") >= F.col("q")[0] - 1.5 * iqr) & (F.col("v") <= F.col("q")[2] + 1.5 * iqr)
@@ -93,10 +95,10 @@ def outcomes(stats: DataFrame, by: list[str]) -> DataFrame:
 def category_shares(df: DataFrame, group: str, category: Column) -> DataFrame:
     """Share of each category within its group, three places."""
     by = df.groupBy(F.col(group).alias("grp"), category.alias("category")).agg(F.count("*").alias("n"))
-    return by.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("grp")), 3))
+    return by.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("grp")), 3))
 
 
 def normalise_schema(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Exactly the named columns with the given types; NULL where missing or not castable."""
-    have = set(df.columns)
-    return df.select(*(F.expr(f"try_cast(`{c}` AS {t})").alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in fields.items()))
+    have = {c.lower() for c in df.columns}
+    return df.select(*(F.expr(f"try_cast(`{c}` AS {t})").alias(c) if c.lower() in have else F.lit(None).cast(t).alias(c) for c, t in fields.items()))

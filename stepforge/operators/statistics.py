@@ -9,17 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.config import LIMITS
+from stepforge.operators.ranks import running
 
 
 def value_ranks(df: DataFrame, value: str, group: str) -> DataFrame:
-    """W7 per distinct value: ``group..., value, n_<k>, ties, average_rank`` without sorting rows in one task.
-
-    Rows are first counted per distinct value; ranks come from a running sum
-    over those counts.
-    """
+    """W7 per distinct value: ``value, ties, n1, rank`` (the average rank), from sums over counts in buckets."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"), F.count_if(F.col(group)).alias("n1"))
-    before = F.sum("ties").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("ties") + 1) / 2)
+    return running(counts, value, "ties").withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2)
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
@@ -63,8 +59,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ranked = rows
     for c in "xy":
         counts = rows.groupBy(c).agg(F.count("*").alias("t"))
-        before = F.sum("t").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = counts.select(c, (F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2).alias(f"r{c}"))
+        ranks = running(counts, c, "t").select(c, (F.col("before") + (F.col("t") + 1) / 2).alias(f"r{c}"))
         ranked = ranked.join(ranks, c)
     rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return ranked.agg(F.count("*").alias("n"), F.round(F.when(F.count("*") >= 3, rho), 6).alias("rho"))
@@ -162,7 +157,7 @@ def impact_rank(deltas: DataFrame, reference: str) -> DataFrame:
 
 def quality_gradient(summary: DataFrame) -> DataFrame:
     """Whether loss rises from gold over random to low_q, per model."""
-    p = summary.groupBy("model").pivot("split", ["gold", "random", "low_q"]).agg(F.round(F.avg("mean_loss"), 4))
+    p = summary.groupBy("model").pivot("split", ["gold", "random", "low_q"]).agg(F.bround(F.avg("mean_loss"), 4))
     return p.withColumn("monotone", F.coalesce((F.col("gold") < F.col("random")) & (F.col("random") < F.col("low_q")), F.lit(False)))
 
 
@@ -188,4 +183,4 @@ def loss_summary(loss_rows: DataFrame) -> DataFrame:
 
 def loss_pivot(summary: DataFrame) -> DataFrame:
     """Mean loss by model and split."""
-    return summary.groupBy("model").pivot("split", ["gold", "random", "low_q"]).agg(F.round(F.avg("mean_loss"), 4))
+    return summary.groupBy("model").pivot("split", ["gold", "random", "low_q"]).agg(F.bround(F.avg("mean_loss"), 4))

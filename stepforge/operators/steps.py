@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.config import ERROR_KEYWORDS, FILE_EXTENSIONS, LIMITS, NOISE_PATTERNS, TEST_KEYWORDS, Limits
-from stepforge.sources.tables import spread
+from stepforge.sources.tables import delivered_once, spread
 
 #: Line ends as text processing knows them.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
@@ -103,13 +103,18 @@ def keywords(text: str) -> str:
 def utilization(acts: str = "actions", texts: str = "action_texts") -> Column:
     """C3 (W4): share of an observation's keywords that a later action takes up; 1 if there are none.
 
-    ``texts`` holds the actions' texts in lower case, made once per row.
+    ``texts`` holds the actions' texts in lower case, made once per row.  Where
+    a keyword was used last is looked up once in all texts, from their end, so
+    the work is that of the different keywords, not of pairs of actions.
     """
+    # Keywords hold no line break, so none is found across two texts.  ``starts``: where each text begins.
     return F.expr(f"""
-        aggregate(
-          transform({acts}, (a, k) -> transform({keywords("a.obs")}, w -> exists(slice({texts}, k + 2, size({texts})), p -> contains(p, w)))),
-          named_struct('n', 0L, 'u', 0L),
-          (s, f) -> named_struct('n', s.n + size(f), 'u', s.u + size(filter(f, x -> x))),
+        aggregate(array(named_struct('found', transform({acts}, a -> {keywords("a.obs")}), 'back', reverse(array_join({texts}, '\n')))), named_struct('n', 0L, 'u', 0L),
+          (s, x) -> aggregate(array(named_struct(
+              'last', map_from_entries(transform(array_distinct(flatten(x.found)), w -> struct(w, length(x.back) - instr(x.back, reverse(w)) - length(w) + IF(instr(x.back, reverse(w)) = 0, -length(x.back) - 2, 1)))),
+              'starts', aggregate({texts}, array(0L), (at, t) -> array_append(at, element_at(at, -1) + length(t) + 1)))), s,
+            (s, y) -> aggregate(transform(x.found, (f, k) -> struct(size(f) AS n, size(filter(f, w -> y.last[w] >= get(y.starts, k + 1))) AS u)), s,
+              (s, c) -> named_struct('n', s.n + c.n, 'u', s.u + c.u))),
           s -> CASE WHEN s.n = 0 THEN 1.0D ELSE s.u / s.n END)
     """)
 
@@ -187,5 +192,5 @@ def once(df: DataFrame, key: str) -> DataFrame:
 
 def steps(trajectories: DataFrame) -> DataFrame:
     """W1 as a table: ``trajectory_id, step_idx, tool, args_prefix, action_text, obs_text``, one row per action."""
-    flat = with_actions(trajectories).select("trajectory_id", F.explode("actions").alias("a"))
-    return flat.select("trajectory_id", F.col("a.idx").alias("step_idx"), "a.tool", "a.args_prefix", "a.action_text", F.col("a.obs").alias("obs_text")).distinct()
+    flat = with_actions(delivered_once(trajectories, "trajectory_id", "trajectory")).select("trajectory_id", F.explode("actions").alias("a"))
+    return flat.select("trajectory_id", F.col("a.idx").alias("step_idx"), "a.tool", "a.args_prefix", "a.action_text", F.col("a.obs").alias("obs_text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.config import LIMITS
@@ -55,8 +55,9 @@ def build(pool: DataFrame, subset: Subset, seed: int = LIMITS.seed) -> DataFrame
 def build_all(all_pool: DataFrame, gate_pool: DataFrame, names: Iterable[str] | None = None, scale: float = 1.0, seed: int = LIMITS.seed) -> DataFrame:
     """``subset_name, trajectory_id`` and the score columns of all (or the named) subsets.
 
-    All ranked subsets of a pool come from one job: ranks as window columns
-    with a group limit, cut per subset.  An unknown name is an error.
+    Each pool is read once: every id is put into each of its orders, a group
+    limit keeps the first of every order while still in the map tasks, and
+    subsets of one order are cut by rank.  An unknown name is an error.
     """
     chosen = catalogue(scale)
     if names is not None:
@@ -65,10 +66,23 @@ def build_all(all_pool: DataFrame, gate_pool: DataFrame, names: Iterable[str] |
             raise ValueError(f"no such subset: {sorted(unknown)}")
         chosen = [s for s in chosen if s.name in wanted]
     out = None
-    for s in chosen:
-        pool = all_pool if s.pool == "all" else gate_pool
-        rows = build(pool, s, seed)
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    for pool, rows in (("all", all_pool), ("gate", gate_pool)):
+        own = [s for s in chosen if s.pool == pool]
+        orders = sorted({(s.order or "", s.ascending) for s in own})
+        if not orders:
+            continue
+        sign = lambda up: -1 if up else 1
+        key = [
+            F.struct(F.lit(k).alias("o"), (F.nanvl(F.expr(order).cast("double"), F.lit(None).cast("double")) * sign(up) if order else F.lit(None).cast("double")).alias("score"), (F.lit("") if order else sample_key(seed)).alias("drawn"))
+            for k, (order, up) in enumerate(orders)
+        ]
+        deepest = F.element_at(F.array(*(F.lit(max(s.size for s in own if (s.order or "", s.ascending) == o)) for o in orders)), F.col("o") + 1)
+        rank = F.row_number().over(Window.partitionBy("o").orderBy(F.desc_nulls_last("score"), "drawn", "trajectory_id"))
+        most = max(s.size for s in own)
+        ranked = rows.select("*", F.explode(F.array(*key)).alias("k")).select(*rows.columns, "k.*").withColumn("rank", rank).filter(F.col("rank") <= most).filter(F.col("rank") <= deepest)
+        table = rows.sparkSession.createDataFrame([(s.name, orders.index((s.order or "", s.ascending)), s.size) for s in own], "subset_name string, o int, size int")
+        built = ranked.join(F.broadcast(table), "o").filter("rank <= size").select(*rows.columns, "subset_name")
+        out = built if out is None else out.unionByName(built, allowMissingColumns=True)
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepforge.config import ACTION_PATTERNS
+from stepforge.config import ACTION_PATTERNS, PATH_PATTERN
 
 
 def stripped(c: Column) -> Column:
@@ -43,13 +43,11 @@ def format_score(text: Column) -> Column:
     )
 
 
-_PATHS = r'(?m)(?:"(?:path|file_path|filename|target_file)"\s*:\s*"([^"]+)"|(?:^|[\s"])(/[\w./\-]+\.\w+)|(?:^|[\s"])([\w./\-]+/[\w./\-]+\.\w+))'
-
-
 def file_paths(text: Column) -> Column:
     """Distinct paths in a text: three characters or more, with a slash."""
-    groups = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PATHS), F.lit(i)) for i in (1, 2, 3)]
-    found = F.transform(F.concat(*groups), lambda p: F.regexp_replace(stripped(p), r'^"+|"+$', ""))
+    # One search of the text; what was found is either a named argument or a path behind a blank or quote.
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATH_PATTERN), F.lit(0))
+    found = F.transform(found, lambda m: F.regexp_replace(stripped(F.regexp_replace(m, r'^"(?:path|file_path|filename|target_file)"\s*:\s*"|"$', "")), r'^"+|"+$', ""))
     return F.array_distinct(F.filter(found, lambda p: (F.length(p) >= 3) & F.contains(p, F.lit("/"))))
 
 

@@ -11,16 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepforge.functions.ids import repo_key, trajectory_key
 from stepforge.operators import chat, profile, scores, statistics, subsets, testsets, textmetrics
 from stepforge.operators import steps as st
-from stepforge.sources import readers, sinks, table
+from stepforge.session import cut
+from stepforge.sources import latest, readers, sinks, table
+from stepforge.sources.tables import where
 from stepforge.streaming.scoring import activity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The catalogue's sizes are scaled so that the largest subset is a part of the smallest tables.
-SUBSET_SCALE = 0.1
-TEST_SET_SIZE = 20
 FLAGSHIP_SIZE = 100
 SUB_SCORES = ["b1_redundant_commands", "b2_error_retry", "b3_step_count_ratio", "c1_observation_cleanliness", "c2_action_diversity", "c3_observation_utilization"]
 DIMENSIONS = ["composite_score", "efficiency_score", "style_score", "b2_error_retry", "b3_step_count_ratio", "c2_action_diversity", "c3_observation_utilization"]
@@ -37,38 +37,40 @@ def _r(df: DataFrame, *exact: str) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in cols))
 
 
-# --- stored raw metrics: one row a trajectory -------------------------------
+# --- stored raw metrics: the last row of each trajectory --------------------
+
+
+def last_stats(stats: DataFrame, *columns: str) -> DataFrame:
+    """The last delivery of each trajectory, ids canonical; the rule of every profile of ``stats``."""
+    return latest(stats.select("trajectory_id", "ingested_at", *columns) if columns else stats, "trajectory_id", "ingested_at")
+
+
+def last_scored(scored: DataFrame, *columns: str) -> DataFrame:
+    """The last scoring of each trajectory, ids canonical."""
+    return latest(scored.select("trajectory_id", "scored_at", *columns), "trajectory_id", "scored_at")
 
 
 def pool(stats: DataFrame) -> DataFrame:
-    """Distinct ids with v1 score and status, for evaluation sets."""
-    by = F.struct("ingested_at", "composite_q")
-    return stats.groupBy("trajectory_id").agg(F.max_by("composite_q", by).alias("score"), F.max_by(F.coalesce("exit_status", F.lit("")), by).alias("exit_status"))
+    """Ids with v1 score and status, for evaluation sets."""
+    return last_stats(stats, "composite_q", "exit_status").select("trajectory_id", F.col("composite_q").alias("score"), F.coalesce("exit_status", F.lit("")).alias("exit_status"))
 
 
 def gate_pool(scored: DataFrame) -> DataFrame:
-    """Per trajectory the columns that subsets are ranked by: the greatest values of its last scoring."""
-    cols = ["composite_score", "efficiency_score", "style_score", *SUB_SCORES]
-    last = scored.groupBy("trajectory_id").agg(F.max("scored_at").alias("scored_at"))
-    return scored.join(last, ["trajectory_id", "scored_at"]).groupBy("trajectory_id").agg(*(F.max(c).alias(c) for c in cols))
+    """Per trajectory the columns that subsets are ranked by."""
+    return last_scored(scored, "composite_score", "efficiency_score", "style_score", *SUB_SCORES).drop("scored_at")
 
 
 def all_pool(stats: DataFrame) -> DataFrame:
-    """Per trajectory the columns that subset statistics need, of its last delivery."""
-    last = stats.groupBy("trajectory_id").agg(F.max("ingested_at").alias("ingested_at"))
-    return (
-        stats.join(last, ["trajectory_id", "ingested_at"])
-        .groupBy("trajectory_id")
-        .agg(*(F.max(c).alias(c) for c in ("composite_q", "total_tokens", "assistant_turns", "ends_with_submit", "resolved", "repo")))
-    )
+    """Per trajectory the columns that subset statistics need."""
+    rows = last_stats(stats, "composite_q", "total_tokens", "assistant_turns", "ends_with_submit", "resolved", "repo")
+    return rows.drop("ingested_at").withColumn("repo", repo_key("repo"))
 
 
 def members(stats: DataFrame, scored: DataFrame) -> DataFrame:
-    """All 16 subsets with the statistics columns joined to them."""
+    """All 16 subsets with the statistics columns joined to them; what is read again and again is checkpointed, some thousand rows."""
     everything = all_pool(stats)
-    gated = gate_pool(scored)
-    built = subsets.build_all(everything.select("trajectory_id"), gated, scale=SUBSET_SCALE)
-    return built.join(everything, "trajectory_id", "left")
+    built = subsets.build_all(everything.select("trajectory_id"), gate_pool(scored))
+    return cut(built.join(everything, "trajectory_id", "left"))
 
 
 def train_ids(split_rows: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def train_ids(split_rows: DataFrame) -> DataFrame:
 
 
 def test_sets(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
-    return testsets.build(pool(stats), train_ids(split_rows), n=TEST_SET_SIZE)
+    return testsets.build(pool(stats), train_ids(split_rows))
 
 
 # --- nested trajectories ----------------------------------------------------
@@ -107,7 +109,7 @@ def per_observation(trajectories: DataFrame) -> DataFrame:
 
 
 def messages_of(trajectories: DataFrame) -> DataFrame:
-    return chat.with_chat(trajectories).select("trajectory_id", "chat").distinct()
+    return chat.with_chat(trajectories)
 
 
 def turns_of(trajectories: DataFrame) -> DataFrame:
@@ -116,19 +118,26 @@ def turns_of(trajectories: DataFrame) -> DataFrame:
 
 def action_pairs(trajectories: DataFrame) -> DataFrame:
     """Generated against true actions: the reply after three turns stands in for a prediction of the first one."""
-    m = turns_of(trajectories).select("trajectory_id", chat.first_action().alias("f"), chat.prefix(3).alias("p"))
-    return m.filter("f IS NOT NULL AND p IS NOT NULL").select("trajectory_id", F.col("p.target").alias("generated"), F.col("f.target").alias("truth"))
+    both = F.struct(chat.first_action()["target"].alias("truth"), chat.prefix(3)["target"].alias("generated"))
+    m = where(turns_of(trajectories), "pair", both, lambda x: x["truth"].isNotNull() & x["generated"].isNotNull())
+    return m.select("trajectory_id", "pair.generated", "pair.truth")
+
+
+def prompts(trajectories: DataFrame, steps: int | None) -> DataFrame:
+    """Length of the prompt and the reply wanted, after ``steps`` turns or (None) for the first action."""
+    rows = where(turns_of(trajectories), "p", chat.first_action() if steps is None else chat.prefix(steps), lambda p: p.isNotNull())
+    return rows.select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")
 
 
 def action_rows(trajectories: DataFrame) -> DataFrame:
-    p = action_pairs(trajectories)
     g, t = F.col("generated"), F.col("truth")
+    p = action_pairs(trajectories).withColumns({"pg": textmetrics.file_paths(g), "pt": textmetrics.file_paths(t)})
     return p.select(
         "trajectory_id",
         (textmetrics.action_type(g) == textmetrics.action_type(t)).alias("action_type_match"),
         textmetrics.action_type(g).alias("pred_action_type"),
         textmetrics.action_type(t).alias("gt_action_type"),
-        textmetrics.jaccard(textmetrics.file_paths(g), textmetrics.file_paths(t)).alias("file_match_score"),
+        textmetrics.jaccard(F.col("pg"), F.col("pt")).alias("file_match_score"),
         textmetrics.exact_match(g, t).alias("exact_match"),
         textmetrics.format_score(g).alias("format_score"),
         F.substring(g, 1, 500).alias("generated"),
@@ -140,10 +149,9 @@ def action_rows(trajectories: DataFrame) -> DataFrame:
 
 def loss_rows(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
     """Loss rows (model, split, trajectory_id, loss, n_tokens) in place of a model's: status as model, 1 - score as loss."""
-    p = pool(stats).select("trajectory_id", F.when(F.trim("exit_status") != "", F.lower(F.trim("exit_status"))).otherwise("none").alias("model"), (1 - F.col("score")).alias("loss"))
-    tokens = stats.groupBy("trajectory_id").agg(F.max("total_tokens").alias("n_tokens"))
-    splits = split_rows.filter(F.col("split").isin("gold", "random", "low_q")).select("split", "trajectory_id").distinct()
-    return splits.join(p, "trajectory_id").join(tokens, "trajectory_id").select("model", "split", "trajectory_id", "loss", "n_tokens")
+    p = last_stats(stats, "composite_q", "exit_status", "total_tokens").select("trajectory_id", F.when(F.trim("exit_status") != "", F.lower(F.trim("exit_status"))).otherwise("none").alias("model"), (1 - F.col("composite_q")).alias("loss"), F.col("total_tokens").alias("n_tokens"))
+    splits = split_rows.filter(F.col("split").isin("gold", "random", "low_q")).select("split", trajectory_key("trajectory_id").alias("trajectory_id")).distinct()
+    return splits.join(p, "trajectory_id").select("model", "split", "trajectory_id", "loss", "n_tokens")
 
 
 def losses(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
@@ -152,7 +160,7 @@ def losses(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
 
 def repo_points(stats: DataFrame) -> DataFrame:
     """Mean score, turns and tokens a repository, for correlation and regression."""
-    return stats.filter("repo IS NOT NULL").groupBy("repo").agg(F.round(F.avg("composite_q"), 6).alias("q"), F.round(F.avg("assistant_turns"), 6).alias("turns"), F.round(F.avg("total_tokens"), 6).alias("tokens"))
+    return last_stats(stats, "repo", "composite_q", "assistant_turns", "total_tokens").withColumn("repo", repo_key("repo")).filter("repo IS NOT NULL").groupBy("repo").agg(F.round(F.avg("composite_q"), 6).alias("q"), F.round(F.avg("assistant_turns"), 6).alias("turns"), F.round(F.avg("total_tokens"), 6).alias("tokens"))
 
 
 def _spearman(stats: DataFrame) -> DataFrame:
@@ -162,13 +170,13 @@ def _spearman(stats: DataFrame) -> DataFrame:
 
 def _merge(scored: DataFrame) -> DataFrame:
     old, new = (scored.filter(f"passes_gate AND {c}") for c in ("resolved = 1 AND assistant_turns < 20", "assistant_turns >= 15"))
-    cut = lambda d, tag: d.select("trajectory_id").distinct().withColumn("origin", F.lit(tag))
-    return sinks.merge_results(cut(old, "existing"), cut(new, "new"), ["trajectory_id"])
+    tagged = lambda d, tag: d.select("trajectory_id").distinct().withColumn("origin", F.lit(tag))
+    return sinks.merge_results(tagged(old, "existing"), tagged(new, "new"), ["trajectory_id"])
 
 
 def _catalogue_query(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        spec = next(s for s in subsets.catalogue(SUBSET_SCALE) if s.name == name)
+        spec = next(s for s in subsets.catalogue() if s.name == name)
         rows = all_pool(table(spark, d, "stats")).select("trajectory_id") if spec.pool == "all" else gate_pool(table(spark, d, "scored"))
         return subsets.build(rows, spec).select("subset_name", "trajectory_id")
 
@@ -200,17 +208,17 @@ def queries() -> dict[str, Query]:
         "task_median": t(lambda x: scores.task_medians(raw(x))),
         "gate_filter": s(lambda x: _r(x.filter(scores.passes_gate()).select("trajectory_id", "total_tokens", scores.truncation_ratio().alias("truncation_ratio")).distinct())),
         "outcome_flags": s(lambda x: x.select("trajectory_id", (F.lower(F.trim(F.coalesce("exit_status", F.lit("")))) == "submit").alias("submitted"), scores.outcome_success().alias("outcome")).distinct()),
-        "tool_histogram": s(profile.tool_histogram),
-        "outcome_composition": s(lambda x: profile.outcomes(stats_flat(x), ["repo"])),
-        "global_summary": s(profile.global_summary),
-        "gate_summary": s(profile.gate_summary),
-        "top_repos": s(lambda x: profile.top_values(x, F.col("repo"))),
-        "describe_scored": c(lambda x: profile.describe(x, DIMENSIONS)),
-        "dim_variance": c(lambda x: profile.low_variance(x, SUB_SCORES)),
-        "histogram_tokens": s(lambda x: profile.histogram(x, "total_tokens", 80, positive=True)),
-        "histogram_turns": s(lambda x: profile.histogram(x, "assistant_turns", 50)),
-        "histogram_composite": c(lambda x: profile.histogram(x, "composite_score", 40)),
-        "boxplot_composite": c(lambda x: profile.boxplot(x, "repo", "composite_score")),
+        "tool_histogram": s(lambda x: profile.tool_histogram(last_stats(x, "tool_call_counts"))),
+        "outcome_composition": s(lambda x: profile.outcomes(by_repo(last_stats(x, "repo", "ends_with_submit", "resolved")), ["repo"])),
+        "global_summary": s(lambda x: profile.global_summary(by_repo(last_stats(x, "repo", "total_tokens", "assistant_turns", "resolved")))),
+        "gate_summary": s(lambda x: profile.gate_summary(last_stats(x, "truncation_ratio", "resolved"))),
+        "top_repos": s(lambda x: profile.top_values(last_stats(x, "repo"), repo_key("repo"))),
+        "describe_scored": c(lambda x: profile.describe(last_scored(x, *DIMENSIONS), DIMENSIONS)),
+        "dim_variance": c(lambda x: profile.low_variance(last_scored(x, *SUB_SCORES), SUB_SCORES)),
+        "histogram_tokens": s(lambda x: profile.histogram(last_stats(x, "total_tokens"), "total_tokens", 80, positive=True)),
+        "histogram_turns": s(lambda x: profile.histogram(last_stats(x, "assistant_turns"), "assistant_turns", 50)),
+        "histogram_composite": c(lambda x: profile.histogram(last_scored(x, "composite_score"), "composite_score", 40)),
+        "boxplot_composite": c(lambda x: profile.boxplot(by_repo(last_scored(x, "repo", "composite_score")), "repo", "composite_score")),
         "schema_normalise": c(lambda x: _r(sinks.publishable(x).distinct(), "trajectory_id")),
         "subset_stats": _t("stats", "scored")(lambda a, b: subsets.subset_stats(members(a, b))),
         "subset_overlap": _t("stats", "scored")(lambda a, b: subsets.overlap(members(a, b))),
@@ -218,21 +226,21 @@ def queries() -> dict[str, Query]:
         "training_ids": _t("split_rows")(train_ids),
         "quantile_filter": s(lambda x: testsets.quality_pool(pool(x), 0.9, True, ("submit", "success", "resolved"), 1).select("trajectory_id")),
         "relaxed_pool": s(lambda x: testsets.quality_pool(pool(x), 0.1, False, ("failed",), 10_000).select("trajectory_id")),
-        "exclude_chain": _t("stats", "split_rows")(lambda a, b: pool(a).join(train_ids(b), "trajectory_id", "left_anti").select("trajectory_id")),
+        "exclude_chain": _t("stats", "split_rows")(lambda a, b: readers.with_ids(pool(a).select("trajectory_id"), train_ids(b), "left_anti")),
         "testsets": _t("stats", "split_rows")(test_sets),
         "testset_audit": _t("stats", "split_rows")(lambda a, b: testsets.audit(test_sets(a, b), train_ids(b))),
-        "leakage_audit": _t("split_rows")(lambda x: testsets.audit(x.filter(F.col("split") != "train").select("split", "trajectory_id").distinct(), train_ids(x))),
-        "fetch_rows": _t("trajectories", "split_rows")(lambda a, b: a.join(b.filter(F.col("split") == "gold").select("trajectory_id").distinct(), "trajectory_id", "left_semi").select("trajectory_id", "exit_status", "resolved").distinct()),
-        "experiment_subsets": _t("experiments", "split_rows")(lambda a, b: a.select("name", "subset").distinct().join(b.select(F.col("subset_name").alias("subset"), "trajectory_id").distinct(), "subset").groupBy("name", "subset").agg(F.count("*").alias("n"))),
+        "leakage_audit": _t("split_rows")(lambda x: testsets.audit(x.filter(F.col("split") != "train"), train_ids(x))),
+        "fetch_rows": _t("trajectories", "split_rows")(lambda a, b: readers.with_ids(a.select("trajectory_id", "exit_status", "resolved"), b.filter(F.col("split") == "gold")).distinct()),
+        "experiment_subsets": _t("experiments", "split_rows")(experiment_subsets),
         "resume_unseen": _t("trajectories", "stats")(lambda a, b: readers.unseen(a, b.filter("resolved = 1")).select("trajectory_id").distinct()),
         "chat_render": t(lambda x: messages_of(x).select("trajectory_id", chat.render().alias("text"))),
         "assistant_spans": t(lambda x: chat.examples(x).select("trajectory_id", F.posexplode("spans").alias("k", "s")).select("trajectory_id", "k", F.col("s.begin").alias("span_begin"), F.col("s.end").alias("span_end"))),
         "seq_lengths": t(lambda x: chat.examples(x).select("trajectory_id", F.length("text").alias("n_chars"), chat.span_chars().alias("n_label_chars"))),
         "label_tokens": t(lambda x: chat.label_mask(chat.examples(x)).select("trajectory_id", F.size("input_ids").alias("n_tokens"), F.expr("size(filter(labels, v -> v != -100))").alias("n_labels"))),
-        "prefix_truncation": t(lambda x: turns_of(x).select("trajectory_id", chat.prefix(3).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
-        "prefix_truncation_5": t(lambda x: turns_of(x).select("trajectory_id", chat.prefix(5).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
-        "prefix_truncation_7": t(lambda x: turns_of(x).select("trajectory_id", chat.prefix(7).alias("p")).filter("p IS NOT NULL").select("trajectory_id", F.size("p.prompt").alias("n_prompt"), "p.target")),
-        "first_action": t(lambda x: turns_of(x).select("trajectory_id", chat.first_action().alias("f")).filter("f IS NOT NULL").select("trajectory_id", F.size("f.prompt").alias("n_prompt"), "f.target")),
+        "prefix_truncation": t(lambda x: prompts(x, 3)),
+        "prefix_truncation_5": t(lambda x: prompts(x, 5)),
+        "prefix_truncation_7": t(lambda x: prompts(x, 7)),
+        "first_action": t(lambda x: prompts(x, None)),
         "action_type": t(lambda x: action_rows(x).select("trajectory_id", "pred_action_type", "gt_action_type", "action_type_match")),
         "format_score": t(lambda x: action_rows(x).select("trajectory_id", "format_score")),
         "path_extract": t(lambda x: action_pairs(x).select("trajectory_id", F.explode(textmetrics.file_paths(F.col("truth"))).alias("path"))),
@@ -248,7 +256,7 @@ def queries() -> dict[str, Query]:
         "impact_rank": _t("stats", "split_rows")(lambda a, b: statistics.impact_rank(statistics.relative_delta(losses(a, b), "submit"), "submit").select("model", "split", "impact")),
         "quality_gradient": _t("stats", "split_rows")(lambda a, b: statistics.quality_gradient(losses(a, b))),
         "scaling_delta": _t("stats", "split_rows")(lambda a, b: statistics.scaling(losses(a, b), a.sparkSession.createDataFrame([("cost", "exit_cost", "submit"), ("time", "timeout", "submit")], "strategy string, small string, large string"))),
-        "mann_whitney": s(lambda x: _r(statistics.mann_whitney(x, "composite_q", F.col("has_patch")))),
+        "mann_whitney": s(lambda x: _r(statistics.mann_whitney(last_stats(x, "composite_q", "has_patch"), "composite_q", F.col("has_patch")))),
         "spearman": s(_spearman),
         "linear_fit": s(lambda x: statistics.linear_fit(repo_points(x), "turns", "tokens")),
         "bootstrap_mean": s(lambda x: statistics.bootstrap_mean(repo_points(x), "q", ["q", "repo"])),
@@ -263,6 +271,13 @@ def queries() -> dict[str, Query]:
     return q
 
 
-def stats_flat(stats: DataFrame) -> DataFrame:
-    """Distinct rows without the map, since rows are delivered twice."""
-    return stats.drop("tool_call_counts").distinct()
+def by_repo(rows: DataFrame) -> DataFrame:
+    """``rows`` with the canonical repository."""
+    return rows.withColumn("repo", repo_key("repo"))
+
+
+def experiment_subsets(experiments: DataFrame, split_rows: DataFrame) -> DataFrame:
+    """Trajectories of each experiment's subset; blanks and case in names of subsets make no difference."""
+    name = lambda c: F.lower(F.trim(c)).alias("subset")
+    ids = split_rows.select(name("subset_name"), trajectory_key("trajectory_id").alias("trajectory_id")).filter("trajectory_id IS NOT NULL").distinct().groupBy("subset").agg(F.count("*").alias("n"))
+    return experiments.select(F.trim("name").alias("name"), name("subset")).distinct().join(ids, "subset").select("name", "subset", "n")

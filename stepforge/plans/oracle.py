@@ -6,9 +6,9 @@ windows and joins, so the two share no method.
 
 from __future__ import annotations
 
-from stepforge.config import ERROR_KEYWORDS, FILE_EXTENSIONS, NOISE_PATTERNS, TEST_KEYWORDS
+from stepforge.config import ERROR_KEYWORDS, FILE_EXTENSIONS, LIMITS, NOISE_PATTERNS, PATH_PATTERN, TEST_KEYWORDS
 from stepforge.operators import subsets
-from stepforge.plans.core import DIMENSIONS, FLAGSHIP_SIZE, SUB_SCORES, SUBSET_SCALE, TEST_SET_SIZE, subset_query_name
+from stepforge.plans.core import DIMENSIONS, FLAGSHIP_SIZE, SUB_SCORES, subset_query_name
 
 _LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E]"
 
@@ -17,6 +17,29 @@ def _alt(words: tuple[str, ...]) -> str:
     return "|".join(words)
 
 
+_EDGE = r"""[\s"'`\x{A0}\x{200B}\x{FEFF}]+""".replace("'", "''")
+
+
+def _key(c: str) -> str:
+    """Canonical trajectory id: edges, folders, file ending and prefix stripped in one pattern."""
+    inner = rf"^{_EDGE.replace('+', '*')}(?:.*/)?(?:trajectory|traj|trj)?[-_:\s]*(.*?)(?:\.(?:jsonl?|txt|parquet))?{_EDGE.replace('+', '*')}$"
+    return f"('trj-' || nullif(regexp_extract(lower({c}), '{inner}', 1), ''))"
+
+
+def _repo(c: str) -> str:
+    """Canonical repository: host, ending and blanks stripped, ``__`` for the slash where there is none."""
+    s = f"regexp_replace(lower({c}), '^{_EDGE}|{_EDGE}$', '', 'g')"
+    s = f"regexp_replace({s}, '^(https?://[^/]+/|ssh://[^/]+/|git@[^:/]+[:/])', '')"
+    s = f"regexp_replace(regexp_replace({s}, '\\s*/\\s*', '/', 'g'), '(\\.git)?/*$', '')"
+    return f"nullif(CASE WHEN contains({s}, '/') THEN {s} ELSE replace({s}, '__', '/') END, '')"
+
+
+# The last delivery and the last scoring of each trajectory.
+LAST = f"""
+st AS (SELECT * REPLACE ({_key("trajectory_id")} AS trajectory_id, {_repo("repo")} AS repo) FROM stats QUALIFY row_number() OVER (PARTITION BY {_key("trajectory_id")} ORDER BY ingested_at DESC) = 1),
+sc AS (SELECT * REPLACE ({_key("trajectory_id")} AS trajectory_id, {_repo("repo")} AS repo) FROM scored QUALIFY row_number() OVER (PARTITION BY {_key("trajectory_id")} ORDER BY scored_at DESC) = 1)
+"""
+
 # Messages, actions with their observations, calls.
 BASE = """
 t AS (SELECT DISTINCT * FROM trajectories),
@@ -112,19 +135,22 @@ fa AS (SELECT trajectory_id, CAST(coalesce(n_sys, 0) + 1 AS INTEGER) AS n_prompt
 pair AS (SELECT trajectory_id, turn.next_content AS generated, fa.target AS truth FROM fa JOIN turn USING (trajectory_id) WHERE turn.k = 4)
 """
 
-POOL = """
-pool AS (SELECT trajectory_id, arg_max(composite_q, (ingested_at, composite_q)) AS score, arg_max(coalesce(exit_status, ''), (ingested_at, composite_q)) AS exit_status FROM stats GROUP BY 1),
-train AS (SELECT DISTINCT trajectory_id FROM split_rows WHERE subset_name IS NOT NULL)
+POOL = (
+    LAST
+    + f""",
+pool AS (SELECT trajectory_id, composite_q AS score, coalesce(exit_status, '') AS exit_status, total_tokens FROM st),
+train AS (SELECT DISTINCT {_key("trajectory_id")} AS trajectory_id FROM split_rows WHERE subset_name IS NOT NULL)
 """
+)
 
 _GATE_COLS = ["composite_score", "efficiency_score", "style_score", *SUB_SCORES]
-GATE = f"""
-gate AS (SELECT trajectory_id, {", ".join(f"max({c}) AS {c}" for c in _GATE_COLS)}
-         FROM scored JOIN (SELECT trajectory_id, max(scored_at) AS scored_at FROM scored GROUP BY 1) USING (trajectory_id, scored_at) GROUP BY 1),
-every AS (SELECT trajectory_id, max(composite_q) AS composite_q, max(total_tokens) AS total_tokens, max(assistant_turns) AS assistant_turns,
-            max(ends_with_submit) AS ends_with_submit, max(resolved) AS resolved, max(repo) AS repo
-          FROM stats JOIN (SELECT trajectory_id, max(ingested_at) AS ingested_at FROM stats GROUP BY 1) USING (trajectory_id, ingested_at) GROUP BY 1)
+GATE = (
+    LAST
+    + f""",
+gate AS (SELECT trajectory_id, {", ".join(_GATE_COLS)} FROM sc),
+every AS (SELECT trajectory_id, composite_q, total_tokens, assistant_turns, ends_with_submit, resolved, repo FROM st)
 """
+)
 
 
 def _subset(spec: subsets.Subset) -> str:
@@ -135,7 +161,7 @@ def _subset(spec: subsets.Subset) -> str:
 MEMBERS = (
     GATE
     + ", built AS ("
-    + " UNION ALL ".join(f"SELECT *, {'false' if s.pool == 'all' else 'true'} AS gated FROM {_subset(s)}" for s in subsets.catalogue(SUBSET_SCALE))
+    + " UNION ALL ".join(f"SELECT *, {'false' if s.pool == 'all' else 'true'} AS gated FROM {_subset(s)}" for s in subsets.catalogue())
     + "), members AS (SELECT built.subset_name, trajectory_id, "
     + ", ".join(f"CASE WHEN gated THEN gate.{c} END AS {c}" for c in _GATE_COLS)
     + ", every.* EXCLUDE (trajectory_id) FROM built LEFT JOIN gate USING (trajectory_id) LEFT JOIN every USING (trajectory_id))"
@@ -144,19 +170,20 @@ MEMBERS = (
 LOSS = (
     POOL
     + """,
-lrows AS (SELECT split, trajectory_id, CASE WHEN trim(exit_status) <> '' THEN lower(trim(exit_status)) ELSE 'none' END AS model, 1 - score AS loss, n_tokens
-          FROM (SELECT DISTINCT split, trajectory_id FROM split_rows WHERE split IN ('gold', 'random', 'low_q')) JOIN pool USING (trajectory_id)
-            JOIN (SELECT trajectory_id, max(total_tokens) AS n_tokens FROM stats GROUP BY 1) USING (trajectory_id)),
+lrows AS (SELECT split, trajectory_id, CASE WHEN trim(exit_status) <> '' THEN lower(trim(exit_status)) ELSE 'none' END AS model, 1 - score AS loss, total_tokens AS n_tokens
+          FROM (SELECT DISTINCT split, """
+    + _key("trajectory_id")
+    + """ AS trajectory_id FROM split_rows WHERE split IN ('gold', 'random', 'low_q')) JOIN pool USING (trajectory_id)),
 loss AS (SELECT model, split, round(avg(loss), 6) AS mean_loss, round(stddev_pop(loss), 6) AS std_loss, round(exp(avg(loss)), 6) AS perplexity, count(loss) AS n_valid,
            count(*) - count(loss) AS n_failed, round(avg(n_tokens), 6) AS mean_tokens FROM lrows GROUP BY ALL)
 """
 )
 
-POINTS = "pts AS (SELECT repo, round(avg(composite_q), 6) AS q, round(avg(assistant_turns), 6) AS turns, round(avg(total_tokens), 6) AS tokens FROM stats WHERE repo IS NOT NULL GROUP BY 1)"
+POINTS = LAST + ", pts AS (SELECT repo, round(avg(composite_q), 6) AS q, round(avg(assistant_turns), 6) AS turns, round(avg(total_tokens), 6) AS tokens FROM st WHERE repo IS NOT NULL GROUP BY 1)"
 
 
 def _shuffled(split: str, source: str) -> str:
-    return f"(SELECT '{split}' AS split, trajectory_id FROM {source} ORDER BY md5('42:{split}:' || trajectory_id), trajectory_id LIMIT {TEST_SET_SIZE})"
+    return f"(SELECT '{split}' AS split, trajectory_id FROM {source} ORDER BY md5('42:{split}:' || trajectory_id), trajectory_id LIMIT {LIMITS.test_set_size})"
 
 
 TESTS = (
@@ -165,12 +192,12 @@ TESTS = (
 elig AS (SELECT * FROM pool WHERE trajectory_id NOT IN (SELECT trajectory_id FROM train)),
 gold0 AS (SELECT * FROM elig WHERE score >= (SELECT quantile_cont(score, 0.9) FROM elig)),
 gold1 AS (SELECT * FROM gold0 WHERE lower(exit_status) IN ('submit', 'success', 'resolved')),
-gold2 AS (SELECT * FROM gold1 UNION SELECT * FROM gold0 WHERE (SELECT count(*) FROM gold1) < {TEST_SET_SIZE}),
+gold2 AS (SELECT * FROM gold1 UNION SELECT * FROM gold0 WHERE (SELECT count(*) FROM gold1) < {LIMITS.test_set_size}),
 gold AS {_shuffled("gold", "gold2")},
 rest AS (SELECT * FROM elig WHERE trajectory_id NOT IN (SELECT trajectory_id FROM gold)),
 low0 AS (SELECT * FROM rest WHERE score <= (SELECT quantile_cont(score, 0.1) FROM rest)),
 low1 AS (SELECT * FROM low0 WHERE lower(exit_status) IN ('error', 'timeout', 'failed', 'exit_cost')),
-low2 AS (SELECT * FROM low1 UNION SELECT * FROM low0 WHERE (SELECT count(*) FROM low1) < {TEST_SET_SIZE}),
+low2 AS (SELECT * FROM low1 UNION SELECT * FROM low0 WHERE (SELECT count(*) FROM low1) < {LIMITS.test_set_size}),
 low AS {_shuffled("low_q", "low2")},
 rest2 AS (SELECT * FROM rest WHERE trajectory_id NOT IN (SELECT trajectory_id FROM low)),
 rnd AS {_shuffled("random", "rest2")},
@@ -181,7 +208,7 @@ sets AS (SELECT * FROM gold UNION ALL SELECT * FROM low UNION ALL SELECT * FROM
 
 def _hist(table: str, column: str, bins: int, where: str = "true") -> str:
     return f"""
-    WITH x AS (SELECT CAST({column} AS DOUBLE) AS v FROM {table} WHERE {column} IS NOT NULL AND {where}),
+    WITH {LAST}, x AS (SELECT CAST({column} AS DOUBLE) AS v FROM {table} WHERE {column} IS NOT NULL AND {where}),
     b AS (SELECT min(v) AS lo, max(v) AS hi FROM x),
     y AS (SELECT CASE WHEN hi = lo THEN 1 ELSE CAST(least({bins}, floor((v - lo) / ((hi - lo) / {bins})) + 1) AS INTEGER) END AS bin, lo, hi FROM x, b)
     SELECT bin, round(lo + (bin - 1) * ((hi - lo) / {bins}), 6) AS lower_edge, count(*) AS n FROM y GROUP BY ALL"""
@@ -194,11 +221,8 @@ def _type(c: str) -> str:
       WHEN {name("finish|submit|exit")} THEN 'finish' WHEN contains({c}, '<tool_call>') THEN 'tool_call_other' ELSE 'text' END"""
 
 
-_PATH = r'(?m)(?:"(?:path|file_path|filename|target_file)"\s*:\s*"([^"]+)"|(?:^|[\s"])(/[\w./\-]+\.\w+)|(?:^|[\s"])([\w./\-]+/[\w./\-]+\.\w+))'
-
-
 def _paths(c: str) -> str:
-    groups = " || ".join(f"regexp_extract_all({c}, '{_PATH}', {i})" for i in (1, 2, 3))
+    groups = " || ".join(f"regexp_extract_all({c}, '{PATH_PATTERN}', {i})" for i in (1, 2, 3))
     return f"list_distinct(list_filter(list_transform({groups}, lambda p: trim(trim(p), '\"')), lambda p: length(p) >= 3 AND contains(p, '/')))"
 
 
@@ -258,23 +282,23 @@ def oracle_sql() -> dict[str, str]:
         "task_median": full + "SELECT * FROM med",
         "gate_filter": "SELECT DISTINCT trajectory_id, total_tokens, round(least(total_tokens, 131072) / total_tokens, 6) AS truncation_ratio FROM stats WHERE total_tokens > 0 AND least(total_tokens, 131072) / total_tokens >= 0.9 AND resolved = 1",
         "outcome_flags": "SELECT DISTINCT trajectory_id, lower(trim(coalesce(exit_status, ''))) = 'submit' AS submitted, CAST(CASE WHEN NOT ends_with_submit THEN 0.0 WHEN resolved = 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS outcome FROM stats",
-        "tool_histogram": "SELECT lower(trim(e.key)) AS tool, CAST(sum(e.value) AS BIGINT) AS n_calls, count(*) AS n_rows FROM (SELECT unnest(map_entries(tool_call_counts)) AS e FROM stats) GROUP BY 1",
-        "outcome_composition": "WITH s AS (SELECT DISTINCT * EXCLUDE (tool_call_counts) FROM stats) SELECT repo, count(*) AS n, count(*) FILTER (ends_with_submit AND resolved = 1) AS n_solved, count(*) FILTER (ends_with_submit AND resolved <> 1) AS n_submitted, count(*) FILTER (NOT ends_with_submit) AS n_error FROM s GROUP BY 1",
-        "global_summary": "SELECT count(*) AS n, round(avg(total_tokens), 6) AS mean_tokens, round(avg(assistant_turns), 6) AS mean_turns, round(avg(CAST(resolved = 1 AS INTEGER)), 6) AS resolved_rate, count(DISTINCT repo) AS n_repos FROM stats",
-        "gate_summary": "SELECT count(*) AS n_all, count(*) FILTER (truncation_ratio >= 0.9) AS n_untruncated, count(*) FILTER (resolved = 1) AS n_resolved, count(*) FILTER (truncation_ratio >= 0.9 AND resolved = 1) AS n_pass FROM stats",
-        "top_repos": "SELECT repo AS value, count(*) AS n FROM stats WHERE repo IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 30",
-        "describe_scored": f"SELECT metric, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(quantile_cont(value, .25), 4) AS q25, round(quantile_cont(value, .5), 4) AS q50, round(quantile_cont(value, .75), 4) AS q75, round(max(value), 4) AS max FROM ({_long('scored', DIMENSIONS)}) GROUP BY 1",
-        "dim_variance": f"SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median, coalesce(stddev_samp(value) < 0.05, false) AS low_variance FROM ({_long('scored', SUB_SCORES)}) GROUP BY 1",
-        "histogram_tokens": _hist("stats", "total_tokens", 80, "total_tokens > 0"),
-        "histogram_turns": _hist("stats", "assistant_turns", 50),
-        "histogram_composite": _hist("scored", "composite_score", 40),
-        "boxplot_composite": """WITH x AS (SELECT repo AS grp, composite_score AS v FROM scored WHERE repo IS NOT NULL AND composite_score IS NOT NULL),
+        "tool_histogram": f"WITH {LAST} SELECT lower(trim(e.key)) AS tool, CAST(sum(e.value) AS BIGINT) AS n_calls, count(*) AS n_rows FROM (SELECT unnest(map_entries(tool_call_counts)) AS e FROM st) GROUP BY 1",
+        "outcome_composition": f"WITH {LAST} SELECT repo, count(*) AS n, count(*) FILTER (ends_with_submit AND resolved = 1) AS n_solved, count(*) FILTER (ends_with_submit AND resolved <> 1) AS n_submitted, count(*) FILTER (NOT ends_with_submit) AS n_error FROM st GROUP BY 1",
+        "global_summary": f"WITH {LAST} SELECT count(*) AS n, round(avg(total_tokens), 6) AS mean_tokens, round(avg(assistant_turns), 6) AS mean_turns, round(avg(CAST(resolved = 1 AS INTEGER)), 6) AS resolved_rate, count(DISTINCT repo) AS n_repos FROM st",
+        "gate_summary": f"WITH {LAST} SELECT count(*) AS n_all, count(*) FILTER (truncation_ratio >= 0.9) AS n_untruncated, count(*) FILTER (resolved = 1) AS n_resolved, count(*) FILTER (truncation_ratio >= 0.9 AND resolved = 1) AS n_pass FROM st",
+        "top_repos": f"WITH {LAST} SELECT repo AS value, count(*) AS n FROM st WHERE repo IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 30",
+        "describe_scored": f"WITH {LAST} SELECT metric, count(value) AS n, round_even(avg(value), 4) AS mean, round_even(stddev_samp(value), 4) AS std, round_even(min(value), 4) AS min, round_even(quantile_cont(value, .25), 4) AS q25, round_even(quantile_cont(value, .5), 4) AS q50, round_even(quantile_cont(value, .75), 4) AS q75, round_even(max(value), 4) AS max FROM ({_long('sc', DIMENSIONS)}) GROUP BY 1",
+        "dim_variance": f"WITH {LAST} SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median, coalesce(stddev_samp(value) < 0.05, false) AS low_variance FROM ({_long('sc', SUB_SCORES)}) GROUP BY 1",
+        "histogram_tokens": _hist("st", "total_tokens", 80, "total_tokens > 0"),
+        "histogram_turns": _hist("st", "assistant_turns", 50),
+        "histogram_composite": _hist("sc", "composite_score", 40),
+        "boxplot_composite": f"""WITH {LAST}, x AS (SELECT repo AS grp, composite_score AS v FROM sc WHERE repo IS NOT NULL AND composite_score IS NOT NULL),
           q AS (SELECT grp, quantile_cont(v, .25) AS a, quantile_cont(v, .5) AS b, quantile_cont(v, .75) AS c FROM x GROUP BY 1),
           j AS (SELECT *, v >= a - 1.5 * (c - a) AND v <= c + 1.5 * (c - a) AS inside FROM x JOIN q USING (grp))
           SELECT grp, round(min(v) FILTER (inside), 6) AS whisker_low, round(any_value(a), 6) AS q25, round(any_value(b), 6) AS q50, round(any_value(c), 6) AS q75, round(max(v) FILTER (inside), 6) AS whisker_high, count(*) FILTER (NOT inside) AS n_outliers FROM j GROUP BY 1""",
-        "schema_normalise": "SELECT DISTINCT trajectory_id, instance_id, repo, total_tokens, assistant_turns, total_tool_calls, exit_status, ends_with_submit, is_error_or_timeout, resolved, has_patch, patch_length, round(avg_observation_length, 6) AS avg_observation_length, round(unique_action_ratio, 6) AS unique_action_ratio, round(test_alignment_score, 6) AS test_alignment_score, round(composite_q, 6) AS composite_q, "
+        "schema_normalise": "SELECT DISTINCT trajectory_id, instance_id, repo, total_tokens, assistant_turns, total_tool_calls, exit_status, ends_with_submit, is_error_or_timeout, resolved, has_patch, patch_length, round(avg_observation_length, 6) AS avg_observation_length, num_observations, round(truncation_ratio, 6) AS truncation_ratio, round(composite_q, 6) AS composite_Q, passes_gate, "
         + ", ".join(f"round({c}, 6) AS {c}" for c in [*SUB_SCORES, "efficiency_score", "style_score", "composite_score"])
-        + ", passes_gate FROM scored",
+        + " FROM scored",
         "subset_stats": f"""WITH {MEMBERS}, z AS (SELECT *, coalesce(composite_score, composite_q) AS q FROM members)
           SELECT subset_name, count(*) AS actual_size, CASE WHEN count(composite_score) > 0 THEN 'v3' ELSE 'v1' END AS score_version, round(avg(q), 6) AS mean_q, round(median(q), 6) AS median_q, round(stddev_samp(q), 6) AS std_q,
             round(min(q), 6) AS min_q, round(max(q), 6) AS max_q, round(avg(total_tokens), 6) AS mean_tokens, round(median(total_tokens), 6) AS median_tokens, round(avg(assistant_turns), 6) AS mean_turns,
@@ -285,16 +309,16 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT x.*, y.*, (SELECT count(*) FROM members p JOIN members q USING (trajectory_id) WHERE p.subset_name = x.subset_name AND q.subset_name = y.subset_name) AS c FROM s x, s y WHERE x.subset_name < y.subset_name) AS z(xn, xc, yn, yc, c)
             JOIN s x ON x.subset_name = xn JOIN s y ON y.subset_name = yn""",
         "subset_outcomes": f"WITH {MEMBERS} SELECT subset_name, count(*) AS n, count(*) FILTER (ends_with_submit AND resolved = 1) AS n_solved, count(*) FILTER (ends_with_submit AND resolved <> 1) AS n_submitted, count(*) FILTER (NOT ends_with_submit) AS n_error FROM members GROUP BY 1",
-        "training_ids": "SELECT DISTINCT trajectory_id FROM split_rows WHERE subset_name IS NOT NULL",
+        "training_ids": f"SELECT DISTINCT {_key('trajectory_id')} AS trajectory_id FROM split_rows WHERE subset_name IS NOT NULL",
         "quantile_filter": f"WITH {POOL}, b AS (SELECT * FROM pool WHERE score >= (SELECT quantile_cont(score, 0.9) FROM pool)) SELECT trajectory_id FROM b WHERE lower(exit_status) IN ('submit', 'success', 'resolved') OR (SELECT count(*) FROM b WHERE lower(exit_status) IN ('submit', 'success', 'resolved')) < 1",
         "relaxed_pool": f"WITH {POOL} SELECT trajectory_id FROM pool WHERE score <= (SELECT quantile_cont(score, 0.1) FROM pool)",
         "exclude_chain": f"WITH {POOL} SELECT trajectory_id FROM pool WHERE trajectory_id NOT IN (SELECT trajectory_id FROM train)",
         "testsets": f"WITH {TESTS} SELECT * FROM sets",
         "testset_audit": f"WITH {TESTS} SELECT split, count(*) AS n, count(train.trajectory_id) AS n_leaked FROM sets LEFT JOIN train USING (trajectory_id) GROUP BY 1",
-        "leakage_audit": "WITH e AS (SELECT DISTINCT split, trajectory_id FROM split_rows WHERE split <> 'train') SELECT split, count(*) AS n, count(*) FILTER (trajectory_id IN (SELECT trajectory_id FROM split_rows WHERE subset_name IS NOT NULL)) AS n_leaked FROM e GROUP BY 1",
-        "fetch_rows": "SELECT DISTINCT trajectory_id, exit_status, resolved FROM trajectories WHERE trajectory_id IN (SELECT trajectory_id FROM split_rows WHERE split = 'gold')",
-        "experiment_subsets": "SELECT name, subset, count(*) AS n FROM (SELECT DISTINCT name, subset FROM experiments) JOIN (SELECT DISTINCT subset_name AS subset, trajectory_id FROM split_rows) USING (subset) GROUP BY ALL",
-        "resume_unseen": "SELECT DISTINCT trajectory_id FROM trajectories WHERE trajectory_id NOT IN (SELECT trajectory_id FROM stats WHERE resolved = 1)",
+        "leakage_audit": f"WITH k AS (SELECT *, {_key('trajectory_id')} AS id FROM split_rows), e AS (SELECT DISTINCT split, id FROM k WHERE split <> 'train') SELECT split, count(*) AS n, count(*) FILTER (id IN (SELECT id FROM k WHERE subset_name IS NOT NULL)) AS n_leaked FROM e GROUP BY 1",
+        "fetch_rows": f"SELECT DISTINCT trajectory_id, exit_status, resolved FROM trajectories WHERE {_key('trajectory_id')} IN (SELECT {_key('trajectory_id')} FROM split_rows WHERE split = 'gold')",
+        "experiment_subsets": f"SELECT name, subset, count(*) AS n FROM (SELECT DISTINCT trim(name) AS name, lower(trim(subset)) AS subset FROM experiments) JOIN (SELECT DISTINCT lower(trim(subset_name)) AS subset, {_key('trajectory_id')} AS id FROM split_rows) USING (subset) GROUP BY ALL",
+        "resume_unseen": f"SELECT DISTINCT trajectory_id FROM trajectories WHERE {_key('trajectory_id')} NOT IN (SELECT {_key('trajectory_id')} FROM stats WHERE resolved = 1)",
         "chat_render": f"WITH {CHAT} SELECT trajectory_id, text FROM txt",
         "assistant_spans": f"""WITH {CHAT}, p AS (SELECT trajectory_id, string_split(text, '<|im_start|>assistant') AS parts FROM txt),
           x AS (SELECT trajectory_id, k, parts[k + 2] AS part, list_sum(list_transform(parts[1:k + 1], lambda s: length(s))) + k * 21 AS b FROM p, unnest(range(0, len(parts) - 1)) AS u(k))
@@ -311,14 +335,14 @@ def oracle_sql() -> dict[str, str]:
         "path_jaccard": f"WITH {ACTIONS} SELECT trajectory_id, round(file_match_score, 6) AS file_match_score FROM rows",
         "exact_match": f"WITH {ACTIONS} SELECT trajectory_id, exact_match FROM rows",
         "action_summary": f"WITH {ACTIONS} SELECT count(*) AS n_evaluated, round(avg(CAST(action_type_match AS INTEGER)), 6) AS action_type_acc, round(avg(file_match_score), 6) AS file_match, round(avg(format_score), 6) AS format_score, round(avg(CAST(exact_match AS INTEGER)), 6) AS exact_match FROM rows",
-        "category_dist": f"WITH {ACTIONS} SELECT 'all' AS grp, gt_action_type AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 3) AS share FROM rows GROUP BY 2",
+        "category_dist": f"WITH {ACTIONS} SELECT 'all' AS grp, gt_action_type AS category, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 3) AS share FROM rows GROUP BY 2",
         "loss_summary": f"WITH {LOSS} SELECT * FROM loss",
-        "loss_pivot": f"WITH {LOSS} SELECT model, {', '.join(f'''round(max(mean_loss) FILTER (split = '{x}'), 4) AS {x}''' for x in ('gold', 'random', 'low_q'))} FROM loss GROUP BY 1",
+        "loss_pivot": f"WITH {LOSS} SELECT model, {', '.join(f'''round_even(max(mean_loss) FILTER (split = '{x}'), 4) AS {x}''' for x in ('gold', 'random', 'low_q'))} FROM loss GROUP BY 1",
         "ablation_delta": f"WITH {LOSS}, r AS (SELECT split, mean_loss AS ref FROM loss WHERE model = 'submit') SELECT model, split, mean_loss, round((mean_loss - ref) / ref * 100, 6) AS delta_pct FROM loss LEFT JOIN r USING (split)",
         "impact_rank": f"WITH {LOSS}, r AS (SELECT split, mean_loss AS ref FROM loss WHERE model = 'submit') SELECT model, split, CAST(row_number() OVER (PARTITION BY split ORDER BY round((mean_loss - ref) / ref * 100, 6) DESC NULLS LAST, model) AS INTEGER) AS impact FROM loss LEFT JOIN r USING (split) WHERE model <> 'submit'",
-        "quality_gradient": f"WITH {LOSS}, p AS (SELECT model, {', '.join(f'''round(max(mean_loss) FILTER (split = '{x}'), 4) AS {x}''' for x in ('gold', 'random', 'low_q'))} FROM loss GROUP BY 1) SELECT *, coalesce(gold < random AND random < low_q, false) AS monotone FROM p",
+        "quality_gradient": f"WITH {LOSS}, p AS (SELECT model, {', '.join(f'''round_even(max(mean_loss) FILTER (split = '{x}'), 4) AS {x}''' for x in ('gold', 'random', 'low_q'))} FROM loss GROUP BY 1) SELECT *, coalesce(gold < random AND random < low_q, false) AS monotone FROM p",
         "scaling_delta": f"WITH {LOSS}, p(strategy, small, large) AS (VALUES ('cost', 'exit_cost', 'submit'), ('time', 'timeout', 'submit')) SELECT strategy, a.split, small, large, a.mean_loss AS loss_small, b.mean_loss AS loss_large, round(b.mean_loss - a.mean_loss, 6) AS delta FROM p JOIN loss a ON a.model = small JOIN loss b ON b.model = large AND b.split = a.split",
-        "mann_whitney": """WITH x AS (SELECT composite_q AS v, coalesce(has_patch, false) AS g FROM stats WHERE composite_q IS NOT NULL),
+        "mann_whitney": f"""WITH {LAST}, x AS (SELECT composite_q AS v, coalesce(has_patch, false) AS g FROM st WHERE composite_q IS NOT NULL),
           r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rk FROM x),
           a AS (SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(rk) FILTER (g) AS r1 FROM r),
           t AS (SELECT sum(n * n * n - n) AS tie_sum FROM (SELECT count(*) AS n FROM x GROUP BY v))
@@ -333,6 +357,6 @@ def oracle_sql() -> dict[str, str]:
         "experiment_matrix": "SELECT hypothesis, count(*) AS n, round(sum(est_gpu_hours), 6) AS gpu_hours FROM (SELECT DISTINCT * FROM experiments) GROUP BY 1",
         "activity_windows": "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }
-    for spec in subsets.catalogue(SUBSET_SCALE):
+    for spec in subsets.catalogue():
         q[subset_query_name(spec.name)] = f"WITH {GATE} SELECT subset_name, trajectory_id FROM {_subset(spec)}"
     return q

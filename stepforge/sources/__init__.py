@@ -1,5 +1,5 @@
 """Readers, validators and sinks."""
 
-from stepforge.sources.tables import spread, table
+from stepforge.sources.tables import latest, spread, table
 
-__all__ = ["spread", "table"]
+__all__ = ["latest", "spread", "table"]

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepforge.functions.ids import trajectory_key
 from stepforge.sources import schema
 
 
@@ -34,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, ddl: str, required: Iterable[str] =
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """An id list as text: trimmed, without blanks, distinct."""
+    """An id list as text: trimmed, without blanks, distinct; ``with_ids`` compares ids however they are written."""
     return spark.read.text(path).select(F.trim("value").alias("trajectory_id")).filter("trajectory_id <> ''").distinct()
 
 
@@ -79,8 +80,14 @@ def decode_trajectory(df: DataFrame) -> DataFrame:
 
 
 def unseen(source: DataFrame, done: DataFrame, key: str = "trajectory_id") -> DataFrame:
-    """Rows whose id isn't done yet - resuming by id, not by position."""
-    return source.join(done.select(key).distinct(), key, "left_anti")
+    """Rows whose id isn't done yet - resuming by id, however written, not by position."""
+    return with_ids(source, done, "left_anti", key)
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "trajectory_id") -> DataFrame:
+    """The rows whose id is (or with ``left_anti`` isn't) among ``ids``, however either is written."""
+    wanted = ids.select(trajectory_key(key).alias("__key")).filter("__key IS NOT NULL").distinct()
+    return rows.withColumn("__key", trajectory_key(key)).join(wanted, "__key", how).drop("__key")
 
 
 def first_rows(df: DataFrame, n: int, key: str = "trajectory_id") -> DataFrame:

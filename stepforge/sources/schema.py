@@ -21,9 +21,9 @@ PUBLISHED = {
     "trajectory_id": "string", "instance_id": "string", "repo": "string", "total_tokens": "bigint",
     "assistant_turns": "bigint", "total_tool_calls": "bigint", "exit_status": "string", "ends_with_submit": "boolean",
     "is_error_or_timeout": "boolean", "resolved": "bigint", "has_patch": "boolean", "patch_length": "bigint",
-    "avg_observation_length": "double", "unique_action_ratio": "double", "test_alignment_score": "double",
-    "composite_q": "double", "b1_redundant_commands": "double", "b2_error_retry": "double",
+    "avg_observation_length": "double", "num_observations": "bigint", "truncation_ratio": "double",
+    "composite_Q": "double", "passes_gate": "boolean", "b1_redundant_commands": "double", "b2_error_retry": "double",
     "b3_step_count_ratio": "double", "c1_observation_cleanliness": "double", "c2_action_diversity": "double",
     "c3_observation_utilization": "double", "efficiency_score": "double", "style_score": "double",
-    "composite_score": "double", "passes_gate": "boolean",
+    "composite_score": "double",
 }

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.operators.profile import normalise_schema
+from stepforge.operators.steps import once
+from stepforge.sources.readers import with_ids
 from stepforge.sources.schema import PUBLISHED
 
 
@@ -47,7 +49,7 @@ def write_test_sets(test_sets: DataFrame, path: str, seed: int, n_training: int)
 
 def fetch_rows(raw: DataFrame, ids: DataFrame, path: str) -> None:
     """K9: the raw rows of wanted ids (semi-join), each once."""
-    raw.join(ids.select("trajectory_id").distinct(), "trajectory_id", "left_semi").dropDuplicates(["trajectory_id"]).write.mode("overwrite").json(path)
+    once(with_ids(raw, ids), "trajectory_id").write.mode("overwrite").json(path)
 
 
 def write_examples(examples: DataFrame, path: str) -> None:

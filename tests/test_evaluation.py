@@ -1,12 +1,14 @@
 """Chat text, text metrics, statistics, evaluation sets, profiles, sinks and streams."""
 
+import bisect
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from stepforge.operators import chat, profile, statistics, subsets, testsets, textmetrics
+from stepforge.operators import chat, profile, ranks, statistics, subsets, testsets, textmetrics
 from stepforge.sources import readers, sinks
 from stepforge.sources.schema import TRAJECTORIES
 
@@ -110,13 +112,40 @@ def test_bootstrap_is_repeatable(spark):
 
 
 def test_test_sets_are_disjoint(spark):
-    pool = spark.createDataFrame([(f"t{i}", i / 100, "submit" if i % 2 else "error") for i in range(100)], "trajectory_id string, score double, exit_status string")
-    training = spark.createDataFrame([(f"t{i}",) for i in range(0, 100, 10)], "trajectory_id string")
+    pool = spark.createDataFrame([(f"trj-t{i}", i / 100, "submit" if i % 2 else "error") for i in range(100)], "trajectory_id string, score double, exit_status string")
+    # Training ids are spelled otherwise: case, quotes, folder and ending, another dash, blanks.
+    spell = ["TRJ-T{}", '"trj-t{}"', "runs/7/trj-t{}.json", "trj_t{}", " t{} ", "trajectory-t{}"]
+    training = spark.createDataFrame([(spell[i // 10 % len(spell)].format(i),) for i in range(0, 100, 10)] + [(None,)], "trajectory_id string")
     rows = testsets.build(pool, training, n=4).collect()
     ids = [r.trajectory_id for r in rows]
-    assert len(ids) == len(set(ids)) == 12 and not set(ids) & {f"t{i}" for i in range(0, 100, 10)}
+    assert len(ids) == len(set(ids)) == 12 and not set(ids) & {f"trj-t{i}" for i in range(0, 100, 10)}
     assert {r.split for r in rows} == {"gold", "low_q", "random"}
     assert all(r.n_leaked == 0 for r in testsets.audit(testsets.build(pool, training, n=4), training).collect())
+    leaked = spark.createDataFrame([("gold", "trj-t10"), ("gold", "Trj_t20"), ("gold", "trj-t11")], "split string, trajectory_id string")
+    assert [tuple(r) for r in testsets.audit(leaked, training).collect()] == [("gold", 3, 2)]
+
+
+def test_ranks_and_quantiles(spark):
+    """Against a plain sort, with more values than a bucket holds, ties, NULLs, NaN, groups and no rows."""
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, float("nan"), round(rng.gauss(0, 1), 2), rng.random() ** 9])) for g in "aab" for _ in range(700)]
+    df = spark.createDataFrame(rows + [("c", None)], "g string, v double")
+    known = lambda g: sorted(v for k, v in rows if k in g and v is not None and v == v)
+
+    def quantile(values, q):
+        h = (len(values) - 1) * q
+        lo = int(h)
+        return values[lo] + (values[min(lo + 1, len(values) - 1)] - values[lo]) * (h - lo)
+
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    assert ranks.quantiles(df, "v", shares).first().q == pytest.approx([quantile(known("ab"), q) for q in shares])
+    by = {r.g: r.q for r in ranks.quantiles(df, "v", shares, ["g"]).collect()}
+    assert by == {g: pytest.approx([quantile(known(g), q) for q in shares]) for g in "ab"}
+    assert ranks.quantiles(df.limit(0), "v", [0.5]).first().q is None
+    counts = df.filter("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    values = known("ab")
+    for r in ranks.running(counts, "v", "n").collect():
+        assert r.before == bisect.bisect_left(values, r.v) and r.total == len(values)
 
 
 def test_strict_pool_is_relaxed(spark):
