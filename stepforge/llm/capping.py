@@ -3,22 +3,29 @@
 Method: rank within contributor by quality and identifier and keep the ranks
 below the cap.  A contributor that holds a large part of all rows is ranked in
 salted parts first: a row beyond the cap in its part is beyond it altogether.
-Of what is left, quality levels are counted per contributor; whole levels
-above the one in which the cap falls are kept, and only that level is ranked,
-again in salted parts first.  No task sorts more of a contributor than one level.
+Of what is left, levels of quality are counted per contributor; whole levels
+above the one in which the cap falls are kept.  That level, which may be large
+where scores tie or are missing, is counted again by the leading digits of the
+identifier's hash, within the exact quality; only the one small range in which
+the cap falls then is ranked.  No task sorts a contributor or a level.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions.ids import repo_key, repo_of_instance, trajectory_key
+from stepforge.session import cut
 
 #: Parts in which a contributor is pre-ranked.
 SALTS = 64
 #: Quality levels counted per contributor.
 LEVELS = 4096
+#: Hexadecimal digits of the identifier's hash by which rows of one quality are counted.
+HASH_DIGITS = 4
 
 
 def rank_hash(c: Column) -> Column:
@@ -48,17 +55,28 @@ def capped(rows: DataFrame, contributor: str, quality: str, identifier: str, cap
     # 2. Levels of quality: sums over level counts find where the cap falls.
     unit = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__q")))
     level = F.when(F.col("__q").isNull(), F.lit(LEVELS + 1)).otherwise(F.lit(LEVELS) - F.floor(unit * F.lit(float(LEVELS)))).cast("long")
-    pre = pre.withColumn("__l", level)
-    counts = pre.groupBy("__c", "__l").agg(F.count("*").alias("n"), F.first("__cap").alias("cap"))
-    running = F.sum("n").over(Window.partitionBy("__c").orderBy("__l"))
-    cut = counts.withColumn("upto", running).select("__c", "__l", (F.col("upto") <= F.col("cap")).alias("__all"), (F.col("cap") - (F.col("upto") - F.col("n"))).alias("__left")).filter("__left > 0")
-    placed = pre.join(cut, ["__c", "__l"])
-    whole = placed.filter("__all")
-    # 3. Only the level in which the cap falls is ranked.  Its rows may still be many where scores tie, so the
-    #    best of each salt come first again: a row beyond the places left in its salt is beyond them in the level.
-    tied = placed.filter("NOT __all").withColumn("__r", F.row_number().over(part)).filter("__r <= __left")
-    final = tied.withColumn("__r", F.row_number().over(Window.partitionBy("__c").orderBy(*order))).filter("__r <= __left")
-    return whole.select(*kept_columns).unionByName(final.select(*kept_columns)).unionByName(r.filter("__c IS NULL").select(*kept_columns))
+    whole, cut_level = _above(pre.withColumns({"__l": level, "__left": F.col("__cap").cast("long")}), ["__l"])
+    # 3. The level in which the cap falls, by its exact qualities, then by the hash's leading digits.
+    more, cut_quality = _above(cut(cut_level).withColumn("__o", F.coalesce(-F.col("__q"), F.lit(float("inf")))), ["__o"])
+    tied = cut_quality.withColumn("__d", F.coalesce(F.substring("__h", 1, HASH_DIGITS), F.lit("~")))
+    most, rest = _above(tied, ["__d"])
+    final = rest.withColumn("__r", F.row_number().over(Window.partitionBy("__c").orderBy(*order))).filter("__r <= __left")
+    kept = [d.select(*kept_columns) for d in (whole, more, most, final, r.filter("__c IS NULL"))]
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _above(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose whole level ``by`` is within the places left, and those of the level in which the places end.
+
+    ``__left`` is the number of places of the contributor ``__c``; in the second
+    part it is what the levels before leave.  Only counts by level are ordered.
+    """
+    counts = rows.groupBy("__c", *by).agg(F.count("*").alias("__n"), F.first("__left").alias("__places"))
+    upto = F.sum("__n").over(Window.partitionBy("__c").orderBy(*by))
+    ends = counts.withColumn("__upto", upto).withColumns({"__all": F.col("__upto") <= F.col("__places"), "__rest": F.col("__places") - (F.col("__upto") - F.col("__n"))})
+    ends = ends.filter("__rest > 0").select("__c", *by, "__all", "__rest")
+    placed = rows.join(ends, ["__c", *by]).withColumn("__left", F.col("__rest")).drop("__rest")
+    return placed.filter("__all").drop("__all", *by), placed.filter("NOT __all").drop("__all", *by)
 
 
 def contributions(stats: DataFrame, scored: DataFrame) -> DataFrame:
