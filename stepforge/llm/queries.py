@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +38,8 @@ def _capped_report(stats: DataFrame, scored: DataFrame) -> DataFrame:
 
 def _split(experiments: DataFrame, stats: DataFrame, steps: DataFrame, trajectories: DataFrame) -> DataFrame:
     """Pieces for every context_length of the experiments; the overlap is at most half of it."""
-    lengths = sorted(r[0] for r in experiments.filter("context_length > 0").select("context_length").distinct().collect())
-    cut = lambda n: splitting.split(stats, steps, trajectories, n, min(PIECE_OVERLAP, n // 2)).select(F.lit(n).alias("context_length"), "*")
-    return reduce(DataFrame.unionByName, map(cut, lengths)) if lengths else cut(1).limit(0)
+    lengths = sorted(r[0] for r in experiments.filter("context_length > 0").select("context_length").distinct().collect())  # one a kind of experiment
+    return splitting.split_all(stats, steps, trajectories, {n: min(PIECE_OVERLAP, n // 2) for n in lengths})
 
 
 def _split_report(*tables: DataFrame) -> DataFrame:

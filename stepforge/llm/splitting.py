@@ -7,6 +7,11 @@ merged first, then the smallest pair, while the merged piece and the overlap
 in front of it stay within the limit.  What is left are the pieces; the
 boundaries between them are the strongest that the limit allows.
 
+A trajectory of very many steps is taken apart in chunks by several tasks.  The
+pieces at the two sides of a chunk's edge are then taken apart again and merged
+as one, level by level over pairs of chunks, so that no cut is made because of
+a chunk; two pieces at most are gathered, which hold no more than two limits.
+
 Token counts refer to full texts of which the tables hold excerpts, so a
 boundary inside a step lies at the share of its characters that precede it.
 """
@@ -23,8 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions.ids import trajectory_key
+from stepforge.session import cut
 
-#: Steps of a trajectory that one task takes apart; a longer one is always cut between such chunks.
+#: Steps of a trajectory that one task takes apart.
 CHUNK = 4096
 #: Boundaries from the weakest to the strongest; ``tool`` is a step that takes up another tool.
 STRENGTH = {"inside": 0, "line": 1, "paragraph": 2, "message": 3, "step": 4, "tool": 5, "start": 9}
@@ -94,16 +100,19 @@ def merge(sizes: list[int], strengths: list[int], most: int) -> list[tuple[int,
     return [(i, last[i]) for i in range(n) if alive[i]]
 
 
-_PIECES = "trajectory_id string, chunk long, start_token long, end_token long, first_step int, last_step int, cut string"
-_NAMES = [f.split()[0] for f in _PIECES.split(", ")]
-_ARROW = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in _PIECES.split(", ")])
+_PIECES = (
+    "context_length long, trajectory_id string, node long, start_token long, end_token long, first_step int, last_step int, cut int, "
+    "is_first boolean, is_last boolean, tool_in string, tool_out string, sizes array<int>, strengths array<int>, owners array<int>"
+)
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+_ARROW = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in _PIECES.split(", ")])
 
 
-def _pieces_of(parts: list[dict], base: int, most: int) -> list[tuple[int, int, int | None, int | None, str]]:
-    """Pieces (start, end, first step, last step, kind of cut) of one chunk's segments, in order of their steps."""
+def _segments(parts: list[dict], most: int) -> tuple[list[int], list[int], list[int]]:
+    """Tokens, strength of the boundary before, and step of each atomic segment of a chunk, in order of the steps."""
     sizes: list[int] = []
     strengths: list[int] = []
-    owner: list[int] = []
+    owners: list[int] = []
     tool = None
     for part in parts:
         step, n = part["step_idx"], part["n"]
@@ -113,18 +122,65 @@ def _pieces_of(parts: list[dict], base: int, most: int) -> list[tuple[int, int,
             for size, strength in atoms(n, [t for t in part["texts"] or [] if t], most, kind):
                 sizes.append(size)
                 strengths.append(strength)
-                owner.append(step)  # the prompt, -1, comes first
+                owners.append(step)  # the prompt, -1, comes first
+    return sizes, strengths, owners
+
+
+def _pieces(sizes: list[int], strengths: list[int], owners: list[int], base: int, most: int, edges: bool) -> list[dict]:
+    """The pieces of consecutive segments that begin at token ``base``; with ``edges`` the first and last keep their segments."""
     ends, total = [], base
     for size in sizes:
         total += size
         ends.append(total)
     out = []
     for a, b in merge(sizes, strengths, most):
-        steps = [s for s in (owner[a], owner[min(a + 1, b)], owner[b]) if s >= 0]
-        out.append((ends[a] - sizes[a], ends[b], min(steps, default=None), max(steps, default=None), _KIND[strengths[a]]))
+        steps = [s for s in (owners[a], owners[min(a + 1, b)], owners[b]) if s >= 0]
+        piece = {"start_token": ends[a] - sizes[a], "end_token": ends[b], "first_step": min(steps, default=None), "last_step": max(steps, default=None), "cut": strengths[a]}
+        piece |= {"is_first": a == 0, "is_last": b == len(sizes) - 1}
+        if edges and (piece["is_first"] or piece["is_last"]):
+            piece |= {"sizes": sizes[a : b + 1], "strengths": strengths[a : b + 1], "owners": owners[a : b + 1]}
+        out.append(piece)
+    return out
+
+
+def _joined(pair: list[dict], most: int) -> list[dict]:
+    """The pieces of one side or, merged anew, of both sides of an edge."""
+    if len(pair) == 1:
+        return pair
+    left, right = pair
+    strengths = list(right["strengths"])
+    if strengths[0] == STRENGTH["tool"] and left["tool_out"] == right["tool_in"]:
+        strengths[0] = STRENGTH["step"]  # the same tool goes on
+    sizes, owners = [*left["sizes"], *right["sizes"]], [*left["owners"], *right["owners"]]
+    out = _pieces(sizes, [*left["strengths"], *strengths], owners, left["start_token"], most, True)
+    for piece in out:
+        piece |= {"is_first": piece["is_first"] and left["is_first"], "is_last": piece["is_last"] and right["is_last"], "tool_in": left["tool_in"], "tool_out": right["tool_out"]}
     return out
 
 
+def _over_edges(pieces: DataFrame, levels: int, overlaps: dict[int, int]) -> DataFrame:
+    """Merge anew what lies at the edges between chunks, in ``levels`` rounds over pairs of neighbours."""
+    done = pieces.filter("sizes IS NULL")
+    edges = pieces.filter("sizes IS NOT NULL")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for limit, key, node, pair in zip(*(batch.column(c).to_pylist() for c in ("context_length", "trajectory_id", "node", "pair")), strict=True):
+                rows += [piece | {"context_length": limit, "trajectory_id": key, "node": node} for piece in _joined(pair, limit - overlaps[limit])]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    columns = [f.name for f in _ARROW]
+    for _ in range(levels):
+        edges = cut(edges)
+        beside = F.when(F.col("node") % 2 == 0, F.col("is_last")).otherwise(F.col("is_first"))
+        apart = edges.filter(~beside).withColumn("node", F.floor(F.col("node") / 2))
+        pair = F.sort_array(F.collect_list(F.struct("start_token", *[c for c in columns[4:]]))).alias("pair")
+        gathered = edges.filter(beside).groupBy("context_length", "trajectory_id", F.floor(F.col("node") / 2).alias("node")).agg(pair)
+        edges = apart.select(*columns).unionByName(gathered.mapInArrow(merged, _PIECES))
+    return done.unionByName(edges)
+
+
 def _latest(c: str, by: str = "ingested_at") -> Column:
     return F.max(F.struct(by, c))[c]
 
@@ -136,24 +192,30 @@ def oversized(stats: DataFrame, limit: int) -> DataFrame:
 
 
 def split(stats: DataFrame, steps: DataFrame, trajectories: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """Pieces of every trajectory longer than ``limit`` tokens.
+    """``split_all`` for one limit, without the column context_length."""
+    return split_all(stats, steps, trajectories, {limit: overlap}).drop("context_length")
+
+
+def split_all(stats: DataFrame, steps: DataFrame, trajectories: DataFrame, limits: dict[int, int]) -> DataFrame:
+    """Pieces of every trajectory longer than a limit, for each of ``limits`` (limit: overlap), from one reading of the tables.
 
-    Columns: ``trajectory_id, piece, start_token, end_token, n_tokens, overlap,
-    first_step, last_step, cut``.  A piece spans [start_token, end_token) of the
-    trajectory; all but the first begin ``overlap`` tokens early (fewer only if
-    the piece before is shorter than that) and none exceeds the limit.  Without
-    the overlaps the pieces cover every token once.  ``cut`` is the kind of
-    boundary the piece begins at; first_step is NULL in a piece of the prompt.
+    Columns: ``context_length`` (the limit), ``trajectory_id, piece,
+    start_token, end_token, n_tokens, overlap, first_step, last_step, cut``.  A
+    piece spans [start_token, end_token) of the trajectory; all but the first
+    begin ``overlap`` tokens early (fewer only if the piece before is shorter
+    than that) and none exceeds the limit.  Without the overlaps the pieces
+    cover every token once.  ``cut`` is the kind of boundary the piece begins
+    at; first_step is NULL in a piece of the prompt.
 
     Tokens that the steps don't account for are the prompt's.  A step without
     token count is taken to have a quarter of its characters; should the steps
     add up to more than the total, their sum is the length.  A trajectory
-    without steps is its prompt.  Empty tables give no rows.
+    without steps is its prompt.  Empty tables and no limits give no rows.
     """
-    if not 0 <= overlap < limit:
+    if any(not 0 <= overlap < limit for limit, overlap in limits.items()):
         raise ValueError("the overlap must be smaller than the limit")
-    most = limit - overlap
-    big = oversized(stats, limit)
+    least = min((limit - overlap for limit, overlap in limits.items()), default=1)
+    big = oversized(stats, min(limits, default=0))
     chars = F.coalesce(F.length("action_text"), F.lit(0)) + F.coalesce(F.length("obs_text"), F.lit(0))
     n = F.when(F.col("n_tokens").isNotNull(), F.greatest(F.col("n_tokens").cast("long"), F.lit(0))).otherwise(F.ceil(chars / F.lit(CHARS_A_TOKEN))).cast("long")
     rows = (
@@ -167,8 +229,8 @@ def split(stats: DataFrame, steps: DataFrame, trajectories: DataFrame, limit: in
                 n.alias("n"),
                 F.lower(F.trim("tool")).alias("tool"),
                 # The text travels only where a step must be taken apart.
-                F.when(n > most, F.col("action_text")).alias("action_text"),
-                F.when(n > most, F.col("obs_text")).alias("obs_text"),
+                F.when(n > least, F.col("action_text")).alias("action_text"),
+                F.when(n > least, F.col("obs_text")).alias("obs_text"),
             ).alias("s"),
         )
         .join(big.select("trajectory_id"), "trajectory_id", "left_semi")
@@ -178,40 +240,59 @@ def split(stats: DataFrame, steps: DataFrame, trajectories: DataFrame, limit: in
     )
     sums = rows.groupBy("trajectory_id", "chunk").agg(F.sum("n").alias("n"))
     known = sums.groupBy("trajectory_id").agg(F.sum("n").alias("known"))
-    prompt = big.join(known, "trajectory_id", "left").select("trajectory_id", F.greatest(F.lit(0), F.col("total_tokens") - F.coalesce("known", F.lit(0))).alias("n"))
+    prompt = big.join(known, "trajectory_id", "left").select("trajectory_id", "total_tokens", F.greatest(F.lit(0), F.col("total_tokens") - F.coalesce("known", F.lit(0))).alias("n"))
     # Messages before the first action, for prompts that are too long themselves.
     first = F.filter("trajectory", lambda m: F.size(F.coalesce(m["tool_calls"], F.array())) > 0)
     opening = F.when(F.size(first) > 0, F.slice("trajectory", 1, F.greatest(F.lit(1), F.array_position(F.col("trajectory"), F.element_at(first, 1)).cast("int") - 1))).otherwise(F.col("trajectory"))
     texts = (
         trajectories.select(trajectory_key("trajectory_id").alias("trajectory_id"), F.transform(opening, lambda m: m["content"]).alias("texts"))
-        .join(prompt.filter(F.col("n") > most), "trajectory_id", "left_semi")
+        .join(prompt.filter(F.col("n") > least), "trajectory_id", "left_semi")
         .groupBy("trajectory_id")
         .agg(F.max("texts").alias("texts"))
     )
     prompts = prompt.join(texts, "trajectory_id", "left").select("trajectory_id", F.lit(-1).alias("step_idx"), F.lit(-1).cast("long").alias("chunk"), "n", F.lit(None).cast("string").alias("tool"), "texts")
     # Where each chunk begins: the prompt, then the chunks before it.
-    before = sums.unionByName(prompt.withColumn("chunk", F.lit(-1).cast("long"))).withColumn("base", F.sum("n").over(Window.partitionBy("trajectory_id").orderBy("chunk")) - F.col("n")).drop("n")
+    whole = Window.partitionBy("trajectory_id")
+    before = (
+        sums.unionByName(prompt.select("trajectory_id", F.lit(-1).cast("long").alias("chunk"), "n", "total_tokens"), allowMissingColumns=True)
+        .withColumn("base", F.sum("n").over(whole.orderBy("chunk")) - F.col("n"))
+        .withColumns({"total_tokens": F.max("total_tokens").over(whole), "last_chunk": F.max("chunk").over(whole)})
+        .drop("n")
+    )
     # A prompt is handled with the first chunk of steps, if there is one.
     home = lambda df: df.withColumn("chunk", F.greatest("chunk", F.lit(0).cast("long")))
-    bases = home(before).groupBy("trajectory_id", "chunk").agg(F.min("base").alias("base"))
+    bases = home(before).groupBy("trajectory_id", "chunk").agg(F.min("base").alias("base"), F.max("total_tokens").alias("total_tokens"), F.max("last_chunk").alias("last_chunk"))
     segments = home(rows.unionByName(prompts)).join(bases, ["trajectory_id", "chunk"])
 
-    gathered = segments.groupBy("trajectory_id", "chunk").agg(F.first("base").alias("base"), F.sort_array(F.collect_list(F.struct("step_idx", "n", "tool", "texts"))).alias("segments"))
+    gathered = segments.groupBy("trajectory_id", "chunk").agg(
+        F.first("base").alias("base"), F.first("total_tokens").alias("total_tokens"), F.first("last_chunk").alias("last_chunk"), F.sort_array(F.collect_list(F.struct("step_idx", "n", "tool", "texts"))).alias("segments")
+    )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, chunk, base, parts in zip(*(batch.column(c).to_pylist() for c in ("trajectory_id", "chunk", "base", "segments")), strict=True):
-                out += [(key, chunk, *piece) for piece in _pieces_of(parts, base, most)]
-            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, row, strict=True)) for row in out], schema=_ARROW)
-
-    pieces = gathered.mapInArrow(cut, _PIECES)
-    order = Window.partitionBy("trajectory_id").orderBy("start_token")
+            out: list[dict] = []
+            for key, chunk, base, total, last, parts in zip(*(batch.column(c).to_pylist() for c in ("trajectory_id", "chunk", "base", "total_tokens", "last_chunk", "segments")), strict=True):
+                own = {"trajectory_id": key, "node": chunk}
+                if last > 0:
+                    own |= {"tool_in": parts[0]["tool"], "tool_out": parts[-1]["tool"]}
+                for limit, overlap in limits.items():
+                    if total > limit:
+                        out += [own | {"context_length": limit} | piece for piece in _pieces(*_segments(parts, limit - overlap), base, limit - overlap, last > 0)]
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+    pieces = gathered.mapInArrow(apart, _PIECES)
+    top = steps.agg(F.max(F.col("step_idx").cast("int"))).first()[0] or 0
+    if top >= CHUNK:
+        pieces = _over_edges(pieces, (top // CHUNK).bit_length(), limits)
+    order = Window.partitionBy("context_length", "trajectory_id").orderBy("start_token")
     size = F.col("end_token") - F.col("start_token")
+    spare = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)) if limits else F.lit(None)
+    kind = F.element_at(F.array(*(F.lit(_KIND[k].replace("tool", "step")) for k in range(max(_KIND) + 1) if k in _KIND and k < 9)), F.col("cut") + 1)
     return (
         pieces.withColumn("piece", F.row_number().over(order) - 1)
-        .withColumn("overlap", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.least(F.lag(size).over(order), F.lit(overlap))).cast("long"))
+        .withColumn("overlap", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.least(F.lag(size).over(order), spare[F.col("context_length").cast("int")] if limits else F.lit(0))).cast("long"))
         .select(
+            F.col("context_length").cast("int").alias("context_length"),
             "trajectory_id",
             "piece",
             (F.col("start_token") - F.col("overlap")).alias("start_token"),
@@ -220,7 +301,7 @@ def split(stats: DataFrame, steps: DataFrame, trajectories: DataFrame, limit: in
             "overlap",
             "first_step",
             "last_step",
-            F.when(F.col("piece") == 0, "start").otherwise(F.when(F.col("cut") == "tool", "step").otherwise(F.col("cut"))).alias("cut"),
+            F.when(F.col("piece") == 0, "start").otherwise(kind).alias("cut"),
         )
     )
 

@@ -1,5 +1,6 @@
 """Problems 2, 3, 4, 5, 6, 9 and 10: invariants, brute force and edge cases."""
 
+import hashlib
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -60,7 +61,6 @@ def test_capping_against_sort(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["hot"] * 6 + ["b", "c", None]), rng.choice([None, float("nan"), 0.5, 0.5, rng.random(), 1.5, -1.0]), f"t{i}") for i in range(400)]
     df = spark.createDataFrame(rows, "repo string, composite_score double, trajectory_id string").withColumn("n", F.lit(1))
-    import hashlib
 
     for cap in (0, 1, 7, 60, 1000):
         got = {r.trajectory_id for r in capping.capped(df, "repo", "composite_score", "trajectory_id", F.lit(cap)).collect()}
@@ -70,6 +70,22 @@ def test_capping_against_sort(spark):
             want |= {t for _, _, t in sorted((x for x in rows if x[0] == repo), key=key)[:cap]}
         assert got == want, cap
     assert capping.cap_count(df.limit(0), 3).count() == 0
+
+
+def test_capping_of_a_contributor_without_scores(spark):
+    """One contributor holds most rows, all of one level: no task ranks more than a small range of hashes."""
+    rows = [("hot", None, f"t{i}") for i in range(20_000)] + [("hot", 0.5, f"s{i}") for i in range(30)] + [("cold", 0.1, "c"), (None, None, "n")]
+    df = spark.createDataFrame(rows, "repo string, composite_score double, trajectory_id string")
+    order = sorted((hashlib.md5(f"t{i}".encode()).hexdigest(), f"t{i}") for i in range(20_000))
+    got = [r.trajectory_id for r in capping.cap_count(df, 5000).collect()]
+    assert sorted(got) == sorted([t for _, t in order[: 5000 - 30]] + [f"s{i}" for i in range(30)] + ["c", "n"])
+    level = capping._above(df.filter("repo = 'hot' AND composite_score IS NULL").selectExpr("repo AS __c", "trajectory_id", "substring(md5(trajectory_id), 1, 4) AS __d", "5000L AS __left"), ["__d"])
+    assert level[0].count() + level[1].count() >= 5000 and level[1].count() < 50
+
+
+def test_capping_report(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.random(), f"t{i}") for i in range(400)], "repo string, composite_score double, trajectory_id string")
     assert max(r.n_after for r in capping.report(df, capping.cap_share(df, 0.05)).filter("repo IS NOT NULL").collect()) == 20
 
 
@@ -127,6 +143,30 @@ def test_splitting(spark):
         splitting.split(stats, steps, traj, 20, 20)
 
 
+def test_splitting_over_chunk_edges(spark, monkeypatch):
+    """Pieces of a trajectory that several tasks take apart: nothing is cut because of a chunk."""
+    rng = random.Random(12)
+    sizes = {"trj-a": [rng.randrange(1, 30) for _ in range(70)], "trj-b": [2] * 90, "trj-c": [150] * 9, "trj-d": [rng.choice([1, 90]) for _ in range(33)]}
+    stats = spark.createDataFrame([(k, sum(v) + 5, T0) for k, v in sizes.items()], "trajectory_id string, total_tokens long, ingested_at timestamp")
+    tool = lambda i: "edit" if i % 11 == 0 else "bash"
+    steps = spark.createDataFrame([(k, i, tool(i), "x", "y", n, T0) for k, v in sizes.items() for i, n in enumerate(v)], "trajectory_id string, step_idx int, tool string, action_text string, obs_text string, n_tokens long, ingested_at timestamp")
+    traj = spark.createDataFrame([], "trajectory_id string, trajectory array<struct<role: string, content: string, tool_calls: array<struct<function: struct<name: string, arguments: string>>>>>")
+    whole = splitting.split(stats, steps, traj, 100, 10).collect()
+    monkeypatch.setattr(splitting, "CHUNK", 4)
+    got = splitting.split_all(stats, steps, traj, {100: 10, 60: 0})
+    assert got.filter("context_length = 60").agg(F.max("n_tokens")).first()[0] <= 60
+    got = got.filter("context_length = 100").collect()
+    for key, v in sizes.items():
+        pieces = sorted((r for r in got if r.trajectory_id == key), key=lambda r: r.piece)
+        assert all(p.n_tokens == p.end_token - p.start_token <= 100 for p in pieces)
+        assert pieces[0].start_token == 0 and pieces[-1].end_token == sum(v) + 5
+        assert all(b.start_token + b.overlap == a.end_token for a, b in zip(pieces, pieces[1:]))
+        n = len([r for r in whole if r.trajectory_id == key])
+        assert len(pieces) <= n * 1.25 + 1, (key, len(pieces), n)
+    pieces = sorted((r for r in got if r.trajectory_id == "trj-b"), key=lambda r: r.piece)
+    assert {p.cut for p in pieces[1:]} == {"step"} and len(pieces) <= 4  # a piece spans many chunks
+
+
 def test_min_cost_flow():
     flow = grouped_split.min_cost_flow(4, [(0, 1, 3, 1), (0, 2, 2, 2), (1, 3, 2, 0), (2, 3, 3, 0), (1, 2, 5, 0)], 0, 3)
     assert flow[0] == 3 and flow[1] == 2 and flow[2] + flow[3] == 5
