@@ -1,15 +1,17 @@
 """Problem 6: train, validation and test splits that keep related rows together.
 
 Method: min-cost flow allocation.  Rows that share an entity are one
-component.  Components of the same size and label profile form a bundle; every
-split first gets its whole share of every bundle.  What is left over is
-distributed by a min-cost flow from size classes through (profile, split)
-quotas to split quotas, where exceeding a quota costs, and is then rounded to
-whole components.  Members of a bundle are assigned by the hash of their
-entity, so nothing depends on the order of rows.
-
-The driver sees counts of bundles and the few components of one percent of
-the rows or more, never the components of all rows.
+component.  Components of the same size and label profile form a bundle.  A
+min-cost flow sends the rows of the largest components, each a node, and of
+all bundles of a profile through (profile, split) quotas to split quotas, where
+exceeding a quota costs, and is rounded to whole components.  With those
+placed, every split gets its whole share of every bundle, and what is left over
+is distributed by a second flow and rounded likewise.  Members of a bundle are
+assigned by the hash of their entity, so nothing depends on the order of rows.
+
+The driver sees counts of bundles (there are at most as many different sizes
+as the root of twice the rows) and the components of one percent of the rows
+or more, never the components of all rows.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ from pyspark.sql import functions as F
 from stepforge.functions.ids import instance_key, repo_key, repo_of_instance, trajectory_key
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: Components up to this size are bundled by their size, larger ones by steps of 5 percent.
-EXACT = 64
-#: A component of this share of all rows or more is placed on its own.
+#: A component of this share of all rows or more is a node of its own in the flow.
 LARGE = 0.01
-#: Hash parts in which a bundle's members are numbered.
-PARTS = 64
+#: Members of a bundle that are numbered in one task.
+PART = 50_000
 
 
 def entity(by: str) -> Column:
@@ -98,9 +98,35 @@ def allocate(bundles: dict[tuple[int, int], tuple[int, int]], large: list[tuple[
         need[k] -= rows
         need_g[g][k] -= rows
 
+    def quotas(supplies: list[tuple[int, int]]) -> list[list[int]]:
+        """Rows that a min-cost flow sends from each (rows, profile) to every split."""
+        profiles = sorted({g for _, g in supplies})
+        at_gk = lambda g, k: 2 + len(supplies) + profiles.index(g) * len(shares) + k
+        at_k = lambda k: 2 + len(supplies) + len(profiles) * len(shares) + k
+        everything = sum(rows for rows, _ in supplies) + 1
+        arcs: list[tuple[int, int, int, int]] = []
+        sent = []
+        for i, (rows, g) in enumerate(supplies):
+            arcs.append((0, 2 + i, rows, 0))
+            sent.append(range(len(arcs), len(arcs) + len(shares)))
+            arcs += [(2 + i, at_gk(g, k), everything, 0) for k in k_all]
+        for g in profiles:
+            for k in k_all:
+                arcs += [(at_gk(g, k), at_k(k), max(0, round(need_g[g][k])), 0), (at_gk(g, k), at_k(k), everything, 1)]
+        for k in k_all:
+            arcs += [(at_k(k), 1, max(0, round(need[k])), 0), (at_k(k), 1, everything, 10)]
+        flow = min_cost_flow(2 + len(supplies) + len(profiles) * len(shares) + len(shares), arcs, 0, 1)
+        return [[flow[e] for e in of] for of in sent]
+
+    # Components that are nodes of their own, with the rows of all bundles of a profile beside them.
     placed: dict[str, int] = {}
-    for name, rows, g in sorted(large, key=lambda x: (-x[1], x[0])):
-        k = max(k_all, key=lambda k: (need[k], need_g[g][k]))
+    large = sorted(large, key=lambda x: (-x[1], x[0]))
+    mass: dict[int, int] = defaultdict(int)
+    for (_, g), (_, r) in bundles.items():
+        mass[g] += r
+    sent = quotas([(rows, g) for _, rows, g in large] + sorted((r, g) for g, r in mass.items()))
+    for (name, rows, g), flow in zip(large, sent, strict=False):
+        k = max(k_all, key=lambda k: (min(flow[k], max(0.0, need[k])), need[k], need_g[g][k]))
         placed[name] = k
         take(k, g, rows)
     # Whole shares. Large components may have used up a split's quota; the others then divide what is left.
@@ -112,32 +138,13 @@ def allocate(bundles: dict[tuple[int, int], tuple[int, int]], large: list[tuple[
         counts[c, g] = [math.floor(n * s) for s in rest_shares]
         for k in k_all:
             take(k, g, counts[c, g][k] * rows / n)
-        left += [(rows / n, c, g)] * (n - sum(counts[c, g]))
-    # The rest by flow: size classes (powers of 1.5) of a profile -> (profile, split) -> split -> sink.
+        left += [(rows // n, c, g)] * (n - sum(counts[c, g]))
+    # The rest by flow: size classes (powers of 1.5) of a profile.
     klass = lambda size: int(math.log(max(size, 1), 1.5))
-    sources = sorted({(klass(s), g) for s, _, g in left})
-    profiles = sorted({g for _, g in sources})
-    n_nodes = 2 + len(sources) + len(profiles) * len(shares) + len(shares)
-    at_gk = lambda g, k: 2 + len(sources) + profiles.index(g) * len(shares) + k
-    at_k = lambda k: 2 + len(sources) + len(profiles) * len(shares) + k
-    arcs: list[tuple[int, int, int, int]] = []
     supply: dict[tuple[int, int], int] = defaultdict(int)
     for s, _, g in left:
-        supply[klass(s), g] += round(s)
-    everything = sum(supply.values()) + 1
-    flows: dict[tuple[int, int, int], int] = {}
-    for i, src in enumerate(sources):
-        arcs.append((0, 2 + i, supply[src], 0))
-        for k in k_all:
-            flows[(*src, k)] = len(arcs)
-            arcs.append((2 + i, at_gk(src[1], k), everything, 0))
-    for g in profiles:
-        for k in k_all:
-            arcs += [(at_gk(g, k), at_k(k), max(0, round(need_g[g][k])), 0), (at_gk(g, k), at_k(k), everything, 1)]
-    for k in k_all:
-        arcs += [(at_k(k), 1, max(0, round(need[k])), 0), (at_k(k), 1, everything, 10)]
-    flow = min_cost_flow(n_nodes, arcs, 0, 1) if left else []
-    wanted = {key: float(flow[e]) for key, e in flows.items()}
+        supply[klass(s), g] += s
+    wanted = {(*key, k): float(x) for key, flow in zip(sorted(supply), quotas([(supply[key], key[1]) for key in sorted(supply)]), strict=True) for k, x in enumerate(flow)}
     # Integral rounding, the largest first: a component goes where most of its class's flow is still to go.
     for size, c, g in sorted(left, reverse=True):
         k = max(k_all, key=lambda k: (wanted[klass(size), g, k], need[k]))
@@ -158,24 +165,21 @@ def assign(stats: DataFrame, by: str = "repo", splits: tuple[tuple[str, float],
         raise ValueError("proportions must be non-negative and add up to 1")
     spark = stats.sparkSession
     rows = stats.select("trajectory_id", entity(by).alias("entity"), (F.coalesce(F.col("resolved").cast("int"), F.lit(0)) == 1).alias("resolved"))
-    size_class = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(F.lit(EXACT) + 1 + F.floor(F.log(F.col("n") / F.lit(EXACT)) / F.lit(math.log(1.05)))).cast("long")
     h = F.md5(F.concat(F.lit("split:"), "entity"))
     components = (
         rows.groupBy("entity")
         .agg(F.count("*").alias("n"), F.avg(F.col("resolved").cast("int")).alias("r"))
-        .select("entity", "n", size_class.alias("size"), F.least(F.floor(F.col("r") * 3), F.lit(2)).cast("long").alias("profile"), h.alias("h"), F.pmod(F.xxhash64("entity"), F.lit(PARTS)).cast("long").alias("part"))
+        .select("entity", F.col("n").alias("size"), F.least(F.floor(F.col("r") * 3), F.lit(2)).cast("long").alias("profile"), h.alias("h"))
     )
     total = rows.count()
     least = max(1, math.ceil(total * LARGE))
-    if least <= EXACT:  # so few rows that a bundle's size class would overlap with single large components
-        least = max(least, 8)
-    large = [(r.entity, r.n, r.profile) for r in components.filter(F.col("n") >= least).select("entity", "n", "profile").collect()]  # at most 1 / LARGE
-    small = components.filter(F.col("n") < least)
-    counted = small.groupBy("size", "profile", "part").agg(F.count("*").alias("c"), F.sum("n").alias("rows")).collect()
-    bundles: dict[tuple[int, int], tuple[int, int]] = {}
-    for x in counted:
-        c, r = bundles.get((x["size"], x.profile), (0, 0))
-        bundles[x["size"], x.profile] = (c + x.c, r + x.rows)
+    large = [(r.entity, r["size"], r.profile) for r in components.filter(F.col("size") >= least).select("entity", "size", "profile").collect()]  # at most 1 / LARGE
+    small = components.filter(F.col("size") < least)
+    bundles = {(x["size"], x.profile): (x.c, x.c * x["size"]) for x in small.groupBy("size", "profile").agg(F.count("*").alias("c")).collect()}
+    # Hash parts in which the members of a bundle are numbered: as many as its members call for.
+    parts = spark.createDataFrame([(size, g, -(-c // PART)) for (size, g), (c, _) in bundles.items()], "size long, profile long, parts long")
+    small = small.join(parts, ["size", "profile"]).withColumn("part", F.pmod(F.xxhash64("entity"), F.col("parts")))
+    counted = small.groupBy("size", "profile", "part").agg(F.count("*").alias("c")).collect()
     counts, placed = allocate(bundles, large, [s for _, s in splits])
     # Rank at which each hash part of a bundle begins, and the ranks at which splits end.
     table, at = [], dict.fromkeys(bundles, 0)

@@ -3,9 +3,9 @@
 Method: Sainte-Lague apportionment.  The mixture is a number of blocks of equal
 tokens.  Blocks go to sources by the highest quotients of their target shares,
 and a source's blocks go to its shards in the same way, by the tokens a shard
-holds.  Each shard then fills its quota with its documents in seeded order,
-passing through them again, up to the source's number of repeats, where the
-quota exceeds them.
+holds.  The documents of a shard, one after the other in seeded order, make up
+its blocks; its quota is the first of them, again and again up to the source's
+number of repeats.  A block's edge moves to the nearest end of a document.
 
 Only per-shard sums reach the driver; a source of any size is spread over as
 many shards as its tokens call for.
@@ -26,7 +26,7 @@ from stepforge.functions.ids import source_key
 from stepforge.session import cut
 from stepforge.sources import spread
 
-#: The public tokenizer whose tokens are counted; TOKENIZER in the environment or the argument replaces it.
+#: The public tokenizer whose tokens are counted; STEPFORGE_TOKENIZER in the environment or the argument replaces it.
 TOKENIZER = os.environ.get("STEPFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Word pattern of that vocabulary (the published byte-pair encoding of 50,257 ids).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,8 +56,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoding(tokenizer).encode_ordinary
         for frame in frames:
-            # A very long stretch without a break is cut: the vocabulary's merges are quadratic in it.
-            n = [sum(len(encode(t[i : i + 50_000])) for i in range(0, len(t), 50_000)) for t in frame.pop("text")]
+            n = [len(encode(t)) for t in frame.pop("text")]
             yield frame.assign(n_tokens=n)
 
     return rows.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "key", "text_hash", "text").mapInPandas(count, "doc_id long, key string, text_hash long, n_tokens long").filter("n_tokens > 0")
@@ -82,9 +81,15 @@ def apportion(weights: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
+def distinct_targets(mix_targets: DataFrame) -> DataFrame:
+    """``key, source, target_share, max_repeats``: of targets of one source, however spelled, the least row in that order."""
+    row = F.struct("source", "target_share", "max_repeats")
+    return mix_targets.withColumn("key", source_key("source")).filter("key IS NOT NULL").groupBy("key").agg(F.min(row).alias("r")).select("key", "r.*")
+
+
 def targets(mix_targets: DataFrame) -> list[tuple[str, str, float, int]]:
     """(key, source, share, repeats) of the fixed table of targets; shares are scaled to add up to 1."""
-    rows = mix_targets.select(source_key("source").alias("key"), "source", "target_share", "max_repeats").filter("key IS NOT NULL AND target_share > 0").dropDuplicates(["key"]).orderBy("key").limit(10_000).collect()
+    rows = distinct_targets(mix_targets).filter("target_share > 0").orderBy("key").collect()
     total = sum(r.target_share for r in rows) or 1.0
     return [(r.key, r.source, r.target_share / total, max(0, r.max_repeats if r.max_repeats is not None else 1)) for r in rows]
 
@@ -93,8 +98,9 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     """Documents of the mixture: ``doc_id, source, n_tokens, copies``.
 
     ``total_tokens`` is the size wanted; by default the largest at which every
-    source can reach its share within its repeats.  If a source cannot, it
-    gives all it may and the others keep their shares of the whole.  Documents
+    source with text can reach its share within its repeats.  If a source
+    cannot, it gives all it may and the others keep their shares of the whole:
+    what is lacking isn't made up for, and ``shares`` shows it.  Documents
     without text, of no source or of one without target aren't used.  Equal
     texts of a source are one text, under its lowest doc_id, so none is
     repeated more than max_repeats times.  A document is used whole or not at
@@ -114,7 +120,8 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     size = total_tokens if total_tokens is not None else int(min((x / share for x, (_, _, share, _) in zip(room, wanted, strict=True) if x), default=0))
     # Blocks small enough that rounding shares to them is far below a percent.
     block = block or max(1, min(BLOCK, size // 20_000 or 1))
-    quota = apportion([share for _, _, share, _ in wanted], size // block, [x // block for x in room])
+    seats = size // block
+    quota = [min(q, x // block) for q, x in zip(apportion([share for _, _, share, _ in wanted], seats, [seats] * len(wanted)), room, strict=True)]
     shards = {k: max(1, min(MOST_SHARDS, -(-held.get(k, 0) // SHARD_TOKENS))) for k, *_ in wanted}
     n_shards = F.broadcast(spark.createDataFrame(list(shards.items()), "key string, shards int"))
     placed = texts.join(n_shards, "key").withColumn("shard", F.pmod(F.xxhash64("h"), F.col("shards")).cast("int"))
@@ -136,9 +143,10 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
 
 
 def shares(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:
-    """Per source: target and actual share of the tokens, tokens, documents and the most copies of one."""
-    by = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
+    """Per source: target and actual share of the tokens and how far they are apart, tokens, documents and the most copies of one."""
+    by = mixed.groupBy(source_key("source").alias("key")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
     total = F.sum("tokens").over(Window.partitionBy())  # one row a target
-    return mix_targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]).join(by, "source", "left").select(
-        "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(F.coalesce(F.col("tokens") / total, F.lit(0.0)), 6).alias("share")
+    share = F.coalesce(F.col("tokens") / total, F.lit(0.0))
+    return distinct_targets(mix_targets).join(by, "key", "left").select(
+        "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(share, 6).alias("share"), F.round(share - F.col("target_share"), 6).alias("off_target")
     )

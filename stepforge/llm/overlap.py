@@ -31,6 +31,10 @@ from stepforge.session import cut
 
 #: Least share of the longer trajectory's steps that agree in order ("about two thirds or more").
 AGREEMENT = 0.6
+#: A shingle that one in so many sequences has is hot.
+HOT = 1000
+#: Rows of a shingle that one task of the join takes.
+PROBES = 20_000
 
 
 def _need(n: Column, agreement: float) -> Column:
@@ -95,20 +99,27 @@ def near_classes(classes: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
     """
     shingles = classes.select("class", "in_eval", "in_train", F.size("steps").alias("n"), F.explode(_shingles("steps")).alias("shingle"))
     frequency = shingles.groupBy("shingle").agg(F.count("*").alias("f"))
+    # The commonest shingles, no more than HOT times the steps of a sequence, are looked up where their rows are; sent by
+    # shingle they would meet in one task.
+    hot = frequency.crossJoin(F.broadcast(classes.agg(F.count("*").alias("n_classes")))).filter(F.col("f") * HOT >= F.greatest(F.col("n_classes"), F.lit(HOT * 2))).select("shingle", F.col("f").alias("hot_f"))
+    placed = shingles.join(F.broadcast(hot), "shingle", "left").withColumn("at_shingle", F.when(F.col("hot_f").isNull(), F.col("shingle")).otherwise(F.xxhash64("class", "shingle")))
     ordered = (
-        shingles.join(frequency, "shingle")
+        placed.join(frequency.withColumnRenamed("shingle", "at_shingle"), "at_shingle", "left")
+        .withColumn("f", F.coalesce("hot_f", "f"))
         .groupBy("class", "in_eval", "in_train", "n")
         .agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("ranked"))
         .withColumn("prefix", F.slice("ranked", 1, F.col("n") - _need(F.col("n"), agreement) + 1))
         .select("class", "in_eval", "in_train", "n", F.posexplode("prefix").alias("at", "x"))
         .filter("x.f > 1")  # a shingle of one class only cannot be shared
-        .select("class", "in_eval", "in_train", "n", "at", F.col("x.shingle").alias("shingle"))
+        .select("class", "in_eval", "in_train", "n", "at", F.col("x.shingle").alias("shingle"), F.ceil(F.col("x.f") / PROBES).cast("int").alias("salts"))
     )
-    side = lambda flag, p: ordered.filter(flag).select("shingle", F.col("class").alias(f"{p}_class"), F.col("n").alias(f"{p}_n"), F.col("at").alias(f"{p}_at"))
+    # The training rows of a common shingle go to several tasks, and the evaluation rows to each of them.
+    salt = {"train": F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"), "eval": F.explode(F.sequence(F.lit(0), F.col("salts") - 1))}
+    side = lambda flag, p: ordered.filter(flag).select("shingle", salt[p].alias("salt"), F.col("class").alias(f"{p}_class"), F.col("n").alias(f"{p}_n"), F.col("at").alias(f"{p}_at"))
     longer = F.greatest("eval_n", "train_n")
     candidates = (
         side("in_eval", "eval")
-        .join(side("in_train", "train"), "shingle")
+        .join(side("in_train", "train"), ["shingle", "salt"])
         .filter("eval_class <> train_class")
         .filter(F.least("eval_n", "train_n") >= _need(longer, agreement))
         .filter(F.least(F.col("eval_n") - F.col("eval_at"), F.col("train_n") - F.col("train_at")) >= _need(longer, agreement))
