@@ -20,13 +20,13 @@ def _alt(words: tuple[str, ...]) -> str:
 _EDGE = r"""[\s"'`\x{A0}\x{200B}\x{FEFF}]+""".replace("'", "''")
 
 
-def _key(c: str) -> str:
+def canonical_id(c: str) -> str:
     """Canonical trajectory id: edges, folders, file ending and prefix stripped in one pattern."""
     inner = rf"^{_EDGE.replace('+', '*')}(?:.*/)?(?:trajectory|traj|trj)?[-_:\s]*(.*?)(?:\.(?:jsonl?|txt|parquet))?{_EDGE.replace('+', '*')}$"
     return f"('trj-' || nullif(regexp_extract(lower({c}), '{inner}', 1), ''))"
 
 
-def _repo(c: str) -> str:
+def canonical_repo(c: str) -> str:
     """Canonical repository: host, ending and blanks stripped, ``__`` for the slash where there is none."""
     s = f"regexp_replace(lower({c}), '^{_EDGE}|{_EDGE}$', '', 'g')"
     s = f"regexp_replace({s}, '^(https?://[^/]+/|ssh://[^/]+/|git@[^:/]+[:/])', '')"
@@ -36,8 +36,8 @@ def _repo(c: str) -> str:
 
 # The last delivery and the last scoring of each trajectory.
 LAST = f"""
-st AS (SELECT * REPLACE ({_key("trajectory_id")} AS trajectory_id, {_repo("repo")} AS repo) FROM stats QUALIFY row_number() OVER (PARTITION BY {_key("trajectory_id")} ORDER BY ingested_at DESC) = 1),
-sc AS (SELECT * REPLACE ({_key("trajectory_id")} AS trajectory_id, {_repo("repo")} AS repo) FROM scored QUALIFY row_number() OVER (PARTITION BY {_key("trajectory_id")} ORDER BY scored_at DESC) = 1)
+st AS (SELECT * REPLACE ({canonical_id("trajectory_id")} AS trajectory_id, {canonical_repo("repo")} AS repo) FROM stats QUALIFY row_number() OVER (PARTITION BY {canonical_id("trajectory_id")} ORDER BY ingested_at DESC) = 1),
+sc AS (SELECT * REPLACE ({canonical_id("trajectory_id")} AS trajectory_id, {canonical_repo("repo")} AS repo) FROM scored QUALIFY row_number() OVER (PARTITION BY {canonical_id("trajectory_id")} ORDER BY scored_at DESC) = 1)
 """
 
 # Messages, actions with their observations, calls.
@@ -139,7 +139,7 @@ POOL = (
     LAST
     + f""",
 pool AS (SELECT trajectory_id, composite_q AS score, coalesce(exit_status, '') AS exit_status, total_tokens FROM st),
-train AS (SELECT DISTINCT {_key("trajectory_id")} AS trajectory_id FROM split_rows WHERE subset_name IS NOT NULL)
+train AS (SELECT DISTINCT {canonical_id("trajectory_id")} AS trajectory_id FROM split_rows WHERE subset_name IS NOT NULL)
 """
 )
 
@@ -172,7 +172,7 @@ LOSS = (
     + """,
 lrows AS (SELECT split, trajectory_id, CASE WHEN trim(exit_status) <> '' THEN lower(trim(exit_status)) ELSE 'none' END AS model, 1 - score AS loss, total_tokens AS n_tokens
           FROM (SELECT DISTINCT split, """
-    + _key("trajectory_id")
+    + canonical_id("trajectory_id")
     + """ AS trajectory_id FROM split_rows WHERE split IN ('gold', 'random', 'low_q')) JOIN pool USING (trajectory_id)),
 loss AS (SELECT model, split, round(avg(loss), 6) AS mean_loss, round(stddev_pop(loss), 6) AS std_loss, round(exp(avg(loss)), 6) AS perplexity, count(loss) AS n_valid,
            count(*) - count(loss) AS n_failed, round(avg(n_tokens), 6) AS mean_tokens FROM lrows GROUP BY ALL)
@@ -309,16 +309,16 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT x.*, y.*, (SELECT count(*) FROM members p JOIN members q USING (trajectory_id) WHERE p.subset_name = x.subset_name AND q.subset_name = y.subset_name) AS c FROM s x, s y WHERE x.subset_name < y.subset_name) AS z(xn, xc, yn, yc, c)
             JOIN s x ON x.subset_name = xn JOIN s y ON y.subset_name = yn""",
         "subset_outcomes": f"WITH {MEMBERS} SELECT subset_name, count(*) AS n, count(*) FILTER (ends_with_submit AND resolved = 1) AS n_solved, count(*) FILTER (ends_with_submit AND resolved <> 1) AS n_submitted, count(*) FILTER (NOT ends_with_submit) AS n_error FROM members GROUP BY 1",
-        "training_ids": f"SELECT DISTINCT {_key('trajectory_id')} AS trajectory_id FROM split_rows WHERE subset_name IS NOT NULL",
+        "training_ids": f"SELECT DISTINCT {canonical_id('trajectory_id')} AS trajectory_id FROM split_rows WHERE subset_name IS NOT NULL",
         "quantile_filter": f"WITH {POOL}, b AS (SELECT * FROM pool WHERE score >= (SELECT quantile_cont(score, 0.9) FROM pool)) SELECT trajectory_id FROM b WHERE lower(exit_status) IN ('submit', 'success', 'resolved') OR (SELECT count(*) FROM b WHERE lower(exit_status) IN ('submit', 'success', 'resolved')) < 1",
         "relaxed_pool": f"WITH {POOL} SELECT trajectory_id FROM pool WHERE score <= (SELECT quantile_cont(score, 0.1) FROM pool)",
         "exclude_chain": f"WITH {POOL} SELECT trajectory_id FROM pool WHERE trajectory_id NOT IN (SELECT trajectory_id FROM train)",
         "testsets": f"WITH {TESTS} SELECT * FROM sets",
         "testset_audit": f"WITH {TESTS} SELECT split, count(*) AS n, count(train.trajectory_id) AS n_leaked FROM sets LEFT JOIN train USING (trajectory_id) GROUP BY 1",
-        "leakage_audit": f"WITH k AS (SELECT *, {_key('trajectory_id')} AS id FROM split_rows), e AS (SELECT DISTINCT split, id FROM k WHERE split <> 'train') SELECT split, count(*) AS n, count(*) FILTER (id IN (SELECT id FROM k WHERE subset_name IS NOT NULL)) AS n_leaked FROM e GROUP BY 1",
-        "fetch_rows": f"SELECT DISTINCT trajectory_id, exit_status, resolved FROM trajectories WHERE {_key('trajectory_id')} IN (SELECT {_key('trajectory_id')} FROM split_rows WHERE split = 'gold')",
-        "experiment_subsets": f"SELECT name, subset, count(*) AS n FROM (SELECT DISTINCT trim(name) AS name, lower(trim(subset)) AS subset FROM experiments) JOIN (SELECT DISTINCT lower(trim(subset_name)) AS subset, {_key('trajectory_id')} AS id FROM split_rows) USING (subset) GROUP BY ALL",
-        "resume_unseen": f"SELECT DISTINCT trajectory_id FROM trajectories WHERE {_key('trajectory_id')} NOT IN (SELECT {_key('trajectory_id')} FROM stats WHERE resolved = 1)",
+        "leakage_audit": f"WITH k AS (SELECT *, {canonical_id('trajectory_id')} AS id FROM split_rows), e AS (SELECT DISTINCT split, id FROM k WHERE split <> 'train') SELECT split, count(*) AS n, count(*) FILTER (id IN (SELECT id FROM k WHERE subset_name IS NOT NULL)) AS n_leaked FROM e GROUP BY 1",
+        "fetch_rows": f"SELECT DISTINCT trajectory_id, exit_status, resolved FROM trajectories WHERE {canonical_id('trajectory_id')} IN (SELECT {canonical_id('trajectory_id')} FROM split_rows WHERE split = 'gold')",
+        "experiment_subsets": f"SELECT name, subset, count(*) AS n FROM (SELECT DISTINCT trim(name) AS name, lower(trim(subset)) AS subset FROM experiments) JOIN (SELECT DISTINCT lower(trim(subset_name)) AS subset, {canonical_id('trajectory_id')} AS id FROM split_rows) USING (subset) GROUP BY ALL",
+        "resume_unseen": f"SELECT DISTINCT trajectory_id FROM trajectories WHERE {canonical_id('trajectory_id')} NOT IN (SELECT {canonical_id('trajectory_id')} FROM stats WHERE resolved = 1)",
         "chat_render": f"WITH {CHAT} SELECT trajectory_id, text FROM txt",
         "assistant_spans": f"""WITH {CHAT}, p AS (SELECT trajectory_id, string_split(text, '<|im_start|>assistant') AS parts FROM txt),
           x AS (SELECT trajectory_id, k, parts[k + 2] AS part, list_sum(list_transform(parts[1:k + 1], lambda s: length(s))) + k * 21 AS b FROM p, unnest(range(0, len(parts) - 1)) AS u(k))
