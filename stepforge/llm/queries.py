@@ -47,6 +47,42 @@ def _split_report(*tables: DataFrame) -> DataFrame:
     return pieces.groupBy("context_length", "cut").agg(F.count("*").alias("n_pieces"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"), F.max("n_tokens").alias("most_tokens"))
 
 
+def _pack_totals(*tables: DataFrame) -> DataFrame:
+    """Per experiment what packing must keep: trajectories and tokens, no sequence overfull, nothing cut that fits."""
+    placed = _pack(*tables)
+    used = placed.groupBy("experiment", "context_length", "bin").agg(F.sum("tokens").alias("used")).groupBy("experiment").agg(F.count_if(F.col("used") > F.col("context_length")).alias("n_overfull"))
+    of = placed.groupBy("experiment", "context_length", "trajectory_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    kept = of.groupBy("experiment", "context_length").agg(F.count("*").alias("n_trajectories"), F.sum("tokens").alias("tokens"), F.count_if(F.col("pieces") > F.ceil(F.col("tokens") / F.col("context_length"))).alias("n_cut_needlessly"))
+    return kept.join(used, "experiment").select("experiment", "context_length", "n_trajectories", "tokens", "n_overfull", "n_cut_needlessly")
+
+
+def _split_totals(*tables: DataFrame) -> DataFrame:
+    """Per limit what splitting must keep: trajectories and tokens, no piece too long, no gap."""
+    pieces = _split(*tables)
+    own = F.col("n_tokens") - F.col("overlap")
+    of = pieces.groupBy("context_length", "trajectory_id").agg(F.sum(own).alias("tokens"), F.max("end_token").alias("end"), F.count_if(F.col("n_tokens") > F.col("context_length")).alias("long"))
+    return of.groupBy("context_length").agg(F.count("*").alias("n_trajectories"), F.sum("tokens").alias("tokens"), F.sum("long").alias("n_too_long"), F.count_if(F.col("tokens") != F.col("end")).alias("n_gaps"))
+
+
+def _purity(by: str) -> Query:
+    """What grouped splits must keep: all rows, and no entity in two splits."""
+
+    def of(stats: DataFrame) -> DataFrame:
+        rows = grouped_split.assign(stats, by).groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("split").alias("k"))
+        return rows.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_entities"), F.count_if(F.col("k") > 1).alias("n_divided"))
+
+    return _t("stats")(of)
+
+
+def _mix_limits(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """What a mixture must keep: no text beyond its source's repeats, none twice in a source, no source without target."""
+    wanted = mixing.distinct_targets(targets).select("source", "max_repeats")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"))
+    mixed = mixing.mix(documents, targets).join(wanted, "source", "left").join(texts, "doc_id")
+    by = mixed.groupBy("source", "text").agg(F.count("*").alias("n"), F.max("copies").alias("copies"), F.max("max_repeats").alias("most"))
+    return by.agg(F.count_if(F.col("copies") > F.col("most")).alias("n_over_repeats"), F.count_if(F.col("n") > 1).alias("n_repeated_texts"), F.count_if(F.col("most").isNull()).alias("n_other_sources"))
+
+
 def _toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return toxicity.scores(documents, toxicity.fit(documents, labels))
 
@@ -57,6 +93,7 @@ def queries() -> dict[str, Query]:
         "p1_report": _t("split_rows", "steps", "stats")(lambda r, s, st: overlap.report(overlap.overlaps(r, s), st)),
         "p2_pack": _t("experiments", "split_rows", "stats")(_pack),
         "p2_bins": _t("experiments", "split_rows", "stats")(lambda *a: packing.bins(_pack(*a))),
+        "p2_totals": _t("experiments", "split_rows", "stats")(_pack_totals),
         "p3_cap_count": _t("stats", "scored")(lambda s, c: capping.cap_count(capping.contributions(s, c), CAP_COUNT)),
         "p3_cap_share": _t("stats", "scored")(lambda s, c: capping.cap_share(capping.contributions(s, c), CAP_SHARE)),
         "p3_report": _t("stats", "scored")(_capped_report),
@@ -64,9 +101,12 @@ def queries() -> dict[str, Query]:
         "p4_stability": _t("stats")(lambda s: sampling.stability(s, SAMPLE_RATE)),
         "p5_split": _t("experiments", "stats", "steps", "trajectories")(_split),
         "p5_report": _t("experiments", "stats", "steps", "trajectories")(_split_report),
+        "p5_totals": _t("experiments", "stats", "steps", "trajectories")(_split_totals),
         "p6_by_repo": _t("stats")(lambda s: grouped_split.assign(s, "repo")),
         "p6_by_instance": _t("stats")(lambda s: grouped_split.assign(s, "instance")),
         "p6_report": _t("stats")(lambda s: grouped_split.report(grouped_split.assign(s, "repo"))),
+        "p6_purity_repo": _purity("repo"),
+        "p6_purity_instance": _purity("instance"),
         "p7_found": _t("steps")(lambda s: runs.runs(s).select("trajectory_id", "first_step", "last_step")),
         "p7_runs": _t("steps")(runs.runs),
         "p7_collapsed": _t("steps")(runs.collapsed),
@@ -76,6 +116,7 @@ def queries() -> dict[str, Query]:
         "p8_clean": _t("documents", "eval_items")(lambda d, e: leakage.without_leaks(d.select("doc_id", "source", "n_chars"), leakage.leaks(d, e))),
         "p9_mix": _t("documents", "mix_targets")(mixing.mix),
         "p9_shares": _t("documents", "mix_targets")(lambda d, m: mixing.shares(mixing.mix(d, m), m)),
+        "p9_limits": _t("documents", "mix_targets")(_mix_limits),
         "p10_found": _t("documents", "doc_labels")(lambda d, b: _toxic(d, b).filter("abusive").select("doc_id")),
         "p10_scores": _t("documents", "doc_labels")(_toxic),
         "p10_rates": _t("documents", "doc_labels")(lambda d, b: toxicity.rates(_toxic(d, b))),

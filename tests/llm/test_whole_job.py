@@ -1,9 +1,12 @@
 """Cases of the review: the operators do the whole job."""
 
+import itertools
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from stepforge.llm import leakage, splitting, toxicity
+from stepforge.llm import grouped_split, leakage, mixing, overlap, splitting, toxicity
 from stepforge.llm.queries import queries
 from stepforge.sources import table
 
@@ -105,3 +108,67 @@ def test_bootstrap_queries_resample_in_full(spark, data, monkeypatch):
         monkeypatch.setattr(statistics, name, lambda *a, **k: seen.append(k.get("rounds", statistics.LIMITS.bootstrap_rounds)))
         core.queries()[name](spark, data)
     assert seen == [2000, 2000]
+
+
+def test_a_source_that_falls_short_leaves_the_others_their_shares(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of some plain words", "big") for i in range(300)] + [(1000 + i, f"short text {i}", "Small One") for i in range(4)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("small_one", 0.4, 1), ("small one", 0.9, 5), ("absent", 0.1, 1)], "source string, target_share double, max_repeats int")
+    assert {tuple(r) for r in mixing.distinct_targets(targets).collect()} == {tuple(r) for r in mixing.distinct_targets(targets.repartition(3)).collect()}
+    plain = targets.filter("source <> 'small one'")
+    shares = {r.source: r for r in mixing.shares(mixing.mix(docs, plain, total_tokens=2000), plain).collect()}
+    assert abs(shares["big"].tokens - 1000) < 20  # half of what was wanted, though the others lack most of theirs
+    assert 0 < shares["small_one"].tokens < 40 and shares["absent"].tokens == 0 and shares["absent"].off_target == -0.1
+
+
+def test_long_texts_are_counted_whole(spark):
+    text = "word " * 30_000 + "x" * 200_000
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    assert mixing.token_counts(docs).first().n_tokens == len(mixing._encoding(mixing.TOKENIZER).encode_ordinary(text))
+
+
+def test_grouped_split_near_the_best_allocation():
+    """Large components go through the flow: the deviation is close to the least that any placement has."""
+    rng = random.Random(8)
+    for _ in range(20):
+        sizes = [rng.randrange(1, 60) for _ in range(7)]
+        shares = [0.6, 0.2, 0.2]
+        total = sum(sizes)
+        off = lambda where: sum(abs(sum(s for s, w in zip(sizes, where) if w == k) - total * shares[k]) for k in range(3))
+        best = min(off(w) for w in itertools.product(range(3), repeat=len(sizes)))
+        _, placed = grouped_split.allocate({}, [(f"e{i}", s, 0) for i, s in enumerate(sizes)], shares)
+        assert off([placed[f"e{i}"] for i in range(len(sizes))]) <= best + 0.35 * total
+    bundles = {(3, 0): (100, 300), (5, 1): (40, 200), (1, 0): (77, 77)}
+    counts, placed = grouped_split.allocate(bundles, [("big", 150, 0), ("other", 60, 1)], [0.8, 0.1, 0.1])
+    rows = [sum(n[k] * size for (size, _), n in counts.items()) + sum(r for name, r, _ in (("big", 150, 0), ("other", 60, 1)) if placed[name] == k) for k in range(3)]
+    assert [sum(n) for n in counts.values()] == [bundles[b][0] for b in counts] and all(abs(r - 787 * s) <= 5 for r, s in zip(rows, [0.8, 0.1, 0.1]))
+
+
+def test_hot_shingles_give_the_same_pairs(spark, monkeypatch):
+    """Half of the sequences share their commonest calls; spreading them over tasks changes no result."""
+    rng = random.Random(9)
+    common = list(range(8))
+    rows = []
+    for i in range(120):
+        own = [1000 * (i % 50) + j for j in range(6)]
+        steps = common + own if i % 2 else own + [rng.randrange(10_000, 20_000) for _ in range(3)]
+        rows.append((i, steps, i % 3 == 0, i % 3 != 0))
+    classes = spark.createDataFrame(rows, "class long, steps array<long>, in_eval boolean, in_train boolean")
+    plain = {(r.eval_class, r.train_class) for r in overlap.near_classes(classes).collect()}
+    monkeypatch.setattr(overlap, "HOT", 10)
+    monkeypatch.setattr(overlap, "PROBES", 5)
+    spread = {(r.eval_class, r.train_class) for r in overlap.near_classes(classes).collect()}
+    brute = {
+        (a, b) for a, x, e, _ in rows for b, y, _, t in rows
+        if e and t and a != b and overlap.common_subsequence(np.array(x), np.array(y)) >= 0.6 * max(len(x), len(y)) - 1e-9
+    }
+    assert plain == spread == brute and brute
+
+
+def test_found_queries_give_rows(spark, data):
+    """Every pN_found runs and finds something on the smallest tables, and its columns are those asked for."""
+    want = {"p1_found": ["row_a", "row_b"], "p7_found": ["trajectory_id", "first_step", "last_step"], "p8_found": ["doc_id", "item_id"]}
+    for name, columns in want.items():
+        found = queries()[name](spark, data)
+        assert found.columns == columns and found.count() > 0 and found.distinct().count() == found.count()
+    first = queries()["p1_found"](spark, data)
+    assert first.filter("row_a >= row_b").count() == 0
