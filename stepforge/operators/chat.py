@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.config import LIMITS
+from stepforge.operators.evaluation import json_texts
 from stepforge.sources.readers import with_ids
 from stepforge.sources.tables import delivered_once, where
 
@@ -18,29 +19,39 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def chat_messages(messages: str = "trajectory") -> Column:
+def chat_messages(messages: str = "trajectory", arguments: str | None = None) -> Column:
     """``array<struct<role, content>>``; tool turns become user turns, calls become text.
 
     Assistant turns without calls and content are dropped, other roles too.
-    NULL content is empty.  Arguments stay as they are written; a missing name is empty.
+    NULL content is empty, and so is a missing name.  Arguments stay as they are
+    written, unless the column ``arguments`` gives others by message and call.
     """
+    given = f"get(get({arguments}, i), j)" if arguments else "c.function.arguments"
     return F.expr(f"""
-        filter(transform(coalesce({messages}, array()), m -> named_struct(
+        filter(transform(coalesce({messages}, array()), (m, i) -> named_struct(
           'role', CASE m.role WHEN 'tool' THEN 'user' ELSE m.role END,
           'content', CASE
             WHEN m.role = 'tool' THEN concat('<tool_response>\\n', coalesce(m.content, ''), '\\n</tool_response>')
             WHEN m.role = 'assistant' AND size(m.tool_calls) > 0 THEN concat(
               CASE WHEN m.content <> '' THEN concat(m.content, '\\n') ELSE '' END,
-              array_join(transform(m.tool_calls, c -> concat('<tool_call>\\n{{"name": "', coalesce(c.function.name, ''), '", "arguments": ',
-                coalesce(c.function.arguments, '{{}}'), '}}\\n</tool_call>')), '\\n'))
+              array_join(transform(m.tool_calls, (c, j) -> concat('<tool_call>\\n{{"name": "', coalesce(c.function.name, ''), '", "arguments": ',
+                coalesce({given}, '{{}}'), '}}\\n</tool_call>')), '\\n'))
             ELSE coalesce(m.content, '') END)),
           x -> x.role IN ('system', 'user', 'assistant') AND NOT (x.role = 'assistant' AND x.content = ''))
     """)
 
 
-def with_chat(trajectories: DataFrame, least: int = 2) -> DataFrame:
-    """``trajectory_id, chat``; conversations of fewer than ``least`` messages are rejected, those delivered twice count once."""
-    return where(delivered_once(trajectories, "trajectory_id", "trajectory"), "chat", chat_messages(), lambda c: F.size(c) >= least).drop("trajectory")
+def with_chat(trajectories: DataFrame, least: int = 2, parse_arguments: bool = False) -> DataFrame:
+    """``trajectory_id, chat``; conversations of fewer than ``least`` messages are rejected, those delivered twice count once.
+
+    With ``parse_arguments`` (X19) JSON objects among the arguments are written in the common layout.
+    """
+    rows = delivered_once(trajectories, "trajectory_id", "trajectory")
+    if parse_arguments:
+        written = F.expr("transform(coalesce(trajectory, array()), m -> transform(coalesce(m.tool_calls, array()), c -> c.function.arguments))")
+        rows = rows.withColumn("arguments", json_texts(written))
+    chat = chat_messages(arguments="arguments" if parse_arguments else None)
+    return where(rows, "chat", chat, lambda c: F.size(c) >= least).select("trajectory_id", "chat")
 
 
 def render(chat: str = "chat") -> Column:

@@ -66,7 +66,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman_p(ranks_x: list[float], ranks_y: list[float]) -> float:
-    """Two-sided p: exact by permutation up to eight pairs, else from the t distribution's normal limit."""
+    """Two-sided p: exact by permutation up to eight pairs, else from the t distribution."""
     n = len(ranks_x)
     mx, my = sum(ranks_x) / n, sum(ranks_y) / n
     dot = lambda ys: sum((a - mx) * (b - my) for a, b in zip(ranks_x, ys, strict=True))
@@ -74,8 +74,40 @@ def spearman_p(ranks_x: list[float], ranks_y: list[float]) -> float:
     if n <= 8:
         perms = list(itertools.permutations(ranks_y))
         return sum(abs(dot(p)) >= seen - 1e-9 for p in perms) / len(perms)
-    rho = dot(ranks_y) / math.sqrt(sum((a - mx) ** 2 for a in ranks_x) * sum((b - my) ** 2 for b in ranks_y))
-    return 2 * normal_tail(abs(rho) * math.sqrt((n - 2) / max(1e-12, 1 - rho * rho)))
+    return correlation_p(n, dot(ranks_y) / math.sqrt(sum((a - mx) ** 2 for a in ranks_x) * sum((b - my) ** 2 for b in ranks_y)))
+
+
+def correlation_p(n: int, rho: float) -> float:
+    """Two-sided p of a correlation of ``n`` pairs, from the t distribution; NaN below three."""
+    if n < 3:
+        return math.nan
+    if abs(rho) >= 1:
+        return 0.0
+    return incomplete_beta((n - 2) / 2, 0.5, 1 - rho * rho)
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    c, d, value = 1.0, 0.0, 1.0
+    for m in range(400):
+        k = m // 2
+        if m == 0:
+            term = 1.0
+        elif m % 2 == 0:
+            term = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+        else:
+            term = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        d = 1 / (1 + term * d or 1e-300)
+        c = 1 + term / c or 1e-300
+        value *= c * d
+        if m and abs(1 - c * d) < 1e-14:
+            break
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    return front * (value - 1) / a
 
 
 def interpretation(rho: Column) -> Column:

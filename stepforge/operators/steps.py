@@ -8,9 +8,12 @@ exchanged, to fold rows delivered twice.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepforge.config import ERROR_KEYWORDS, FILE_EXTENSIONS, LIMITS, NOISE_PATTERNS, TEST_KEYWORDS, Limits
 from stepforge.sources.tables import delivered_once, spread
@@ -129,8 +132,8 @@ def entropy(counts: Column) -> Column:
 def token_text(messages: str = "trajectory") -> Column:
     """The text of every message whose tokens are counted (content, call names and arguments)."""
     return F.expr(f"""
-        transform(coalesce({messages}, array()), m -> concat_ws(' ', nullif(m.content, ''),
-          array_join(flatten(transform(coalesce(m.tool_calls, array()), c -> array(coalesce(c.function.name, ''), coalesce(c.function.arguments, '')))), ' ')))
+        transform(coalesce({messages}, array()), m -> array_join(concat(array(nullif(m.content, '')),
+          flatten(transform(coalesce(m.tool_calls, array()), c -> array(nullif(c.function.name, ''), c.function.arguments)))), ' '))
     """)
 
 
@@ -139,9 +142,34 @@ def token_total(texts: Column) -> Column:
     return F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + F.regexp_count(t, F.lit(TOKEN_PATTERN)))
 
 
-def trajectory_stats(trajectories: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def tokenizer_total(path: str, pattern: str) -> Callable[[Column], Column]:
+    """A5, HP1: token totals by a byte-pair vocabulary (lines of base64 token and rank) at ``path``, in Arrow batches.
+
+    Each worker reads the file once; ``path`` must be readable on all of them.
+    """
+    ready: dict[str, object] = {}
+
+    @F.pandas_udf(T.LongType())
+    def total(texts: pd.Series) -> pd.Series:
+        if path not in ready:
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            ready[path] = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encode = ready[path].encode_ordinary
+        return texts.map(lambda parts: sum(len(encode(t)) for t in parts if t))
+
+    return total
+
+
+def trajectory_stats(trajectories: DataFrame, limits: Limits = LIMITS, tokens: Callable[[Column], Column] = token_total) -> DataFrame:
     """One row of raw metrics per trajectory, the map of tool calls included.
 
+    ``tokens`` counts the tokens of an array of texts: the built-in pattern, or a ``tokenizer_total``.
+
     Rows delivered twice count once.  A NULL or empty trajectory has no
     actions: ratios are 0, except uniqueness and utilisation, which are 1.
     NULL status, patch and resolved mean not submitted, no patch, not resolved.
@@ -159,7 +187,7 @@ def trajectory_stats(trajectories: DataFrame, limits: Limits = LIMITS) -> DataFr
             "trajectory_id",
             "instance_id",
             "repo",
-            token_total(token_text()).alias("total_tokens"),
+            tokens(token_text()).alias("total_tokens"),
             F.expr("CAST(size(filter(coalesce(trajectory, array()), m -> m.role = 'assistant')) AS BIGINT)").alias("assistant_turns"),
             "tool_call_counts",
             F.size("calls").cast("long").alias("total_tool_calls"),

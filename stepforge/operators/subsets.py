@@ -53,7 +53,7 @@ def build(pool: DataFrame, subset: Subset, seed: int = LIMITS.seed) -> DataFrame
 
 
 def build_all(all_pool: DataFrame, gate_pool: DataFrame, names: Iterable[str] | None = None, scale: float = 1.0, seed: int = LIMITS.seed) -> DataFrame:
-    """``subset_name, trajectory_id`` and the score columns of all (or the named) subsets.
+    """``subset_name, trajectory_id``, the score columns and the ``order_score`` of all (or the named) subsets.
 
     Each pool is read once: every id is put into each of its orders, a group
     limit keeps the first of every order while still in the map tasks, and
@@ -81,7 +81,8 @@ def build_all(all_pool: DataFrame, gate_pool: DataFrame, names: Iterable[str] |
         most = max(s.size for s in own)
         ranked = rows.select("*", F.explode(F.array(*key)).alias("k")).select(*rows.columns, "k.*").withColumn("rank", rank).filter(F.col("rank") <= most).filter(F.col("rank") <= deepest)
         table = rows.sparkSession.createDataFrame([(s.name, orders.index((s.order or "", s.ascending)), s.size) for s in own], "subset_name string, o int, size int")
-        built = ranked.join(F.broadcast(table), "o").filter("rank <= size").select(*rows.columns, "subset_name")
+        flip = F.element_at(F.array(*(F.lit(sign(up)) for _, up in orders)), F.col("o") + 1)
+        built = ranked.join(F.broadcast(table), "o").filter("rank <= size").select(*rows.columns, "subset_name", (F.col("score") * flip).alias("order_score"))
         out = built if out is None else out.unionByName(built, allowMissingColumns=True)
     return out
 
@@ -107,7 +108,8 @@ def subset_stats(members: DataFrame) -> DataFrame:
         r(F.avg(F.col("ends_with_submit").cast("int")), "submit_rate"),
         r(F.avg((F.col("resolved") == 1).cast("int")), "resolved_rate"),
         F.count_distinct("repo").alias("unique_repos"),
-        *(r(F.avg(c), f"mean_{c}") for c in ("efficiency_score", "style_score", "b2_error_retry", "b3_step_count_ratio", "c2_action_diversity", "c3_observation_utilization")),
+        *(r(F.avg(c), f"mean_{c}") for c in ("efficiency_score", "style_score", "b2_error_retry", "b3_step_count_ratio", "c2_action_diversity", "c3_observation_utilization", "order_score")),
+        r(F.median("order_score"), "median_order_score"),
     )
 
 

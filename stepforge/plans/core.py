@@ -11,17 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepforge.config import LIMITS
 from stepforge.functions.ids import repo_key, trajectory_key
-from stepforge.operators import chat, profile, scores, statistics, subsets, testsets, textmetrics
+from stepforge.operators import chat, evaluation, profile, scores, statistics, subsets, testsets, textmetrics
 from stepforge.operators import steps as st
+from stepforge.operators.evaluation import json_texts
 from stepforge.session import cut
 from stepforge.sources import latest, readers, sinks, table
-from stepforge.sources.tables import where
+from stepforge.sources.tables import delivered_once, where
 from stepforge.streaming.scoring import activity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP_SIZE = 100
+#: Length from which an example counts as truncated in the run counters.
+COUNTED_CHARS = 20_000
+#: Status stands for a model: names shown, and models by strategy and size.
+SHOWN = {"submit": "Submitted", "exit_cost": "Out of budget"}
+SERIES = [("cost", 500, "exit_cost"), ("cost", 1000, "submit"), ("time", 500, "timeout"), ("time", 1000, "submit"), ("time", 2000, "nowhere")]
 SUB_SCORES = ["b1_redundant_commands", "b2_error_retry", "b3_step_count_ratio", "c1_observation_cleanliness", "c2_action_diversity", "c3_observation_utilization"]
 DIMENSIONS = ["composite_score", "efficiency_score", "style_score", "b2_error_retry", "b3_step_count_ratio", "c2_action_diversity", "c3_observation_utilization"]
 
@@ -144,6 +151,46 @@ def action_rows(trajectories: DataFrame) -> DataFrame:
     )
 
 
+def next_actions(trajectories: DataFrame) -> DataFrame:
+    """Pairs for each number of turns kept: the reply then wanted, in place of a model's text, and the true first action."""
+    turns = turns_of(trajectories)
+    replies = F.array(*(F.struct(F.lit(k).alias("n_steps"), chat.prefix(k)["target"].alias("generated"), chat.first_action()["target"].alias("truth")) for k in (3, 5, 7)))
+    return turns.select("trajectory_id", F.explode(replies).alias("r")).select("trajectory_id", "r.*")
+
+
+def counters(trajectories: DataFrame, split_rows: DataFrame) -> DataFrame:
+    """A26 over the gold ids, with the characters of an example as its length."""
+    key = trajectory_key("trajectory_id").alias("trajectory_id")
+    made = chat.examples(trajectories).select(key, F.length("text").alias("length"))
+    gold = split_rows.filter("split = 'gold'").select(key).filter("trajectory_id IS NOT NULL")
+    return evaluation.run_counters(trajectories.select(key), gold, made, "length", COUNTED_CHARS)
+
+
+def arguments(trajectories: DataFrame) -> DataFrame:
+    """The arguments of every call, JSON objects in the common layout."""
+    rows = delivered_once(trajectories, "trajectory_id", "trajectory")
+    calls = F.expr("transform(coalesce(trajectory, array()), m -> transform(coalesce(m.tool_calls, array()), c -> c.function.arguments))")
+    return rows.select("trajectory_id", F.posexplode(json_texts(calls)).alias("message", "args")).select("trajectory_id", "message", F.posexplode("args").alias("call", "arguments"))
+
+
+# --- steps as token rows ----------------------------------------------------
+
+
+def token_arrays(steps: DataFrame) -> DataFrame:
+    """Per trajectory, in order of steps, arrays in place of a model's: tokens, losses, and labels of the shell steps only."""
+    rows = steps.filter("trajectory_id IS NOT NULL AND step_idx IS NOT NULL").select("trajectory_id", "step_idx", F.lower(F.trim("tool")).alias("tool"), "n_tokens").distinct()
+    label = F.when(F.col("tool") == "execute_bash", F.col("step_idx")).otherwise(F.lit(LIMITS.label_mask))
+    listed = rows.groupBy("trajectory_id").agg(F.sort_array(F.collect_list(F.struct("step_idx", F.col("n_tokens").cast("int").alias("n"), F.col("n_tokens").cast("double").alias("loss"), label.alias("label")))).alias("s"))
+    return listed.select("trajectory_id", F.col("s.n").alias("tokens"), F.col("s.loss").alias("losses"), F.col("s.label").alias("labels"))
+
+
+def padded_tokens(steps: DataFrame) -> DataFrame:
+    """Token arrays filled up to the longest of their batch."""
+    rows = token_arrays(steps).select("trajectory_id", "tokens", F.substring(F.md5("trajectory_id"), 1, 2).alias("batch"))
+    full = evaluation.padded(rows, "batch", "tokens")
+    return full.select("trajectory_id", "batch", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda x: x == LIMITS.label_mask)).alias("n_pad"))
+
+
 # --- result tables ----------------------------------------------------------
 
 
@@ -163,6 +210,21 @@ def repo_points(stats: DataFrame) -> DataFrame:
     return last_stats(stats, "repo", "composite_q", "assistant_turns", "total_tokens").withColumn("repo", repo_key("repo")).filter("repo IS NOT NULL").groupBy("repo").agg(F.round(F.avg("composite_q"), 6).alias("q"), F.round(F.avg("assistant_turns"), 6).alias("turns"), F.round(F.avg("total_tokens"), 6).alias("tokens"))
 
 
+def outcomes_by_status(stats: DataFrame) -> DataFrame:
+    """Rows and solved rows by status, in place of metrics by model."""
+    status = F.when(F.trim("exit_status") != "", F.lower(F.trim("exit_status"))).otherwise("none").alias("model")
+    return last_stats(stats, "exit_status", "resolved").groupBy(status).agg(F.count("*").alias("n"), F.count_if(F.col("resolved") == 1).alias("n_solved"))
+
+
+def series(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
+    sizes = stats.sparkSession.createDataFrame(SERIES, "strategy string, size int, model string")
+    return evaluation.scaling_series(losses(stats, split_rows), sizes, "gold")
+
+
+def named_losses(stats: DataFrame, split_rows: DataFrame) -> DataFrame:
+    return losses(stats, split_rows).select("split", evaluation.display_name(F.col("model"), SHOWN).alias("name"), "mean_loss")
+
+
 def _spearman(stats: DataFrame) -> DataFrame:
     s = statistics.spearman(repo_points(stats), "turns", "q")
     return s.withColumn("interpretation", statistics.interpretation(F.col("rho")))
@@ -261,6 +323,18 @@ def queries() -> dict[str, Query]:
         "linear_fit": s(lambda x: statistics.linear_fit(repo_points(x), "turns", "tokens")),
         "bootstrap_mean": s(lambda x: statistics.bootstrap_mean(repo_points(x), "q", ["q", "repo"])),
         "bootstrap_band": s(lambda x: statistics.bootstrap_band(repo_points(x), "turns", "q", [10.0, 20.0, 40.0], ["repo"])),
+        "mann_whitney_p": s(lambda x: _r(evaluation.mann_whitney_test(last_stats(x, "composite_q", "has_patch"), "composite_q", F.col("has_patch")))),
+        "spearman_p": s(lambda x: evaluation.spearman_test(repo_points(x), "turns", "q")),
+        "masked_loss": p(lambda x: _r(token_arrays(x).select("trajectory_id", evaluation.masked_loss(F.col("losses"), F.col("labels")).alias("loss")))),
+        "padded_batches": p(padded_tokens),
+        "next_action_summary": t(lambda x: evaluation.action_summary(next_actions(x), ["n_steps"]).drop("bleu4", "rouge_l")),
+        "next_action_text": t(lambda x: evaluation.action_summary(next_actions(x), ["n_steps"]).select("n_steps", "bleu4", "rouge_l")),
+        "seq_summary": t(lambda x: evaluation.sequence_summary(chat.examples(x).select(F.length("text").alias("n"), chat.span_chars().alias("labelled")), "n", "labelled")),
+        "run_counters": _t("trajectories", "split_rows")(counters),
+        "json_arguments": t(arguments),
+        "model_losses": _t("stats", "split_rows")(lambda a, b: evaluation.model_losses(outcomes_by_status(a), losses(a, b), "gold")),
+        "scaling_series": _t("stats", "split_rows")(series),
+        "display_names": _t("stats", "split_rows")(named_losses),
         "incremental_merge": c(_merge),
         "seq_stats_steps": p(lambda x: x.select("trajectory_id", "step_idx", "n_tokens").distinct().agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"), F.round(F.avg("n_tokens"), 6).alias("mean"), F.median("n_tokens").alias("median"))),
         "experiment_matrix": e(lambda x: x.distinct().groupBy("hypothesis").agg(F.count("*").alias("n"), F.round(F.sum("est_gpu_hours"), 6).alias("gpu_hours"))),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from stepforge.config import ERROR_KEYWORDS, FILE_EXTENSIONS, LIMITS, NOISE_PATTERNS, PATH_PATTERN, TEST_KEYWORDS
 from stepforge.operators import subsets
-from stepforge.plans.core import DIMENSIONS, FLAGSHIP_SIZE, SUB_SCORES, subset_query_name
+from stepforge.plans.core import COUNTED_CHARS, DIMENSIONS, FLAGSHIP_SIZE, SERIES, SHOWN, SUB_SCORES, subset_query_name
 
 _LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E]"
 
@@ -155,14 +155,14 @@ every AS (SELECT trajectory_id, composite_q, total_tokens, assistant_turns, ends
 
 def _subset(spec: subsets.Subset) -> str:
     order = "md5('42:' || trajectory_id), trajectory_id" if spec.order is None else f"{spec.order} {'ASC' if spec.ascending else 'DESC'} NULLS LAST, trajectory_id"
-    return f"(SELECT '{spec.name}' AS subset_name, trajectory_id FROM {'every' if spec.pool == 'all' else 'gate'} ORDER BY {order} LIMIT {spec.size})"
+    return f"(SELECT '{spec.name}' AS subset_name, trajectory_id, CAST({spec.order or 'NULL'} AS DOUBLE) AS order_score FROM {'every' if spec.pool == 'all' else 'gate'} ORDER BY {order} LIMIT {spec.size})"
 
 
 MEMBERS = (
     GATE
     + ", built AS ("
     + " UNION ALL ".join(f"SELECT *, {'false' if s.pool == 'all' else 'true'} AS gated FROM {_subset(s)}" for s in subsets.catalogue())
-    + "), members AS (SELECT built.subset_name, trajectory_id, "
+    + "), members AS (SELECT built.subset_name, trajectory_id, order_score, "
     + ", ".join(f"CASE WHEN gated THEN gate.{c} END AS {c}" for c in _GATE_COLS)
     + ", every.* EXCLUDE (trajectory_id) FROM built LEFT JOIN gate USING (trajectory_id) LEFT JOIN every USING (trajectory_id))"
 )
@@ -253,6 +253,63 @@ def _long(table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM {table}" for c in columns)
 
 
+# Words and single marks as the label mask counts them, letters and digits of any script.
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SPANS = r"""
+p AS (SELECT trajectory_id, text, string_split(text, '<|im_start|>assistant') AS parts FROM txt),
+span AS (SELECT trajectory_id, text, k, parts[k + 2] AS part, list_sum(list_transform(parts[1:k + 1], lambda s: length(s))) + k * 21 AS b FROM p, unnest(range(0, len(parts) - 1)) AS u(k)),
+ends AS (SELECT *, b + 21 + length(regexp_extract(part, '(?s)^(.*?)(?:<\|im_end\|>|<\|im_start\|>|$)', 1)) AS e FROM span)
+"""
+#: Upper tail of the normal distribution, by a rational approximation good to 1e-7.
+_TAIL = """(CASE WHEN {z} < 0 THEN 1 ELSE 0 END + CASE WHEN {z} < 0 THEN -1 ELSE 1 END * exp(-{z} * {z} / 2) / sqrt(2 * pi())
+  * (.319381530 / (1 + .2316419 * abs({z})) - .356563782 / (1 + .2316419 * abs({z})) ** 2 + 1.781477937 / (1 + .2316419 * abs({z})) ** 3
+     - 1.821255978 / (1 + .2316419 * abs({z})) ** 4 + 1.330274429 / (1 + .2316419 * abs({z})) ** 5))"""
+_DRAW = "CAST(('0x' || substr(md5('42:' || r || ':' || slot), 1, 12)) AS UBIGINT)"
+
+
+def _more() -> dict[str, str]:
+    tail = lambda z: _TAIL.format(z=f"({z})")
+    arrays = "SELECT DISTINCT trajectory_id, step_idx, lower(trim(tool)) AS tool, n_tokens FROM steps WHERE trajectory_id IS NOT NULL AND step_idx IS NOT NULL"
+    draws = f"d AS (SELECT r, pts2.* FROM range({LIMITS.bootstrap_rounds}) AS a(r), (SELECT count(*) AS n FROM pts2), unnest(range(1, n + 1)) AS b(slot), pts2 WHERE pts2.k = {_DRAW} % n)"
+    shown = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHOWN.items())
+    sizes = ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in SERIES)
+    both = "generated IS NOT NULL AND truth IS NOT NULL"
+    return {
+        "mann_whitney_p": f"""WITH {LAST}, x AS (SELECT composite_q AS v, coalesce(has_patch, false) AS g FROM st WHERE composite_q IS NOT NULL),
+          r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rk FROM x),
+          a AS (SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(rk) FILTER (g) AS r1, count(*) AS n FROM r),
+          t AS (SELECT CAST(sum(n * n * n - n) AS DOUBLE) AS tie_sum FROM (SELECT count(*) AS n FROM x GROUP BY v)),
+          u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 2 AS m, sqrt(n1 * n2 / 12 * (n + 1 - tie_sum / (n * (n - 1)))) AS sd FROM a, t),
+          p AS (SELECT *, unnest(['less', 'greater', 'two-sided']) AS alternative, unnest([{tail("(m - u - 0.5) / sd")}, {tail("(u - m - 0.5) / sd")}, least(1, 2 * {tail("(abs(u - m) - 0.5) / sd")})]) AS pv FROM u)
+          SELECT n1, n2, round(u, 6) AS u, tie_sum, round(u / (n1 * n2), 6) AS prob_superiority, alternative, round(pv, 4) AS p,
+            CASE WHEN pv < .01 THEN '***' WHEN pv < .05 THEN '**' WHEN pv < .1 THEN '*' ELSE '' END AS stars FROM p""",
+        "masked_loss": f"SELECT trajectory_id, round(avg(n_tokens) FILTER (tool = 'execute_bash'), 6) AS loss FROM ({arrays}) GROUP BY 1",
+        "padded_batches": f"WITH n AS (SELECT trajectory_id, count(*) AS n, substr(md5(trajectory_id), 1, 2) AS batch FROM ({arrays}) GROUP BY 1) SELECT trajectory_id, batch, CAST(max(n) OVER (PARTITION BY batch) AS INTEGER) AS n, CAST(max(n) OVER (PARTITION BY batch) - n AS INTEGER) AS n_pad FROM n",
+        "next_action_summary": f"""WITH {ACTIONS.replace("fmt AS (SELECT *,", "many AS (SELECT trajectory_id, s AS n_steps, turn.next_content AS generated, fa.target AS truth FROM (SELECT DISTINCT trajectory_id FROM c) CROSS JOIN unnest([3, 5, 7]) AS q(s) LEFT JOIN fa USING (trajectory_id) LEFT JOIN turn ON turn.trajectory_id = c.trajectory_id AND turn.k = s + 1), fmt AS (SELECT *,").replace("FROM (SELECT DISTINCT trajectory_id FROM c) CROSS", "FROM (SELECT DISTINCT trajectory_id FROM c) AS c CROSS").replace("SELECT trajectory_id, s AS n_steps", "SELECT c.trajectory_id, s AS n_steps").replace("AS closed FROM pair)", "AS closed FROM many)")}
+          SELECT n_steps, count(*) FILTER ({both}) AS n_evaluated, count(*) FILTER (NOT ({both})) AS n_skipped, round(avg(CAST(action_type_match AS INTEGER)) FILTER ({both}), 6) AS action_type_acc,
+            round(avg(file_match_score) FILTER ({both}), 6) AS file_match, round(avg(format_score) FILTER ({both}), 6) AS format_score, round(avg(CAST(exact_match AS INTEGER)) FILTER ({both}), 6) AS exact_match FROM rows GROUP BY 1""",
+        "seq_summary": f"""WITH {CHAT}, {_SPANS}, l AS (SELECT trajectory_id, any_value(length(text)) AS n, sum(e - b) AS labelled FROM ends GROUP BY 1)
+          SELECT count(*) AS n, CAST(min(n) AS INTEGER) AS least, CAST(max(n) AS INTEGER) AS most, round(avg(n), 6) AS mean, median(n) AS median, round(sum(labelled) * 100.0 / sum(n), 6) AS labelled_pct FROM l""",
+        "run_counters": f"""WITH {CHAT}, l AS (SELECT {canonical_id("trajectory_id")} AS id, length(text) AS n FROM txt WHERE contains(text, '<|im_start|>assistant')),
+          w AS (SELECT DISTINCT {canonical_id("trajectory_id")} AS id FROM split_rows WHERE split = 'gold'), r AS (SELECT {canonical_id("trajectory_id")} AS id, count(*) AS k FROM trajectories GROUP BY 1)
+          SELECT CAST((SELECT sum(k) FROM r) AS BIGINT) AS n_scanned, count(*) AS n_wanted, count(r.id) AS n_found, count(l.id) AS n_processed, count(*) FILTER (l.n > {COUNTED_CHARS}) AS n_truncated, count(*) FILTER (r.id IS NOT NULL AND l.id IS NULL) AS n_skipped
+          FROM w LEFT JOIN r USING (id) LEFT JOIN l USING (id)""",
+        "model_losses": f"""WITH {LOSS}, o AS (SELECT CASE WHEN trim(exit_status) <> '' THEN lower(trim(exit_status)) ELSE 'none' END AS model, count(*) AS n, count(*) FILTER (resolved = 1) AS n_solved FROM st GROUP BY 1)
+          SELECT model, n, n_solved, mean_loss FROM o JOIN loss USING (model) WHERE split = 'gold'""",
+        "scaling_series": f"""WITH {LOSS}, z(strategy, size, model) AS (VALUES {sizes}), y AS (SELECT z.*, mean_loss FROM z LEFT JOIN (SELECT * FROM loss WHERE split = 'gold') USING (model))
+          SELECT *, round(mean_loss - lag(mean_loss) OVER (PARTITION BY strategy ORDER BY size, model), 6) AS step FROM y""",
+        "display_names": f"WITH {LOSS} SELECT split, CASE model {shown} ELSE model END AS name, mean_loss FROM loss",
+        "label_tokens": f"""WITH {CHAT}, {_SPANS}, t1 AS (SELECT trajectory_id, any_value(len(regexp_extract_all(text, '{_TOKEN}'))) AS n, sum(greatest(0, least({LIMITS.sequence_tokens} - len(regexp_extract_all(substr(text, 1, CAST(b AS BIGINT)), '{_TOKEN}')), len(regexp_extract_all(substr(text, CAST(b AS BIGINT) + 1, CAST(e - b AS BIGINT)), '{_TOKEN}'))))) AS k FROM ends GROUP BY 1)
+          SELECT trajectory_id, CAST(least(n, {LIMITS.sequence_tokens}) AS INTEGER) AS n_tokens, CAST(k AS INTEGER) AS n_labels FROM t1 WHERE k > 0""",
+        "bootstrap_mean": f"""WITH {POINTS}, pts2 AS (SELECT q, row_number() OVER (ORDER BY q, repo) - 1 AS k FROM pts WHERE q IS NOT NULL), {draws}, m AS (SELECT avg(q) AS m FROM d GROUP BY r)
+          SELECT (SELECT count(*) FROM pts2) AS n, (SELECT round(avg(q), 6) FROM pts2) AS mean, round(quantile_cont(m, .025), 6) AS lo, round(quantile_cont(m, .975), 6) AS hi FROM m""",
+        "bootstrap_band": f"""WITH {POINTS}, pts2 AS (SELECT turns AS x, q AS y, row_number() OVER (ORDER BY repo) - 1 AS k FROM pts), {draws},
+          f AS (SELECT regr_slope(y, x) AS s0, regr_intercept(y, x) AS i0 FROM pts2), g AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM d GROUP BY r),
+          l AS (SELECT "at", s0 * "at" + i0 AS fit, CASE WHEN s IS NULL OR isnan(s) THEN s0 * "at" + i0 ELSE s * "at" + i END AS y FROM g, f, unnest([10.0, 20.0, 40.0]) AS u("at"))
+          SELECT CAST("at" AS DOUBLE) AS "at", round(any_value(fit), 6) AS fit, round(greatest(0, least(1, quantile_cont(y, .025))), 6) AS lo, round(greatest(0, least(1, quantile_cont(y, .975))), 6) AS hi FROM l GROUP BY "at" """,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name; queries on tokenisers, sequences and resampling have none."""
     raw = f"WITH {BASE}, {METRICS} "
@@ -303,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT subset_name, count(*) AS actual_size, CASE WHEN count(composite_score) > 0 THEN 'v3' ELSE 'v1' END AS score_version, round(avg(q), 6) AS mean_q, round(median(q), 6) AS median_q, round(stddev_samp(q), 6) AS std_q,
             round(min(q), 6) AS min_q, round(max(q), 6) AS max_q, round(avg(total_tokens), 6) AS mean_tokens, round(median(total_tokens), 6) AS median_tokens, round(avg(assistant_turns), 6) AS mean_turns,
             round(avg(CAST(ends_with_submit AS INTEGER)), 6) AS submit_rate, round(avg(CAST(resolved = 1 AS INTEGER)), 6) AS resolved_rate, count(DISTINCT repo) AS unique_repos,
-            {", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("efficiency_score", "style_score", "b2_error_retry", "b3_step_count_ratio", "c2_action_diversity", "c3_observation_utilization"))} FROM z GROUP BY 1""",
+            {", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in ("efficiency_score", "style_score", "b2_error_retry", "b3_step_count_ratio", "c2_action_diversity", "c3_observation_utilization", "order_score"))}, round(median(order_score), 6) AS median_order_score FROM z GROUP BY 1""",
         "subset_overlap": f"""WITH {MEMBERS}, s AS (SELECT subset_name, count(*) AS n FROM members GROUP BY 1)
           SELECT x.subset_name AS a, y.subset_name AS b, x.n AS n_a, y.n AS n_b, CAST(c AS BIGINT) AS common, round(coalesce(c / (x.n + y.n - c), 0.0), 6) AS jaccard
           FROM (SELECT x.*, y.*, (SELECT count(*) FROM members p JOIN members q USING (trajectory_id) WHERE p.subset_name = x.subset_name AND q.subset_name = y.subset_name) AS c FROM s x, s y WHERE x.subset_name < y.subset_name) AS z(xn, xc, yn, yc, c)
@@ -357,6 +414,7 @@ def oracle_sql() -> dict[str, str]:
         "experiment_matrix": "SELECT hypothesis, count(*) AS n, round(sum(est_gpu_hours), 6) AS gpu_hours FROM (SELECT DISTINCT * FROM experiments) GROUP BY 1",
         "activity_windows": "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }
+    q |= _more()
     for spec in subsets.catalogue():
         q[subset_query_name(spec.name)] = f"WITH {GATE} SELECT subset_name, trajectory_id FROM {_subset(spec)}"
     return q

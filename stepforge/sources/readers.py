@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
-from pathlib import Path
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +63,21 @@ def read_scores(spark: SparkSession, file: str | None = None, table_path: str |
     raise ValueError("no score column")
 
 
+def materialised(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path`` if a job has completed it, else ``make()`` written there and read again."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_losses(spark: SparkSession, path: str, split: str | None = None, models: Iterable[str] | None = None) -> DataFrame:
+    """``model, split, mean_loss`` of a CSV, of one split and of the named models where given."""
+    rows = read_csv(spark, path, "model string, split string, mean_loss double", ("model", "split", "mean_loss")).select("model", "split", "mean_loss")
+    rows = rows if split is None else rows.filter(F.col("split") == split)
+    return rows if models is None else rows.filter(F.col("model").isin(*models))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Nested results (model -> split -> figures) as a long table, one row per model and split."""
     text = spark.read.option("wholetext", True).text(path)
@@ -95,16 +109,20 @@ def first_rows(df: DataFrame, n: int, key: str = "trajectory_id") -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def discover_subsets(root: str) -> list[str]:
-    """Names of the subsets below a root written by ``write_subset``."""
-    return sorted(p.name.split("=", 1)[-1] for p in Path(root).iterdir() if p.is_dir() and not p.name.startswith(("_", ".")))
+def discover_subsets(root: str, spark: SparkSession | None = None) -> list[str]:
+    """Names of the subsets below a root written by ``write_subset``, on Spark's file system."""
+    spark = spark or SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    return sorted(n.split("=", 1)[-1] for n in names if not n.startswith(("_", ".")))
 
 
 def read_subset(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, dict]:
     """Rows and metadata of a written subset."""
-    folder = Path(root) / name
-    meta = json.loads((folder / "metadata.json").read_text())
-    return spark.read.schema(meta["schema"]).json(str(folder / "rows")), meta
+    folder = f"{root.rstrip('/')}/{name}"
+    meta = json.loads(spark.read.text(f"{folder}/metadata").first().value)
+    return spark.read.schema(meta["schema"]).json(f"{folder}/rows"), meta
 
 
 def output_root(given: str | None = None, env: str = "STEPFORGE_OUTPUT", candidates: Iterable[str] = ("output", "data")) -> str:

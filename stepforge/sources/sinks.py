@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.operators.profile import normalise_schema
@@ -30,15 +29,20 @@ def write_splits(members: DataFrame, path: str, fmt: str = "parquet") -> None:
     members.write.mode("overwrite").partitionBy("subset_name").format(fmt).save(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text, as one file in a folder, wherever Spark can write."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def write_subset(rows: DataFrame, root: str, name: str, description: str = "", stats: dict | None = None) -> dict:
-    """K5: rows as JSON lines and CSV, the id list, and the metadata (one small file)."""
-    folder = Path(root) / name
-    rows.write.mode("overwrite").json(str(folder / "rows"))
-    write_csv(rows, str(folder / "csv"))
-    rows.select("trajectory_id").orderBy("trajectory_id").write.mode("overwrite").text(str(folder / "ids"))
+    """K5: rows as JSON lines and CSV, the id list, and the metadata (one small file), all on Spark's file system."""
+    folder = f"{root.rstrip('/')}/{name}"
+    rows.write.mode("overwrite").json(f"{folder}/rows")
+    write_csv(rows, f"{folder}/csv")
+    rows.select("trajectory_id").orderBy("trajectory_id").write.mode("overwrite").text(f"{folder}/ids")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     meta = {"name": name, "description": description, "actual_size": rows.count(), "stats": stats or {}, "schema": schema}
-    (folder / "metadata.json").write_text(json.dumps(meta, indent=1))
+    write_text(rows.sparkSession, f"{folder}/metadata", json.dumps(meta))
     return meta
 
 
@@ -69,8 +73,8 @@ def publishable(rows: DataFrame) -> DataFrame:
     return normalise_schema(rows, PUBLISHED)
 
 
-def markdown(df: DataFrame, order: list[str], limit: int = 1000) -> str:
-    """A small result table as a Markdown table."""
-    rows = df.orderBy(*order).limit(limit).collect()
+def markdown(df: DataFrame, order: list[str]) -> str:
+    """A small result table (one row a model, split or subset) as a Markdown table, whole."""
+    rows = df.orderBy(*order).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])

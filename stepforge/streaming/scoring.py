@@ -1,8 +1,9 @@
 """Incremental scoring with Structured Streaming (S1, S3): the same row-wise metrics over a file source.
 
-The metrics need no state, since a trajectory is one row; ids delivered twice
-are dropped by a stateful deduplication.  With ``availableNow`` a run takes
-what has arrived since the last one and ends; its checkpoint is the resume point.
+The metrics need no state, since a trajectory is one row; ids scored in an
+earlier batch are left out by an anti-join on what was written, so no state
+grows with the stream.  With ``availableNow`` a run takes what has arrived
+since the last one and ends; its checkpoint is the resume point.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stepforge.operators.scores import add_v1
 from stepforge.operators.steps import trajectory_stats
+from stepforge.sources.readers import unseen
 from stepforge.sources.schema import TRAJECTORIES
 
 
@@ -21,12 +23,20 @@ def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -
 
 
 def score_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Score arriving trajectories into ``out``; a trajectory scored in an earlier batch is skipped."""
+    """Score arriving trajectories into ``out``, one folder a batch; a trajectory scored in an earlier batch is skipped.
 
-    def batch(df: DataFrame, _: int) -> None:
-        add_v1(trajectory_stats(df)).write.mode("append").parquet(out)
+    A batch that is tried again overwrites its own folder, so no row is written
+    twice; of rows of one trajectory in a batch ``trajectory_stats`` keeps the same one as on a table.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        scored = add_v1(trajectory_stats(df))
+        if number:
+            earlier = df.sparkSession.read.schema("trajectory_id string, batch long").parquet(out).filter(F.col("batch") < number)
+            scored = unseen(scored, earlier)
+        scored.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
-    return stream.dropDuplicates(["trajectory_id"]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity(stream_or_batch: DataFrame, late: str = "1 day", window: str = "6 hours") -> DataFrame:

@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stepforge.operators import chat, profile, ranks, statistics, subsets, testsets, textmetrics
-from stepforge.sources import readers, sinks
+from stepforge.operators import chat, evaluation, profile, ranks, statistics, steps, subsets, testsets, textmetrics
+from stepforge.sources import readers, sinks, tables
 from stepforge.sources.schema import TRAJECTORIES
 
 
@@ -218,3 +218,89 @@ def test_stream_equals_batch(spark, data, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*cols).collect()}
     want = {tuple(r) for r in add_v1(trajectory_stats(rows)).select(*cols).collect()}
     assert got == want
+
+
+def test_spearman_and_mann_whitney_p():
+    assert statistics.incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248)
+    assert statistics.correlation_p(10, 0.6) == pytest.approx(0.066688, abs=1e-6)
+    assert math.isnan(statistics.correlation_p(2, 0.5)) and statistics.correlation_p(5, 1.0) == 0
+
+
+def test_rank_tests_as_columns(spark):
+    df = spark.createDataFrame([(float(i), i % 3 == 0) for i in range(30)], "v double, g boolean")
+    rows = {r.alternative: r for r in evaluation.mann_whitney_test(df, "v", F.col("g")).collect()}
+    r = rows["less"]
+    assert r.p == round(statistics.mann_whitney_p(r.n1, r.n2, r.u, r.tie_sum, "less"), 4) and set(rows) == {"less", "greater", "two-sided"}
+    assert all(r.p is None for r in evaluation.mann_whitney_test(df.filter("g"), "v", F.col("g")).collect())
+    xy = df.withColumn("w", F.col("v") * F.col("v"))
+    assert evaluation.spearman_test(xy, "v", "w").first().asDict() == {"n": 30, "rho": 1.0, "p": 0.0, "interpretation": "strong positive"}
+    assert evaluation.spearman_test(xy.limit(2), "v", "w").first().p is None
+
+
+def test_losses_and_padding(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0, None, 9.0], [1, 2, 3, -100], "x"), ("b", [1.0], [-100], "x"), ("c", None, None, "y")], "k string, losses array<double>, labels array<int>, batch string")
+    assert {r.k: r.m for r in df.select("k", evaluation.masked_loss(F.col("losses"), F.col("labels")).alias("m")).collect()} == {"a": 1.5, "b": None, "c": None}
+    assert {r.k: r.labels for r in evaluation.padded(df, "batch", "labels").collect()} == {"a": [1, 2, 3, -100], "b": [-100] * 4, "c": []}
+    assert evaluation.display_name(F.col("k"), {}) is not None
+    names = df.select(evaluation.display_name(F.col("k"), {"a": "A"}).alias("n"))
+    assert sorted(r.n for r in names.collect()) == ["A", "b", "c"]
+
+
+def test_json_arguments(spark):
+    call = lambda a: [{"function": {"name": "bash", "arguments": a}}]
+    c = [("user", "go", None), ("assistant", None, call('{"b":1,"a":"é"}')), ("assistant", "x", call("ls -la")), ("assistant", "x", call(None))]
+    rows = [("t", "i", "r", "submit", 1, "", [dict(role=r, content=c, tool_calls=t) for r, c, t in c])]
+    chats = chat.with_chat(spark.createDataFrame(rows, TRAJECTORIES), parse_arguments=True).first().chat
+    assert '"arguments": {"b": 1, "a": "é"}}' in chats[1].content and '"arguments": ls -la}' in chats[2].content and '"arguments": {}}' in chats[3].content
+    assert evaluation.json_text("[1,2]") == "[1, 2]" and evaluation.json_text("no") == "no" and evaluation.json_text(None) is None
+
+
+def test_counters_and_summary(spark):
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "trajectory_id string")
+    made = spark.createDataFrame([("a", 5), ("b", 50)], "trajectory_id string, length int")
+    r = evaluation.run_counters(ids("a", "a", "b", "c", "d"), ids("a", "b", "c", "z"), made, "length", 10).first()
+    assert tuple(r) == (5, 4, 3, 2, 1, 1)
+    assert evaluation.run_counters(ids(), ids(), made.limit(0), "length", 10).first().n_scanned == 0
+
+
+def test_token_hook(spark, tmp_path):
+    import base64
+
+    vocabulary = [bytes([b]) for b in range(256)] + [b"ab"]
+    (tmp_path / "v").write_text("\n".join(f"{base64.b64encode(t).decode()} {i}" for i, t in enumerate(vocabulary)))
+    rows = [("t", "i", "r", "submit", 1, "", [dict(role="user", content="abab c", tool_calls=None)])]
+    stats = steps.trajectory_stats(spark.createDataFrame(rows, TRAJECTORIES), tokens=steps.tokenizer_total(str(tmp_path / "v"), r"\w+|\s+"))
+    assert stats.first().total_tokens == 4
+
+
+def test_plain_files_deliver_once(spark, tmp_path):
+    """Rows delivered twice in different files count once, compared by hash and place; rows that differ both stay."""
+    one = ("t1", "i", "r", "submit", 1, "", [dict(role="user", content="hello", tool_calls=None)])
+    other = (*one[:6], [dict(role="user", content="hello!", tool_calls=None)])
+    for rows in ([one, one], [one, other], [("t2", *one[1:])]):
+        spark.createDataFrame(rows, TRAJECTORIES).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    got = tables.delivered_once(spark.read.parquet(str(tmp_path / "t")), "trajectory_id", "trajectory").collect()
+    assert sorted((r.trajectory_id, r.trajectory[0].content) for r in got) == [("t1", "hello"), ("t1", "hello!"), ("t2", "hello")]
+
+
+def test_latest_row_stands(spark):
+    df = spark.createDataFrame([("TRJ-a", 1, 1), ("trj-a", 2, 5), ("trj-a", 2, 5), ('"trj-b"', 1, 7), (None, 1, 1)], "trajectory_id string, at int, v int")
+    assert {(r.trajectory_id, r.v) for r in tables.latest(df, "trajectory_id", "at").collect()} == {("trj-a", 5), ("trj-b", 7)}
+
+
+def test_utilisation_of_long_trajectories(spark):
+    """Last use per keyword equals a search of all later actions."""
+    rng = random.Random(2)
+    words = [f"file{i}.py" for i in range(12)]
+    t = []
+    for _ in range(150):
+        t.append(dict(role="assistant", content="", tool_calls=[{"function": {"name": "bash", "arguments": " ".join(rng.sample(words, 2))}}]))
+        t.append(dict(role="tool", content=f"see {rng.choice(words)} and {rng.choice(words)}", tool_calls=None))
+    r = steps.trajectory_stats(spark.createDataFrame([("t", "i", "r", "submit", 1, "", t)], TRAJECTORIES)).first()
+    texts = [m["tool_calls"][0]["function"]["arguments"] for m in t[::2]]
+    found = used = 0
+    for k, m in enumerate(t[1::2]):
+        for w in {w for w in words if w in m["content"].split()}:
+            found += 1
+            used += any(w in x for x in texts[k + 1 :])
+    assert r.obs_utilization_ratio == pytest.approx(used / found)
