@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -48,5 +49,6 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="stepforge-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()
