@@ -52,6 +52,9 @@ def oracle_sql() -> dict[str, str]:
           m AS (SELECT DISTINCT lower(trim(subset_name)) AS subset, {key} AS trajectory_id FROM split_rows)
           SELECT experiment, CAST(context_length AS BIGINT) AS context_length, count(*) AS n_trajectories, CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_cut_needlessly
           FROM m JOIN e USING (subset) JOIN len USING (trajectory_id) WHERE total_tokens > 0 GROUP BY 1, 2""",
+        "p2_unknown": f"""WITH {LENGTHS}, e AS (SELECT DISTINCT trim(name) AS experiment, lower(trim(subset)) AS subset FROM experiments WHERE context_length > 0),
+          m AS (SELECT DISTINCT lower(trim(subset_name)) AS subset, {key} AS trajectory_id FROM split_rows)
+          SELECT experiment, count(*) AS n_trajectories, count(*) FILTER (coalesce(total_tokens, 0) <= 0) AS n_unknown FROM m JOIN e USING (subset) LEFT JOIN len USING (trajectory_id) GROUP BY 1""",
         "p5_totals": f"""WITH {LENGTHS}, s AS (SELECT {key} AS trajectory_id, step_idx, arg_max(n, (known, ingested_at, n)) AS n FROM (SELECT *, n_tokens IS NOT NULL AS known,
             coalesce(greatest(n_tokens, 0), CAST(ceil((coalesce(length(action_text), 0) + coalesce(length(obs_text), 0)) / 4) AS BIGINT)) AS n FROM steps WHERE step_idx IS NOT NULL) GROUP BY 1, 2),
           k AS (SELECT trajectory_id, sum(n) AS known FROM s GROUP BY 1), e AS (SELECT DISTINCT context_length FROM experiments WHERE context_length > 0)

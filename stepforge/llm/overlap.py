@@ -157,14 +157,12 @@ def split_members(split_rows: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(split_rows: DataFrame, steps: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
-    """Pairs of a training row and an evaluation row that stand for the same trajectory.
+def classified(split_rows: DataFrame, steps: DataFrame, agreement: float = AGREEMENT) -> tuple[DataFrame, DataFrame]:
+    """Membership and pairs of classes: ``row_id, split, is_train, key, subset_name, instance, class`` and ``eval_class, train_class, agreement``.
 
-    Columns: ``row_a, row_b`` (row_a < row_b), ``eval_row, train_row,
-    eval_split, subset_name, eval_key, train_key, kind`` (``id`` the same id
-    however written, ``copy`` equal steps, ``near`` nearly equal steps) and
-    ``agreement``.  Ids that have no steps match by id only.  Rows delivered
-    twice count once; empty tables give no rows.
+    A class is a distinct sequence of calls, or an id without steps.  Pairs hold
+    a class with itself where it is in evaluation and in training; copies are
+    not expanded, so this form stays as small as the rows however many copies there are.
     """
     members = cut(split_members(split_rows))
     keys = members.groupBy("key").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
@@ -179,7 +177,19 @@ def overlaps(split_rows: DataFrame, steps: DataFrame, agreement: float = AGREEME
     near = near_classes(cut(classes), agreement)
     same = keyed.groupBy("class").agg(F.max("in_eval").alias("e"), F.max("in_train").alias("t")).filter("e AND t")
     pairs = same.select(F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(1.0).alias("agreement")).unionByName(near.drop("common"))
-    rows = members.join(keyed.select("key", "class"), "key")
+    return members.join(keyed.select("key", "class"), "key"), pairs
+
+
+def overlaps(split_rows: DataFrame, steps: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
+    """Pairs of a training row and an evaluation row that stand for the same trajectory.
+
+    Columns: ``row_a, row_b`` (row_a < row_b), ``eval_row, train_row,
+    eval_split, subset_name, eval_key, train_key, kind`` (``id`` the same id
+    however written, ``copy`` equal steps, ``near`` nearly equal steps) and
+    ``agreement``.  Ids that have no steps match by id only.  Rows delivered
+    twice count once; empty tables give no rows.
+    """
+    rows, pairs = classified(split_rows, steps, agreement)
     ev = rows.filter("NOT is_train").select(F.col("class").alias("eval_class"), F.col("row_id").alias("eval_row"), F.col("split").alias("eval_split"), F.col("key").alias("eval_key"), F.col("instance").alias("eval_instance"))
     tr = rows.filter("is_train").select(F.col("class").alias("train_class"), F.col("row_id").alias("train_row"), "subset_name", F.col("key").alias("train_key"))
     return (

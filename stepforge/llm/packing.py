@@ -72,6 +72,15 @@ def experiment_items(experiments: DataFrame, split_rows: DataFrame, stats: DataF
     return members.join(exp, "subset").join(lengths, "trajectory_id").select("experiment", "context_length", "trajectory_id", "total_tokens")
 
 
+def unknown_lengths(experiments: DataFrame, split_rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Per experiment: trajectories of its subset, and how many are left out because no positive length is known."""
+    known = experiment_items(experiments, split_rows, stats).select("experiment", "trajectory_id", F.lit(1).alias("known"))
+    exp = experiments.filter("context_length > 0").select(F.trim("name").alias("experiment"), F.lower(F.trim("subset")).alias("subset")).distinct()
+    members = split_rows.select(F.lower(F.trim("subset_name")).alias("subset"), trajectory_key("trajectory_id").alias("trajectory_id")).filter("subset IS NOT NULL AND trajectory_id IS NOT NULL").distinct()
+    rows = members.join(exp, "subset").join(known, ["experiment", "trajectory_id"], "left")
+    return rows.groupBy("experiment").agg(F.count("*").alias("n_trajectories"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
+
+
 _PLACED = "experiment string, context_length long, trajectory_id string, piece int, tokens long, bin string, start long"
 
 

@@ -91,6 +91,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _t("split_rows", "steps")(_found_overlaps),
         "p1_report": _t("split_rows", "steps", "stats")(lambda r, s, st: overlap.report(overlap.overlaps(r, s), st)),
+        "p1_members": _t("split_rows", "steps")(lambda r, s: overlap.classified(r, s)[0].select("row_id", "split", "key", "class")),
+        "p1_classes": _t("split_rows", "steps")(lambda r, s: overlap.classified(r, s)[1]),
+        "p2_unknown": _t("experiments", "split_rows", "stats")(packing.unknown_lengths),
         "p2_pack": _t("experiments", "split_rows", "stats")(_pack),
         "p2_bins": _t("experiments", "split_rows", "stats")(lambda *a: packing.bins(_pack(*a))),
         "p2_totals": _t("experiments", "split_rows", "stats")(_pack_totals),

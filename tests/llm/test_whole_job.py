@@ -172,3 +172,17 @@ def test_found_queries_give_rows(spark, data):
         assert found.columns == columns and found.count() > 0 and found.distinct().count() == found.count()
     first = queries()["p1_found"](spark, data)
     assert first.filter("row_a >= row_b").count() == 0
+
+
+def test_classes_hold_what_pairs_hold(spark, data):
+    """Membership and class pairs expand to the found pairs, and are no larger than the rows where copies abound."""
+    rows, steps = table(spark, data, "split_rows"), table(spark, data, "steps")
+    members, pairs = overlap.classified(rows, steps)
+    ev = members.filter("NOT is_train").select(F.col("class").alias("eval_class"), F.col("row_id").alias("e"))
+    tr = members.filter("is_train").select(F.col("class").alias("train_class"), F.col("row_id").alias("t"))
+    wide = pairs.join(ev, "eval_class").join(tr, "train_class").filter("e <> t").select(F.least("e", "t").alias("row_a"), F.greatest("e", "t").alias("row_b")).distinct()
+    found = queries()["p1_found"](spark, data)
+    assert {tuple(r) for r in wide.collect()} == {tuple(r) for r in found.collect()}
+    many = rows.limit(0).unionByName(spark.createDataFrame([(i, "train" if i % 2 else "gold", "S", "trj-x", None, None) for i in range(400)], rows.schema))
+    members, pairs = overlap.classified(many, steps.limit(0))
+    assert members.count() == 400 and pairs.count() == 1
