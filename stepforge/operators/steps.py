@@ -114,9 +114,9 @@ def utilization(acts: str = "actions", texts: str = "action_texts") -> Column:
     return F.expr(f"""
         aggregate(array(named_struct('found', transform({acts}, a -> {keywords("a.obs")}), 'back', reverse(array_join({texts}, '\n')))), named_struct('n', 0L, 'u', 0L),
           (s, x) -> aggregate(array(named_struct(
-              'last', map_from_entries(transform(array_distinct(flatten(x.found)), w -> struct(w, length(x.back) - instr(x.back, reverse(w)) - length(w) + IF(instr(x.back, reverse(w)) = 0, -length(x.back) - 2, 1)))),
+              'last', map_from_entries(transform(array_distinct(flatten(x.found)), w -> struct(w, instr(x.back, reverse(w))))), 'length', length(x.back),
               'starts', aggregate({texts}, array(0L), (at, t) -> array_append(at, element_at(at, -1) + length(t) + 1)))), s,
-            (s, y) -> aggregate(transform(x.found, (f, k) -> struct(size(f) AS n, size(filter(f, w -> y.last[w] >= get(y.starts, k + 1))) AS u)), s,
+            (s, y) -> aggregate(transform(x.found, (f, k) -> struct(size(f) AS n, size(filter(f, w -> y.last[w] BETWEEN 1 AND y.length + 1 - length(w) - get(y.starts, k + 1))) AS u)), s,
               (s, c) -> named_struct('n', s.n + c.n, 'u', s.u + c.u))),
           s -> CASE WHEN s.n = 0 THEN 1.0D ELSE s.u / s.n END)
     """)
