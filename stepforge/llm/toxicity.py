@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from stepforge.functions.fold import plain
 from stepforge.functions.ids import source_form, source_key
+from stepforge.session import cut
 from stepforge.sources import spread
 
 #: Reviewed documents of either class that training uses at most, taken by hash; stock phrases weigh as in a sample of as many.
@@ -556,24 +557,36 @@ def _sentences(text: Column | str = "text") -> Column:
     return F.split(text, _SENTENCE_END)
 
 
-def stock_phrases(documents: DataFrame) -> DataFrame:
-    """``n, n_texts, all, places``: every sentence repeated by a share of STOCK_SHARE of all distinct texts, with up to EXAMPLES places.
+def _hashes(text: Column | str = "text") -> Column:
+    """One hash for each sentence of a text, NULL for one without blank; names, numbers and paths make no difference."""
+    letters = F.transform(_sentences(text), lambda p: F.trim(F.lower(F.regexp_replace(p, _NAME, "0"))))
+    return F.transform(letters, lambda p: F.when(F.contains(p, F.lit(" ")), F.xxhash64(p)))
+
+
+def phrase(text: str = "text", s: str = "s") -> Column:
+    """The first sentence of a text that has the hash ``s``."""
+    return F.get(_sentences(text), F.array_position(_hashes(text), F.col(s)).cast("int") - 1)
 
-    Sentences agree that have the same words but for names, numbers and paths.  The hashes alone are
-    exchanged, first by (sentence, text), so that copies of a text count once
-    and no sentence is gathered.  At most 1 / STOCK_SHARE times the sentences of
-    a text, on average, can come out.  One more row, ``all``, counts the texts.
+
+def stock_phrases(documents: DataFrame) -> DataFrame:
+    """``s, n, n_texts, places``: hash and count of every sentence repeated by a share of STOCK_SHARE of all distinct texts.
+
+    ``places`` are the documents, up to EXAMPLES, that show it.  Sentences agree
+    that have the same words but for names, numbers and paths.  The hashes alone
+    are exchanged, first by (sentence, text), so that copies of a text count once
+    and no sentence is gathered; what three texts repeat is checkpointed.  At
+    most 1 / STOCK_SHARE times the sentences of a text, on average, can come out.
+    One more row, with s NULL, counts the texts.
     """
-    letters = F.transform(_sentences(), lambda p: F.trim(F.lower(F.regexp_replace(p, _NAME, "0"))))
-    hashes = F.transform(letters, lambda p: F.when(F.contains(p, F.lit(" ")), F.xxhash64(p)))
     rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("pos", "s")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.explode(F.concat(_hashes(), F.array(F.lit(None).cast("long")))).alias("s")
     )
-    places = {f"place{k}": F.min(F.when(F.pmod("t", F.lit(EXAMPLES)) == k, F.col("at"))) for k in range(EXAMPLES)}
-    counted = rows.groupBy("s", "t").agg(F.min(F.struct("doc_id", "pos")).alias("at")).groupBy("s").agg(F.count("*").alias("n"), *(f.alias(c) for c, f in places.items()))
-    total = counted.agg(F.max(F.when(F.col("s").isNull(), F.col("n"))).alias("n_texts"))
-    found = counted.crossJoin(F.broadcast(total)).filter((F.col("n") >= STOCK) & (F.col("n") >= F.col("n_texts") * STOCK_SHARE))
-    return found.select("n", "n_texts", F.col("s").isNull().alias("all"), F.array_compact(F.array(*places)).alias("places"))
+    places = {f"place{k}": F.min(F.when(F.pmod("t", F.lit(EXAMPLES)) == k, F.col("doc_id"))) for k in range(EXAMPLES)}
+    counted = rows.groupBy("s", "t").agg(F.min("doc_id").alias("doc_id")).groupBy("s").agg(F.count("*").alias("n"), *(f.alias(c) for c, f in places.items()))
+    often = cut(counted.filter((F.col("n") >= STOCK) | F.col("s").isNull()))
+    total = often.agg(F.max(F.when(F.col("s").isNull(), F.col("n"))).alias("n_texts"))
+    found = often.crossJoin(F.broadcast(total)).filter(F.col("s").isNull() | (F.col("n") >= F.col("n_texts") * STOCK_SHARE))
+    return found.select("s", "n", "n_texts", F.array_compact(F.array(*places)).alias("places"))
 
 
 def fit(documents: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Detector:
@@ -590,15 +603,15 @@ def fit(documents: DataFrame, doc_labels: DataFrame, sample: int = SAMPLE_DOCUME
     chosen = [r for label in (1, 0) for r in labelled.filter(F.col("label") == label).orderBy("k", "doc_id").limit(sample).collect()]
     phrases = stock_phrases(documents).collect()
     n_texts = max((r.n_texts for r in phrases), default=0)
-    # The places of a phrase share its count.
-    places = [(p.doc_id, p.pos, None, r.n / len(r.places)) for r in phrases if not r.all for p in r.places]
-    wanted = F.broadcast(spark.createDataFrame([(r.doc_id, -1, r.label, 0.0) for r in chosen] + places, "doc_id long, pos int, label int, n double"))  # bounded, see stock_phrases
-    text = F.when(F.col("pos") < 0, F.col("text")).otherwise(F.get(_sentences(), F.col("pos")))
+    # The documents that show a phrase share its count.
+    places = [(doc_id, r.s, None, r.n / len(r.places)) for r in phrases if r.s is not None for doc_id in r.places]
+    wanted = F.broadcast(spark.createDataFrame([(r.doc_id, None, r.label, 0.0) for r in chosen] + places, "doc_id long, s long, label int, n double"))  # bounded, see stock_phrases
     texts = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(wanted, "doc_id").select(key.alias("k"), "doc_id", "label", "n", "pos", _tokenised(text).alias("tokens")).collect()
-    rows.sort(key=lambda r: (r.k, r.doc_id, r.pos, r.tokens))
-    reviewed = [(r.tokens.split("\0"), r.label) for r in rows if r.pos < 0]
-    return train(reviewed, [(r.tokens.split("\0"), r.n) for r in rows if r.pos >= 0], n_texts, n_abusive)
+    text = F.when(F.col("s").isNull(), F.col("text")).otherwise(phrase())
+    rows = texts.join(wanted, "doc_id").select(key.alias("k"), "doc_id", "label", "n", "s", _tokenised(F.coalesce(text, F.lit(""))).alias("tokens")).collect()
+    rows.sort(key=lambda r: (r.k, r.doc_id, r.s or 0, r.tokens))
+    reviewed = [(r.tokens.split("\0"), r.label) for r in rows if r.s is None]
+    return train(reviewed, [(r.tokens.split("\0"), r.n) for r in rows if r.s is not None], n_texts, n_abusive)
 
 
 @F.pandas_udf(T.StringType())

@@ -43,11 +43,12 @@ def test_copies_of_abuse_are_no_background(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, "r", int(i >= 60)) for i in range(84)], "doc_id long, reviewer string, toxic int").withColumn("reviewed_at", F.lit(None).cast("timestamp"))
     found = toxicity.stock_phrases(docs).collect()
-    phrases = {(texts[p.doc_id].rstrip(".").split(". ")[p.pos], r.n) for r in found if not r.all for p in r.places}
+    shown = toxicity.stock_phrases(docs).filter("s IS NOT NULL").select("s", "n", F.explode("places").alias("doc_id")).join(docs, "doc_id")
+    phrases = {(r.p.rstrip("."), r.n) for r in shown.select(toxicity.phrase().alias("p"), "n").collect()}
     assert ("The queue drops nothing here", 60) in phrases and ("You are a stupid clown and nobody wants you here", 8) in phrases
     assert any(p.startswith("The parser reads part 3 of") for p, _ in phrases)  # numbers may differ
     assert not any("toad" in p or "The writer sorts" in p for p, _ in phrases)  # copies are one text
-    assert {(r.n, r.n_texts) for r in found if r.all} == {(85, 85)}
+    assert {(r.n, r.n_texts) for r in found if r.s is None} == {(85, 85)}
     d = toxicity.fit(docs, labels)
     assert d.judge().scores([abuse])[0][0] > d.threshold
     words = toxicity.Vocabulary(d.words)
