@@ -220,5 +220,7 @@ def once(df: DataFrame, key: str) -> DataFrame:
 
 def steps(trajectories: DataFrame) -> DataFrame:
     """W1 as a table: ``trajectory_id, step_idx, tool, args_prefix, action_text, obs_text``, one row per action."""
-    flat = with_actions(delivered_once(trajectories, "trajectory_id", "trajectory")).select("trajectory_id", F.explode("actions").alias("a"))
+    rows = delivered_once(trajectories, "trajectory_id", "trajectory").withColumn("acts", actions())
+    # The expression itself is exploded: of a column Spark would first filter the empty ones, making it twice.
+    flat = rows.select("trajectory_id", F.explode(observed()).alias("a"))
     return flat.select("trajectory_id", F.col("a.idx").alias("step_idx"), "a.tool", "a.args_prefix", "a.action_text", F.col("a.obs").alias("obs_text"))
