@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,11 @@ from stepforge.operators.evaluation import json_texts
 from stepforge.sources.readers import with_ids
 from stepforge.sources.tables import delivered_once, where
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+_TOKEN = re.compile(r"\w+|\S")
+#: The rest of a word; a place inside a word.
+_REST, _INSIDE = re.compile(r"\w*"), re.compile(r"(?<=\w)(?=\w)")
+#: Tokens after which examples are handed on, characters tokenised at once, words whose ids a task remembers and the longest of them.
+BLOCK_TOKENS, STRETCH_CHARS, KEPT_WORDS, KEPT_CHARS = 1 << 18, 1 << 16, 1 << 16, 64
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -89,30 +95,75 @@ def label_mask(examples: DataFrame, encode: Callable[[str], list[tuple[int, int,
     ``encode`` gives (id, begin, end) of every token; by default words and
     single marks with a 31-bit hash.  A token is labelled with its id where it
     overlaps a span and isn't empty, else with ``mask``.  Examples without a
-    labelled token are rejected.
+    labelled token are rejected.  Examples are read one at a time and handed on
+    in blocks, so a task holds ``BLOCK_TOKENS`` and the tokens of one example.
     """
-    encode = encode or word_tokens
 
-    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, text, spans in zip(frame["trajectory_id"], frame["text"], frame["spans"], strict=True):
-                tokens = encode(text)[:limit]
-                labels, at, ends = [], 0, [(s["begin"], s["end"]) for s in spans]
-                for t, begin, end in tokens:
-                    while at < len(ends) and ends[at][1] <= begin:
-                        at += 1
-                    labels.append(t if at < len(ends) and begin < end and ends[at][0] < end else mask)
-                if any(x != mask for x in labels):
-                    rows.append((key, [t for t, _, _ in tokens], [1] * len(tokens), labels))
-            yield pd.DataFrame(rows, columns=["trajectory_id", "input_ids", "attention_mask", "labels"])
-
-    return examples.select("trajectory_id", "text", "spans").mapInPandas(label, "trajectory_id string, input_ids array<int>, attention_mask array<int>, labels array<int>")
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordIds()
+        for batch in batches:
+            keys, ends, ids, labels = [], [0], array("i"), array("i")
+            for k, (key, text, spans) in enumerate(zip(batch.column("trajectory_id"), batch.column("text"), batch.column("spans"), strict=True), 1):
+                text, spans = text.as_py(), [(s["begin"], s["end"]) for s in spans.as_py()]
+                if encode or any(_INSIDE.match(text, at) for s in spans for at in s):
+                    own, marked = _labelled((encode or word_tokens)(text)[:limit], spans, mask)
+                else:
+                    own, marked = _labelled_words(text, spans, limit, mask, words)
+                if (np.frombuffer(marked, np.int32) != mask).any():
+                    ids += own
+                    labels += marked
+                    keys.append(key.as_py())
+                    ends.append(len(ids))
+                if keys and (len(ids) >= BLOCK_TOKENS or k == batch.num_rows):
+                    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (np.frombuffer(ids, np.int32), np.ones(len(ids), np.int32), np.frombuffer(labels, np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *lists], names=["trajectory_id", "input_ids", "attention_mask", "labels"])
+                    keys, ends, ids, labels = [], [0], array("i"), array("i")
+
+    return examples.select("trajectory_id", "text", "spans").mapInArrow(label, "trajectory_id string, input_ids array<int>, attention_mask array<int>, labels array<int>")
+
+
+def _labelled(tokens: list[tuple[int, int, int]], spans: list[tuple[int, int]], mask: int) -> tuple[array, array]:
+    """Ids and labels of tokens with places."""
+    labels, at = array("i"), 0
+    for t, begin, end in tokens:
+        while at < len(spans) and spans[at][1] <= begin:
+            at += 1
+        labels.append(t if at < len(spans) and begin < end and spans[at][0] < end else mask)
+    return array("i", (t for t, _, _ in tokens)), labels
+
+
+def _labelled_words(text: str, spans: list[tuple[int, int]], limit: int, mask: int, words: _WordIds) -> tuple[array, array]:
+    """The same of ``word_tokens``, where no span begins or ends inside a word: between such places the words' own places don't matter."""
+    ids, labels, at = array("i"), array("i"), 0
+    for k, cut in enumerate([*(min(place, len(text)) for s in spans for place in s), len(text)]):
+        while at < cut and len(ids) < limit:
+            to = min(cut, _REST.match(text, at + STRETCH_CHARS).end())
+            found = array("i", list(map(words.__getitem__, _TOKEN.findall(text, at, to))))
+            ids += found
+            labels += found if k % 2 else array("i", [mask]) * len(found)
+            at = to
+    return ids[:limit], labels[:limit]
+
+
+class _WordIds(dict):
+    """Ids of words; those of the words met lately are kept."""
+
+    def __missing__(self, word: str) -> int:
+        n = _word_id(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
+def _word_id(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFF
 
 
 def word_tokens(text: str) -> list[tuple[int, int, int]]:
     """Words and single marks with a hash as id, and their places."""
-    return [(zlib.crc32(m[0].encode("utf-8", "replace")) & 0x7FFFFFFF, m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    return [(_word_id(m[0]), m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
 def with_turns(df: DataFrame, chat: str = "chat") -> DataFrame:

@@ -54,6 +54,28 @@ def test_label_mask(spark):
     assert chat.label_mask(df, limit=3).count() == 0  # no labelled token is left
 
 
+def test_label_mask_hands_examples_on(spark):
+    def encode(text):
+        """The task's memory in MB, then 20,000 equal tokens."""
+        with open("/proc/self/statm") as f:
+            return [(int(f.read().split()[1]) * 4096 >> 20, 0, 1)] + [(1, 0, 1)] * 20_000
+
+    df = spark.range(800).coalesce(1).select(F.col("id").cast("string").alias("trajectory_id"), F.lit("x").alias("text"), F.expr("array(named_struct('begin', 0, 'end', 1))").alias("spans"))
+    rows = chat.label_mask(df, encode).select(F.col("input_ids")[0].alias("mb"), F.size("labels").alias("n")).collect()
+    assert len(rows) == 800 and {r.n for r in rows} == {20_001}
+    assert max(r.mb for r in rows) - min(r.mb for r in rows) < 100  # 16 million tokens
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 32_768])
+def test_label_mask_of_words_is_that_of_places(spark, limit):
+    long, places = "ab_1 \u00e9\u0301x, <|im_end|>\n" * 6000 + "w" * 70_000 + " ." * 40_000, [(0, 0), (3, 9), (9, 9), (9, 30), (31, 31), (120_000, 190_000)]
+    texts = {"long": (long, places), "whole": (long, [(0, len(long))]), "inside": ("alpha beta gamma", [(2, 8), (8, 9), (13, 13)]), "end": ("a b", [(2, 9)]), "blank": (" \n ", [(0, 3)]), "empty": ("", [(0, 0)]), "none": ("a b", []), "nested": ("a b c d e f", [(2, 9), (4, 5)]), "lone": ("\U0001f600 \u0663\u00b2 \u4e2d\u6587 - x\x1cy\u00a0z", [(2, 4), (8, 9), (9, 11)])}
+    df = spark.createDataFrame([(k, t, [dict(begin=b, end=e) for b, e in p]) for k, (t, p) in texts.items()], "trajectory_id string, text string, spans array<struct<begin: int, end: int>>")
+    by_words, by_places = ({r.trajectory_id: r for r in chat.label_mask(df, encode, limit).collect()} for encode in (None, chat.word_tokens))
+    assert by_words == by_places and "blank" not in by_words and ("whole" in by_words)
+    assert {len(r.labels) for r in by_words.values()} <= set(range(1, limit + 1))
+
+
 def one(spark, f, *values):
     names = [f"c{i}" for i in range(len(values))]
     return spark.createDataFrame([values], ", ".join(f"{n} string" for n in names)).select(f(*map(F.col, names)).alias("x")).first().x
